@@ -78,7 +78,9 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
     A-Z are lower-cased and words are runs outside [\\x20\\x09-\\x0D]; null has no words.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # a copy that starts at its buffer's start: ascii_lower reads slices of large strings wrongly
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     if not full.all():
