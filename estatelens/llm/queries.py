@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, sentencepiece_codec, sharding, token_counts, toxicity
+from . import exact_dedup, mixing, near_dedup, sentencepiece_codec, sharding, token_counts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -72,4 +76,26 @@ select n.doc_id, n_shingles, component_id, n.doc_id = component_id as kept from
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
 from t window w as (partition by norm)"""
-    return {"op1_near_dedup": op1, "op9_exact_dedup": op9}
+    k = f"((((r * {mixing.A} + (number + 1) * {mixing.B} + 12345) % {mixing.PRIME}) * {mixing.C}) % {mixing.PRIME} % blocks)"
+    other = f"(({k} - v + blocks) % blocks)"
+    bit = f"((((greatest(v, {other}) % {mixing.PRIME} * {mixing.A} + r * {mixing.B} + (number + 1) * {mixing.C}) % {mixing.PRIME}) * {mixing.A} % {mixing.PRIME} * {mixing.B} % {mixing.PRIME} // 1024) % 2)"
+    op5 = rf"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size from documents),
+t as (select source, sum(size)::bigint as ss from d group by 1),
+o as (select *, row_number() over (order by source nulls last) - 1 as number from t),
+w as (select *, number % 3 + 1 as weight, 3 * ss as cap from o),
+p as (select *, sum(cap) over u as cb, sum(weight) over u as wb, sum(ss) over () as al, sum(weight) over () as wl from w
+      window u as (order by cap / weight, number rows between unbounded preceding and 1 preceding)),
+f as (select *, cap * (wl - coalesce(wb, 0)) <= (al - coalesce(cb, 0)) * weight as ful from p),
+g as (select *, case when ful then cap::double else (al - coalesce(sum(cap) filter (where ful) over (), 0)) * weight / (sum(weight) filter (where not ful) over ())::double end as target from f),
+h as (select number::bigint as number, source, ss, coalesce(target, 0) as target, cast(ceil(ss / {mixing.BLOCK}) as bigint) as blocks,
+      case when ss > 0 then cast(floor(target / ss) as bigint) else 0 end as whole from g),
+j as (select *, case when blocks > 0 then least(cast(round((target - whole * ss) / {mixing.BLOCK}) as bigint), blocks) else 0 end as spare from h),
+q as (select number, blocks, unnest(range(whole * blocks + spare)) as q from j),
+c as (select number, list_reduce(range(1, {mixing.ROUNDS + 1}), lambda v, r: case when {bit} = 1 then {other} else v end, q % blocks) as block, count(*) as times from q group by 1, 2),
+l as (select doc_id, size, number, ss, target, coalesce(sum(size) over (partition by number order by doc_id % {mixing.PARTS}, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as first
+      from d join j on d.source is not distinct from j.source),
+b as (select *, unnest(range(first // {mixing.BLOCK}, (first + size - 1) // {mixing.BLOCK} + 1)) as block from l where size > 0),
+k as (select doc_id, sum((least(first + size, (b.block + 1) * {mixing.BLOCK}) - greatest(first, b.block * {mixing.BLOCK})) * times) as taken from b join c on b.number = c.number and b.block = c.block group by 1)
+select doc_id, size, ss as source_size, target, coalesce(taken, 0)::bigint as taken from l left join k using (doc_id)"""
+    return {"op1_near_dedup": op1, "op5_mixing": op5, "op9_exact_dedup": op9}
