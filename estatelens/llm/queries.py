@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, sentencepiece_codec, sharding, token_counts, toxicity
+from . import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, token_counts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,6 +34,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_docs(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_docs(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
