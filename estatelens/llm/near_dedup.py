@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, components, mix64, shingle_sets, slices
@@ -83,6 +83,21 @@ def _sets(k: int):
     return run
 
 
+def _sharing_a_rare_shingle(reps: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """(a, b) of reps(rep, c) in different components c that can reach the similarity, by their rarest shingles."""
+    shingles = sets.join(reps, F.col("doc_id") == F.col("rep")).select("rep", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = space.keep(shingles.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"))
+    # shingles of one document alone are the rarest; the others follow by frequency
+    shared = shingles.join(often, "x")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "x"))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
+    prefix = F.col("n") - F.expr(f"(n * {int(percent)} + 99) div 100") + 1
+    heads = space.keep(shared.withColumn("place", place + alone).withColumn("prefix", prefix).where("place <= prefix").select("rep", "c", "x"))
+    l, r = heads.alias("l"), heads.alias("r")
+    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.c") < F.col("r.c")))
+    return pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
@@ -93,8 +108,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Columns besides doc_id and text are ignored.
 
     Documents with equal sets form classes whose least doc_id stands for them. In each bucket of a band the
-    least representative is the hub and all others are checked against it. Buckets whose members are then
-    still in several components have all their pairs across components checked too, so that no candidate is lost.
+    least representative is the hub and all others are checked against it. Members of buckets that are then still in
+    several components are checked against those of other components with which they share one of their rarest
+    shingles: sets as similar as asked have one in common among the rarest n - ceil(percent * n / 100) + 1 of each.
     """
     space = Workspace(docs.sparkSession)
     base = docs.select("doc_id", "text")
@@ -119,10 +135,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comp = components(links, space)
     placed = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = space.keep(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
-    rest = space.keep(placed.join(mixed, "key", "left_semi").select("key", "rep", "hub", "c"))
-    x, y = rest.where("rep <> hub").alias("x"), rest.where("rep <> hub").alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
-    more = space.keep(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    rest = space.keep(placed.join(mixed, "key", "left_semi").select("rep", "c").distinct())
+    more = space.keep(_sharing_a_rare_shingle(rest, sets, percent, space))
     links2 = space.keep(confirmed(more))
     if not links2.isEmpty():
         comp = components(links.unionByName(links2), space)
