@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, token_counts, toxicity
+from . import exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, token_counts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_docs(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
@@ -106,4 +110,14 @@ l as (select doc_id, size, number, ss, target, coalesce(sum(size) over (partitio
 b as (select *, unnest(range(first // {mixing.BLOCK}, (first + size - 1) // {mixing.BLOCK} + 1)) as block from l where size > 0),
 k as (select doc_id, sum((least(first + size, (b.block + 1) * {mixing.BLOCK}) - greatest(first, b.block * {mixing.BLOCK})) * times) as taken from b join c on b.number = c.number and b.block = c.block group by 1)
 select doc_id, size, ss as source_size, target, coalesce(taken, 0)::bigint as taken from l left join k using (doc_id)"""
-    return {"op1_near_dedup": op1, "op5_mixing": op5, "op9_exact_dedup": op9}
+    op7 = rf"""
+with c as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/:?#]+)', 2)) as host,
+  list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', chr(10), 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), chr(10)),
+    lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') as ls from pages),
+h as (select page_id, host, unnest(list_distinct(ls)) as line from c),
+t as (select host, count(*) as pages from c group by 1 having count(*) >= {line_dedup.MIN_PAGES}),
+b as (select h.host, line from h join t on h.host = t.host group by h.host, line, pages having count(*) > {line_dedup.RATIO} * pages),
+g as (select host, list(line) as gone from b group by 1),
+s as (select page_id, c.host, ls, list_filter(ls, lambda x: not list_contains(coalesce(gone, []), x)) as st from c left join g on c.host = g.host)
+select page_id, host, len(ls)::bigint as n_lines, (len(ls) - len(st))::bigint as n_dropped, array_to_string(st, chr(10)) as text from s"""
+    return {"op1_near_dedup": op1, "op5_mixing": op5, "op7_line_dedup": op7, "op9_exact_dedup": op9}
