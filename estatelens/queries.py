@@ -393,7 +393,7 @@ def oracle_sql() -> dict[str, str]:
     probes = " union all ".join(f"select {i} as position, '{a}' as from_object, '{b}' as to_object, * from ({_probe_sql(a, x, b, y)})" for i, (a, x, b, y) in enumerate(PAIRS))
     out["discover_relationships"] = f"""with p as ({probes}), r as (select *, row_number() over (partition by from_object, source_field order by source_coverage desc, target_uniqueness desc, target_coverage desc, overlap desc, position) as r from p where overlap >= 3 and source_coverage >= 0.85 and target_uniqueness >= 0.9)
 select 'relationship_candidate:' || substr(sha256('field:' || from_object || '/' || source_field || chr(10) || 'field:' || to_object || '/' || target_field), 1, 20) as id, from_object, source_field as from_field, to_object, target_field as to_field, overlap, round(source_coverage, 6) as source_coverage, round(target_uniqueness, 6) as target_uniqueness,
-round(least(0.98, 0.2 + 0.35 * source_coverage + 0.2 * target_uniqueness + 0.15 * target_coverage + least(0.1, overlap / 100)) - 1e-10, 4) as confidence, 'draft' as state from r where r = 1"""
+round(cast(cast(least(0.98::double, 0.2::double + 0.35::double * source_coverage + 0.2::double * target_uniqueness + 0.15::double * target_coverage + least(0.1::double, overlap / 100)) as varchar) as decimal(38, 20)), 4)::double as confidence, 'draft' as state from r where r = 1"""
     family = "case " + " ".join(f"when data_type = '{k}' then '{v}'" for k, v in X.SPARK_FAMILIES.items()) + " else 'unknown' end"
     norm = lambda c: f"replace(regexp_replace(lower({c}), '(^|_)(id|key)$', ''), '_', '')"
     out["candidate_pairs_catalog"] = f"""with {catalog}, f as (select *, {family} as family from fields), s as (select *, row_number() over (order by position, field) as so from f where object = 'orders'),
