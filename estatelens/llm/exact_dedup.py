@@ -33,35 +33,36 @@ def _numbered(distinct: DataFrame, *by: str) -> DataFrame:
 
 
 def identities(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(doc_id, sha, blocks, name) of the distinct (doc_id, sha, norm) rows that may share their text with others.
+    """(doc, sha, n, name) of the (doc, sha, norm) rows that may share their text with others.
 
-    docs has doc_id, sha (a fingerprint that tells a doc_id's texts apart) and norm. Rows left out have a text of their own.
+    docs has doc (never null), sha (a fingerprint that tells a doc's texts apart) and norm. Rows left out have a text of their own.
     """
     head = F.substring("norm", 1, BLOCK)
     first = docs.select(head.alias("head"), F.length("norm").alias("n"))
     shared = space.keep(first.groupBy("head", "n").agg(F.count("*").alias("copies")).where("copies > 1").select("head", "n"))
-    left = docs.select("doc_id", "sha", "norm", head.alias("head"), F.length("norm").alias("n"))
-    open_ = space.keep(left.join(shared, ["head", "n"]).select("doc_id", "sha", "norm", "n"))
+    left = docs.select("doc", "sha", "norm", head.alias("head"), F.length("norm").alias("n"))
+    open_ = space.keep(left.join(shared, ["head", "n"]).select("doc", "sha", "norm", "n"))
     cut = F.expr(f"transform(sequence(0, greatest(cast(ceil(n / {BLOCK}) as int), 1) - 1), i -> substring(norm, i * {BLOCK} + 1, {BLOCK}))")
-    blocks = open_.select("doc_id", "sha", "n", F.posexplode(cut).alias("pos", "block"))
+    blocks = open_.select("doc", "sha", "n", F.posexplode(cut).alias("pos", "block"))
     names = space.keep(_numbered(blocks.groupBy("block").agg(F.count("*").alias("copies")), "block"))
-    now = blocks.join(names, "block").select("doc_id", "sha", "n", "pos", "name", "copies")
+    # repeated rows go on as one
+    now = blocks.join(names, "block").select("doc", "sha", "n", "pos", "name", "copies").distinct()
     done = None
     while True:
         now = space.keep(now)
-        lone = now.where("copies = 1").select("doc_id", "sha").distinct()
-        now = space.keep(now.join(lone, ["doc_id", "sha"], "left_anti"))
-        last = now.groupBy("doc_id", "sha").agg(F.count("*").alias("k")).where("k = 1")
-        at_end = space.keep(now.join(last, ["doc_id", "sha"], "left_semi").select("doc_id", "sha", "n", "name"))
+        lone = now.where("copies = 1").select("doc", "sha").distinct()
+        now = space.keep(now.join(lone, ["doc", "sha"], "left_anti"))
+        last = now.groupBy("doc", "sha").agg(F.count("*").alias("k")).where("k = 1")
+        at_end = space.keep(now.join(last, ["doc", "sha"], "left_semi").select("doc", "sha", "n", "name"))
         done = at_end if done is None else done.unionByName(at_end)
-        pairs = now.groupBy("doc_id", "sha", "n", F.expr("pos div 2").alias("pos")).agg(
+        pairs = now.groupBy("doc", "sha", "n", F.expr("pos div 2").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r")
         )
-        pairs = space.keep(pairs.join(last, ["doc_id", "sha"], "left_anti"))
+        pairs = space.keep(pairs.join(last, ["doc", "sha"], "left_anti"))
         if pairs.isEmpty():
             return done
         names = space.keep(_numbered(pairs.groupBy("l", "r").agg(F.count("*").alias("copies")), "l", "r"))
-        now = pairs.join(names, ["l", "r"]).select("doc_id", "sha", "n", "pos", "name", "copies")
+        now = pairs.join(names, ["l", "r"]).select("doc", "sha", "n", "pos", "name", "copies")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -75,14 +76,18 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     space = Workspace(docs.sparkSession)
     norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm"))
-    norm = norm.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
+    # a null id is an empty text here, as joins do not match nulls
+    norm = norm.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     found = identities(norm, space)
     return _answer(norm, found, space)
 
 
 def _answer(norm: DataFrame, found: DataFrame, space: Workspace) -> DataFrame:
     rows = space.keep(norm.select("doc_id", "sha"))
-    named = space.keep(found.groupBy("doc_id", "sha").agg(F.count("*").alias("rows"), F.min("n").alias("n"), F.min("name").alias("name")))
+    named = found.select(F.expr("cast(nullif(doc, '') as bigint)").alias("doc_id"), "sha", "n", "name")
+    again = space.keep(rows.groupBy("doc_id", "sha").agg(F.count("*").alias("rows")).where("rows > 1"))
+    named = named.alias("n").join(again.alias("a"), F.expr("n.doc_id <=> a.doc_id and n.sha = a.sha"), "left")
+    named = space.keep(named.select("n.doc_id", "n.sha", "n.n", "n.name", F.coalesce("a.rows", F.lit(1)).cast("long").alias("rows")))
     groups = space.keep(named.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")))
     known = space.keep(named.join(groups, ["n", "name"]).select("doc_id", F.col("sha").alias("text_sha256"), "keep_id", "group_size"))
     out = rows.withColumnRenamed("sha", "text_sha256").alias("r").join(known.alias("k"), F.expr("r.doc_id <=> k.doc_id and r.text_sha256 = k.text_sha256"), "left")
