@@ -44,24 +44,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
-
-
-def rows_of(pdf):
-    """Rows as sorted tuples of text, columns by name, numbers to six places."""
-    import pandas as pd
-
-    def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
-            return "null"
-        if hasattr(v, "__len__") and not isinstance(v, (str, bytes)):
-            return str(list(v))
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
-            return str(bool(v))
-        try:
-            f = float(v) if not isinstance(v, str) else None
-        except TypeError:
-            f = None
-        return str(v) if f is None else str(int(f)) if f == int(f) else f"{f:.6f}"
-
-    cols = sorted(pdf.columns)
-    return cols, sorted(tuple(plain(v) for v in r) for r in pdf[cols].itertuples(index=False))

@@ -1,7 +1,7 @@
 """Every core query against its SQL."""
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 
 from estatelens import queries as core
 
