@@ -92,9 +92,12 @@ def _sharing_a_rare_shingle(reps: DataFrame, sets: DataFrame, percent: int, spac
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "x"))
     alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
     prefix = F.col("n") - F.expr(f"(n * {int(percent)} + 99) div 100") + 1
-    heads = space.keep(shared.withColumn("place", place + alone).withColumn("prefix", prefix).where("place <= prefix").select("rep", "c", "x"))
+    heads = space.keep(shared.withColumn("place", place + alone).withColumn("prefix", prefix).where("place <= prefix").select("rep", "c", "x", "n", "place"))
     l, r = heads.alias("l"), heads.alias("r")
-    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.c") < F.col("r.c")))
+    # from the first shingle they share on, both must have enough left
+    left = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) + 1
+    enough = left * (100 + int(percent)) >= int(percent) * (F.col("l.n") + F.col("r.n"))
+    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.c") < F.col("r.c")) & enough)
     return pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
 
@@ -107,10 +110,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     a null doc_id takes no part in links and has a null component; an empty table gives an empty result.
     Columns besides doc_id and text are ignored.
 
-    Documents with equal sets form classes whose least doc_id stands for them. In each bucket of a band the
-    least representative is the hub and all others are checked against it. Members of buckets that are then still in
+    Documents with equal sets form classes whose least doc_id stands for them. In each bucket of a band
+    one representative is the hub and all others are checked against it. Members of buckets that are then still in
     several components are checked against those of other components with which they share one of their rarest
-    shingles: sets as similar as asked have one in common among the rarest n - ceil(percent * n / 100) + 1 of each.
+    shingles: sets as similar as asked have one in common among the rarest n - ceil(percent * n / 100) + 1 of each, and
+    enough shingles after the first of them.
     """
     space = Workspace(docs.sparkSession)
     base = docs.select("doc_id", "text")
@@ -118,9 +122,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = space.keep(live.groupBy("set_name").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    hubs = space.keep(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    member = space.keep(banded.join(hubs, "key"))
-    first = space.keep(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    several = space.keep(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    member = space.keep(banded.join(several, "key"))
+    # the hub of a bucket is the member that meets most others over all bands: copies are likest to the least changed one
+    met = space.keep(member.groupBy("rep").agg(F.sum("n").alias("met")))
+    hubs = member.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("rep"))).alias("hub"))
+    hubs = space.keep(hubs.select("key", (-F.col("hub.rep")).alias("hub")))
+    member = space.keep(member.select("key", "rep").join(hubs, "key"))
+    first = space.keep(member.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
     ids = space.keep(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct())
     needed = base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, s array<long>")
     sets = space.keep(needed)
