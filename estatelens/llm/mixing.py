@@ -98,7 +98,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def _pieces(laid: DataFrame, dealt: DataFrame, space: Workspace) -> DataFrame:
     """(row, block, from, words, taken): the part of each document in each of its blocks and how often the mix takes it."""
-    times = dealt.groupBy("number", "block").agg(F.count("*").alias("times"))
+    # written, so that the planner knows its size: it grows with the corpus and must not be broadcast
+    times = space.keep(dealt.groupBy("number", "block").agg(F.count("*").alias("times")))
     block = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))).alias("block")
     spans = laid.where("size > 0").select("*", block)
     start = F.greatest(F.col("first"), F.col("block") * BLOCK)
