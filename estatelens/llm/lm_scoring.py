@@ -1,15 +1,18 @@
 """Language-model scoring by prediction by partial matching.
 
-A token's bytes and a closing blank are predicted one by one from up to ORDER bytes before them; contexts begin at the
-blank before the token, so that a token's code length depends on the token alone. A context that has not seen the byte
+A document is read as one running text: its words, each followed by a blank, and the end. Every byte is predicted from up
+to ORDER bytes before it, across blanks, whatever words they belong to. A context that has not seen the byte
 escapes to the next shorter one with probability d / (n + d), d and n being the distinct and all bytes it has seen,
 without those the longer context has ruled out already (symbol exclusion). Below the empty context all other bytes are
 alike. The trie is pretrained on the training documents and grows with them; it is kept as a table of (context, byte)
 counts, dealt by the two nearest context bytes, within which all longer contexts of a chain lie together.
 Contexts of one byte or none are 65,536 counts at most and go to every task.
 
-Each distinct token of the corpus is coded once. Frequent tokens and contexts (FREQUENT_WORDS, FREQUENT_CONTEXTS at most)
-go to every task; all others are joined.
+Each distinct (context, byte) of the corpus is coded once. Frequent ones (FREQUENT_KEYS at most) and frequent words
+(FREQUENT_WORDS at most, for the base score) go to every task; all others are joined.
+
+`score_documents` is the narrower model whose contexts begin at the blank before a token, so that a token's code length
+depends on the token alone; no query uses it.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ ORDER = 5
 #: The end of a document, as a token; no word can be a line feed.
 END = "\n"
 FREQUENT_WORDS, FREQUENT_CONTEXTS, PARTS = 60_000, 150_000, 256
+#: Keys of running text that go to every task; distinct keys that a task gathers before it hands them on.
+FREQUENT_KEYS, GATHERED = 500_000, 2_000_000
 _BYTES = 256
+#: A-Z lower-cased and white space as blanks.
+_PLAIN = np.array([32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(_BYTES)], np.uint8)
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +84,67 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
 
+def running_text(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of every byte of the texts as running text, and each text's first and last place.
+
+    A text is a blank, its words with a blank after each, and END; its first blank is context only. A key's low byte
+    is the byte itself, the next ones are those before it in the text, nearest first, and zero before its start.
+    """
+    data = [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
+    flat = _PLAIN[np.frombuffer(b" " + b"   ".join(data) + b"  ", np.uint8)]
+    last = np.cumsum(np.fromiter((len(x) for x in data), np.int64, len(data)) + 3) - 1
+    flat[last] = ord(END)
+    blank = flat == 32
+    keep = np.ones(len(flat), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    gone = np.cumsum(~keep)
+    last = last - gone[last]
+    first = np.concatenate([[0], last[:-1] + 1])
+    flat = flat[keep].astype(np.uint64)
+    key = flat.copy()
+    for o in range(1, ORDER + 1):
+        key[o:] |= flat[: max(len(flat) - o, 0)] << np.uint64(8 * o)
+    for i in range(ORDER):
+        at = (first + i)[first + i <= last]
+        key[at] &= np.uint64((1 << (8 * (i + 1))) - 1)
+    return key.view(np.int64), first, last
+
+
+def _gathered(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return [(keys, *(np.bincount(inverse, weights=np.concatenate([p[i] for p in parts]), minlength=len(keys)).astype(np.int64) for i in (1, 2)))]
+
+
+def _text_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of running text, how often training rows hold them and how often all do; a key can come more than once."""
+
+    def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(parts[0][0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in parts[0]], ["key", "n", "uses"])
+
+    parts, held = [], 0
+    for batch in batches:
+        for part in slices(batch, "text"):
+            train = part.column("train")
+            for own in (train, pc.invert(train)):
+                texts = part.column("text").filter(own)
+                if len(texts):
+                    key, first, _ = running_text(texts)
+                    key[first] = -1
+                    keys, uses = np.unique(key, return_counts=True)
+                    keys, uses = keys[1:], uses[1:]
+                    parts.append((keys, uses if own is train else np.zeros(len(keys), np.int64), uses))
+                    held += len(keys)
+            if held > 2 * GATHERED:
+                parts = _gathered(parts)
+                held = len(parts[0][0])
+                if held > GATHERED:
+                    yield from out(parts)
+                    parts, held = [], 0
+    if parts:
+        yield from out(_gathered(parts))
+
+
 class _Level:
     """Counts of one order: bytes by context, and each context's totals."""
 
@@ -128,7 +196,7 @@ def _coded(short: list[tuple[np.ndarray, np.ndarray]]):
         keys, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
         levels = [_Level(*short[0]), _Level(*short[1])]
         levels += [_Level(keys & ((1 << (8 * (o + 1))) - 1), n) for o in range(2, ORDER + 1)]
-        return pd.DataFrame({"key": keys, "lp": code_lengths(keys, levels)})
+        return pdf[[c for c in ("key", "uses") if c in pdf]].assign(lp=code_lengths(keys, levels))
 
     return run
 
@@ -151,7 +219,22 @@ def _worded(keys: np.ndarray, lp: np.ndarray):
     return run
 
 
-def _scored(frequent: pa.Array, c: np.ndarray, lp: np.ndarray):
+def _texted(texts: pa.Array, keys: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Sum of the code lengths of the frequent keys of each text, and its other keys."""
+    key, first, last = running_text(texts)
+    coded = pa.array(key).dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False)
+    i = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+    known = keys[i] == distinct
+    each, rare = np.where(known, lp[i], 0.0)[codes], ~known[codes]
+    each[first], rare[first] = 0.0, False
+    edges = np.concatenate([[0], np.cumsum(rare)])[np.append(first, last[-1] + 1)]
+    return np.add.reduceat(each, first), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(key[rare]))
+
+
+def _scored(frequent: pa.Array, c: np.ndarray, lp: np.ndarray, text: tuple[np.ndarray, np.ndarray] | None = None):
+    """Sums over each row's frequent words, and its other words; `text` has the frequent keys, whose sums are the score then."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         logs = np.log10(c + 1.0)
@@ -167,9 +250,13 @@ def _scored(frequent: pa.Array, c: np.ndarray, lp: np.ndarray):
                 rare = pa.ListArray.from_arrays(pa.array(edges), distinct.cast(pa.string()).take(pa.array(codes[~hot])))
                 rows = np.arange(row, row + len(counts))
                 row += len(counts)
+                more = []
+                if text:
+                    score, keys = _texted(part.column("text"), *text)
+                    more = [keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), part.column("doc_id"), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rare],
-                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                    [pa.array(rows), part.column("doc_id"), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rare, *more],
+                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_keys"][: 7 + len(more)],
                 )
 
     return run
@@ -227,3 +314,49 @@ def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
         (F.col("base") + F.coalesce("b", zero) + F.lit(math.log10(c_end + 1)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
         (F.col("score") + F.coalesce("s", zero) + F.lit(lp_end)).alias("score"),
     )
+
+
+def score_texts(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs(doc_id, text).
+
+    As score_documents, but score codes each row as one running text, with contexts across its words.
+    """
+    spark, space = docs.sparkSession, Workspace(docs.sparkSession)
+    left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(left != held, F.lit(False)).alias("train"))
+    vocabulary = rows.mapInArrow(_vocabulary, "word string, c long, uses long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
+    vocabulary = space.keep(vocabulary)
+    size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
+    counts = rows.mapInArrow(_text_contexts, "key long, n long, uses long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+    counts = space.keep(counts)
+    # 65,536 rows at most
+    pairs = counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    first, n1 = pairs["key"].to_numpy(), pairs["n"].to_numpy()
+    short = [(first & 0xFF, n1), (first, n1)]
+    part = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit(PARTS))
+    coded = space.keep(counts.groupBy(part.alias("part")).applyInPandas(_coded(short), "key long, uses long, lp double"))
+    # FREQUENT_KEYS rows of two numbers and FREQUENT_WORDS rows at most
+    often = coded.orderBy(F.desc("uses"), "key").limit(FREQUENT_KEYS).select("key", "lp").toArrow().sort_by("key")
+    keys, lp = often["key"].to_numpy(), often["lp"].to_numpy()
+    if not len(keys):
+        keys, lp = np.array([-1], np.int64), np.zeros(1)
+    top = vocabulary.where(F.col("word") != END).orderBy(F.desc("uses"), "word").limit(FREQUENT_WORDS).toArrow()
+    frequent, c = pa.array(top["word"].to_pylist(), pa.string()), top["c"].to_numpy()
+    scored = rows.select("doc_id", "text").mapInArrow(_scored(frequent, c, np.zeros(len(c)), (keys, lp)), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, rare_keys array<long>")
+    scored = space.keep(scored)
+    zero = F.lit(0.0)
+    words_left = scored.select("row", F.explode("rare").alias("word")).join(vocabulary.select("word", "c"), "word")
+    words_left = words_left.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum(F.log10(F.col("c") + 1.0)).alias("b"), F.sum(zero).alias("s"))
+    keys_left = scored.select("row", F.explode("rare_keys").alias("key")).join(coded.select("key", "lp"), "key")
+    keys_left = keys_left.groupBy("row").agg(F.sum(F.lit(0).cast("long")).alias("k"), F.sum(zero).alias("b"), F.sum("lp").alias("s"))
+    others = words_left.unionByName(keys_left).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("k", "b", "s")])
+    out = scored.drop("rare", "rare_keys").join(others, "row", "left")
+    return out.select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % by == held, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("k", F.lit(0)) + (1 if size.ends else 0)).alias("n_known"),
+        F.lit(int(size.n)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("b", zero) + F.lit(math.log10(size.ends + 1)) - F.col("n_tokens") * F.lit(math.log10(size.n + size.v + 1))).alias("base_score"),
+        (F.col("score") + F.coalesce("s", zero)).alias("score"),
+    )

@@ -35,7 +35,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(_docs(spark, sf_dir))
+    return lm_scoring.score_texts(_docs(spark, sf_dir))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
