@@ -6,7 +6,8 @@ source's slots are dealt by a pseudorandom permutation of all slots, so that the
 are a multinomial draw conditioned on the targets. The q-th slot of a source takes the block that
 the source's own pseudorandom permutation gives for q; once all are used it starts over. Permutations are swap-or-not
 networks over exactly the index range: no table, no rejection, the same in each run. Slots meet documents
-by joining on (source, block). Only DataFrame operations are used.
+by joining on (source, block). `mixed_blocks` gives the shards, slot by slot; `mix` sums what it takes of each document,
+and `mixed_documents` gives the documents' own view of the same takes, without shards. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def plan(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame, DataF
     """Laid-out documents, sources and blocks of a mix.
 
     laid: (row columns of docs except text, size, number, first) where first is the place of its first token;
-    sources: one row each; blocks: (number, block, slots, shard_first) for all taken blocks.
+    sources: one row each; dealt: (number, block, shard, slot) of each slot of the mix.
     """
     sources = space.keep(targets(docs).withColumn("blocks", F.ceil(F.col("source_size") / BLOCK)).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")))
     spare = F.round((F.col("target") - F.col("whole") * F.col("source_size")) / BLOCK).cast("long")
@@ -96,15 +97,38 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", word_count("text")).withColumn("key", F.xxhash64("text"))
 
 
-def _pieces(laid: DataFrame, dealt: DataFrame, space: Workspace) -> DataFrame:
-    """(row, block, from, words, taken): the part of each document in each of its blocks and how often the mix takes it."""
-    # written, so that the planner knows its size: it grows with the corpus and must not be broadcast
-    times = space.keep(dealt.groupBy("number", "block").agg(F.count("*").alias("times")))
+def _spans(laid: DataFrame) -> DataFrame:
+    """(row, block, at, n): the part of each document in each of its blocks."""
     block = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))).alias("block")
     spans = laid.where("size > 0").select("*", block)
     start = F.greatest(F.col("first"), F.col("block") * BLOCK)
     end = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return spans.join(times, ["number", "block"]).select("doc_id", "key", "size", "number", "block", "times", (start - F.col("first")).alias("at"), (end - start).alias("n"))
+    return spans.select("doc_id", "key", "size", "number", "block", (start - F.col("first")).alias("at"), (end - start).alias("n"))
+
+
+def _pieces(laid: DataFrame, dealt: DataFrame, space: Workspace) -> DataFrame:
+    """The spans of laid that the mix takes, and how often (times)."""
+    # written, so that the planner knows its size: it grows with the corpus and must not be broadcast
+    times = space.keep(dealt.groupBy("number", "block").agg(F.count("*").alias("times")))
+    return _spans(laid).join(times, ["number", "block"])
+
+
+def _packed(laid: DataFrame, dealt: DataFrame, space: Workspace) -> DataFrame:
+    """The spans of laid in each slot of each shard; slots grow with the corpus and are not broadcast."""
+    return _spans(laid).join(space.keep(dealt).hint("merge"), ["number", "block"])
+
+
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """(shard, slot, source, block, doc_id, at, n) of docs(doc_id, text, source): the mix as it is packed into shards.
+
+    Each slot of a shard holds one block of one source, and a row is the part of it that a document fills: n words from its
+    at-th on. Shards have SHARD slots, the last one fewer; other columns are ignored; an empty table gives no rows.
+    """
+    space = Workspace(docs.sparkSession)
+    sized = space.keep(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"))
+    laid, sources, dealt = plan(sized, space)
+    out = _packed(laid, dealt, space).join(F.broadcast(sources.select("number", "source")), "number")
+    return out.select("shard", "slot", "source", "block", "doc_id", "at", "n")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -118,7 +142,7 @@ def mix(docs: DataFrame) -> DataFrame:
     sized = space.keep(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"))
     laid, sources, dealt = plan(sized, space)
     laid = space.keep(laid)
-    taken = _pieces(laid, dealt, space).groupBy("doc_id", "key", "number", F.expr("size as own")).agg(F.sum(F.col("n") * F.col("times")).alias("sum"))
+    taken = _packed(laid, dealt, space).groupBy("doc_id", "key", "number", F.expr("size as own")).agg(F.sum("n").alias("sum"))
     same = Window.partitionBy("doc_id", "key", "number").orderBy("first")
     rows = laid.select("doc_id", "key", "number", "size", F.row_number().over(same).alias("i"), F.count("*").over(Window.partitionBy("doc_id", "key", "number")).alias("copies"))
     out = rows.alias("r").join(taken.alias("t"), F.expr("r.doc_id <=> t.doc_id and r.key = t.key and r.number = t.number"), "left")

@@ -42,6 +42,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
 
+def op5_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_blocks(_docs(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
