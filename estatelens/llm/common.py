@@ -22,35 +22,43 @@ _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 
 
 class Workspace:
-    """Tables written below the shared checkpoint folder; executors may be lost without losing them."""
+    """Tables written below the shared checkpoint folder; executors may be lost without losing them.
+
+    The folder goes when the session's JVM ends, or table by table with drop().
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="checkpoints-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        files, path = self._files(self.root)
+        files.deleteOnExit(path)
         self._n = 0
 
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and read it back: lineage is cut and statistics are exact."""
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out._kept_at = path
         out._workspace = self
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables of keep() that no later step reads."""
         for t in tables:
-            if path := self._paths.pop(id(t), None):
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            files, path = self._files(t._kept_at)
+            files.delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,23 +1,25 @@
 """Exact deduplication by deterministic block naming.
 
-Texts are normalised and cut into blocks of BLOCK characters. Distinct blocks are sorted and numbered; adjacent
-numbers are paired, distinct pairs are sorted and numbered again, and so on until each document has one number.
-Names come from sorting the strings and pairs themselves, so that two documents have the same number of blocks and the
-same last name exactly if their texts are equal. A name that one document alone has settles that document, which
-leaves the recursion: no other text can be equal to it. The first block is named first, by itself.
-Only DataFrame operations are used.
+Texts are normalised and cut into blocks of BLOCK characters. The distinct blocks are sorted and numbered; the numbers of
+adjacent blocks are paired, distinct pairs are sorted and numbered again, and so on until every document has
+one number. Numbers come from sorting the blocks and pairs themselves, so that two documents end on the same level
+with the same number exactly if their texts are equal. An odd last number is paired with a mark of its own.
+
+Blocks travel once, as the keys of an aggregation that drops repeats before the shuffle. Documents meet their blocks'
+numbers by two 64-bit hashes, once it is sure that no two distinct blocks share both; if two did, other seeds are taken.
+Only DataFrame operations are used, and no group of equal blocks, pairs or texts meets in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Workspace
 
 BLOCK = 512
-#: Parts the sorted names are numbered in.
-PARTS = 256
+#: Stands for the missing right neighbour of an odd last number.
+NONE = -1
 
 
 def normalised(text: str | Column) -> Column:
@@ -25,44 +27,59 @@ def normalised(text: str | Column) -> Column:
     return F.coalesce(F.regexp_replace(text, SPACE, " "), F.lit(""))
 
 
-def _numbered(distinct: DataFrame, *by: str) -> DataFrame:
-    """Add `name`: the place of a row in its part of the sorted distinct rows, with the part above it."""
-    part = F.pmod(F.xxhash64(*by), F.lit(PARTS))
-    numbered = distinct.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*by)))
-    return numbered.withColumn("name", F.col("part") * F.lit(1 << 40) + F.col("place")).drop("part", "place")
+def _blocks(norm: str) -> Column:
+    """The blocks of a text, in time linear in its length; an empty text is one empty block."""
+    cut = F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.length(norm) == 0, F.array(F.lit(""))).otherwise(cut)
 
 
-def identities(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(doc, sha, n, name) of the (doc, sha, norm) rows that may share their text with others.
+def _hashes(block: Column, seed: int) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), block).alias("h"), F.xxhash64(F.lit(seed + 1), block).alias("i")]
 
-    docs has doc (never null), sha (a fingerprint that tells a doc's texts apart) and norm. Rows left out have a text of their own.
-    """
-    head = F.substring("norm", 1, BLOCK)
-    first = docs.select(head.alias("head"), F.length("norm").alias("n"))
-    shared = space.keep(first.groupBy("head", "n").agg(F.count("*").alias("copies")).where("copies > 1").select("head", "n"))
-    left = docs.select("doc", "sha", "norm", head.alias("head"), F.length("norm").alias("n"))
-    open_ = space.keep(left.join(shared, ["head", "n"]).select("doc", "sha", "norm", "n"))
-    cut = F.expr(f"transform(sequence(0, greatest(cast(ceil(n / {BLOCK}) as int), 1) - 1), i -> substring(norm, i * {BLOCK} + 1, {BLOCK}))")
-    blocks = open_.select("doc", "sha", "n", F.posexplode(cut).alias("pos", "block"))
-    names = space.keep(_numbered(blocks.groupBy("block").agg(F.count("*").alias("copies")), "block"))
-    # repeated rows go on as one
-    now = blocks.join(names, "block").select("doc", "sha", "n", "pos", "name", "copies").distinct()
-    done = None
+
+def _sorted_names(distinct: DataFrame, *by: str) -> DataFrame:
+    """distinct with `name`: its part of the distinct rows, then its place in the sorted part."""
+    return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+
+
+def _block_names(norm: DataFrame, space: Workspace) -> tuple[DataFrame, int]:
+    """(h, i, name) of each distinct block, and the seed whose hashes tell all of them apart."""
+    distinct = norm.select(F.explode(_blocks("norm")).alias("block")).distinct()
+    seed = 0
+    while True:
+        names = space.keep(_sorted_names(distinct, "block").select(*_hashes(F.col("block"), seed), "name"))
+        if names.groupBy("h", "i").agg(F.count("*").alias("blocks")).where("blocks > 1").isEmpty():
+            return names, seed
+        space.drop(names)
+        seed += 2
+
+
+def identities(docs: DataFrame, space: Workspace) -> DataFrame:
+    """The rows of docs(norm, ...) with (level, name) in place of norm: equal for equal texts and for no others."""
+    names, seed = _block_names(docs, space)
+    hashes = F.transform(_blocks("norm"), lambda b: F.struct(*_hashes(b, seed)))
+    rows = space.keep(docs.select("*", F.monotonically_increasing_id().alias("row"), hashes.alias("hashes")).drop("norm"))
+    now = rows.select("row", F.size("hashes").alias("left"), F.posexplode("hashes").alias("pos", "at"))
+    # what joins here grows with the corpus: it is never broadcast, and plain exchanges let a hot block be split
+    now = now.join(names.hint("merge"), [now["at.h"] == names["h"], now["at.i"] == names["i"]]).select("row", "left", "pos", "name")
+    most = rows.agg(F.max(F.size("hashes"))).first()[0] or 1
+    level, done = 0, []
     while True:
         now = space.keep(now)
-        lone = now.where("copies = 1").select("doc", "sha").distinct()
-        now = space.keep(now.join(lone, ["doc", "sha"], "left_anti"))
-        last = now.groupBy("doc", "sha").agg(F.count("*").alias("k")).where("k = 1")
-        at_end = space.keep(now.join(last, ["doc", "sha"], "left_semi").select("doc", "sha", "n", "name"))
-        done = at_end if done is None else done.unionByName(at_end)
-        pairs = now.groupBy("doc", "sha", "n", F.expr("pos div 2").alias("pos")).agg(
-            F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r")
-        )
-        pairs = space.keep(pairs.join(last, ["doc", "sha"], "left_anti"))
-        if pairs.isEmpty():
-            return done
-        names = space.keep(_numbered(pairs.groupBy("l", "r").agg(F.count("*").alias("copies")), "l", "r"))
-        now = pairs.join(names, ["l", "r"]).select("doc", "sha", "n", "pos", "name", "copies")
+        done.append(now.where("left = 1").select("row", F.lit(level).alias("level"), "name"))
+        if most == 1:
+            break
+        even = F.col("pos") % 2 == 0
+        right = F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(NONE)).alias("r")
+        pairs = now.where("left > 1").groupBy("row", F.expr("(left + 1) div 2").alias("left"), F.expr("pos div 2").alias("pos")).agg(F.max(F.when(even, F.col("name"))).alias("l"), right)
+        pairs = space.keep(pairs)
+        names = space.keep(_sorted_names(pairs.select("l", "r").distinct(), "l", "r"))
+        now = pairs.join(names.hint("merge"), ["l", "r"]).select("row", "left", "pos", "name")
+        most, level = (most + 1) // 2, level + 1
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return rows.drop("hashes").join(found.hint("merge"), "row").drop("row")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -71,32 +88,23 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Texts are equal when identical after each run of [\\x20\\x09-\\x0D] has become one blank; null counts as empty.
     keep_id is the least doc_id of the group (null ids last, so that it is null only if all are), group_size its
     rows; kept tells whether doc_id is keep_id. Rows repeated with the same doc_id and text get the same
-    answer and each counts in group_size; one doc_id with several texts is judged text by text. An empty table gives no
-    rows and other columns are ignored.
+    answer and each counts in group_size; one doc_id with several texts is judged text by text. Very long texts have more
+    blocks and take more levels. An empty table gives no rows and other columns are ignored.
     """
     space = Workspace(docs.sparkSession)
     norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm"))
-    # a null id is an empty text here, as joins do not match nulls
-    norm = norm.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = identities(norm, space)
-    return _answer(norm, found, space)
-
-
-def _answer(norm: DataFrame, found: DataFrame, space: Workspace) -> DataFrame:
-    rows = space.keep(norm.select("doc_id", "sha"))
-    named = found.select(F.expr("cast(nullif(doc, '') as bigint)").alias("doc_id"), "sha", "n", "name")
-    again = space.keep(rows.groupBy("doc_id", "sha").agg(F.count("*").alias("rows")).where("rows > 1"))
-    named = named.alias("n").join(again.alias("a"), F.expr("n.doc_id <=> a.doc_id and n.sha = a.sha"), "left")
-    named = space.keep(named.select("n.doc_id", "n.sha", "n.n", "n.name", F.coalesce("a.rows", F.lit(1)).cast("long").alias("rows")))
-    groups = space.keep(named.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")))
-    known = space.keep(named.join(groups, ["n", "name"]).select("doc_id", F.col("sha").alias("text_sha256"), "keep_id", "group_size"))
-    out = rows.withColumnRenamed("sha", "text_sha256").alias("r").join(known.alias("k"), F.expr("r.doc_id <=> k.doc_id and r.text_sha256 = k.text_sha256"), "left")
-    keep = F.when(F.col("k.text_sha256").isNull(), F.col("r.doc_id")).otherwise(F.col("k.keep_id"))
-    return out.select("r.doc_id", keep.alias("keep_id"), F.coalesce("k.group_size", F.lit(1)).alias("group_size"), F.col("r.doc_id").eqNullSafe(keep).alias("kept"), "r.text_sha256")
+    rows = space.keep(identities(norm.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)), space))
+    groups = space.keep(rows.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    out = rows.join(groups.hint("merge"), ["level", "name"])
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, the one with the least doc_id; the texts stay as they are."""
+    """docs with one row of each group of equal texts, the one with the least doc_id; texts and columns stay as they are.
+
+    Null ids come last and null texts count as empty; of rows repeated with one doc_id and text one stays; an empty table
+    gives no rows.
+    """
     gone = Workspace(docs.sparkSession).keep(exact_duplicates(docs).where("not kept").select("doc_id", "text_sha256").distinct())
     sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
     marked = docs.withColumn("__sha", sha)
