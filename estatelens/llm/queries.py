@@ -70,6 +70,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+def _permuted_sql(x: str, n: str, seed: str, back: bool = False) -> str:
+    """mixing.permuted, or place_of with back."""
+    a, b, c, p, half = mixing.A, mixing.B, mixing.C, mixing.PRIME, mixing.HALF
+    high = f"((r * {a} + {seed} * {b} + 12345) % {p} * {c} % {p})"
+    other = f"((({high} * {half} + ({high} * {a} + r) % {p}) % {n} - v + {n}) % {n})"
+    low = f"((greatest(v, {other}) % {half} % {p} * {a} + (greatest(v, {other}) >> 31) * {b} + r * {b} + {seed} * {c}) % {p})"
+    rounds = f"range({mixing.ROUNDS}, 0, -1)" if back else f"range(1, {mixing.ROUNDS + 1})"
+    return f"list_reduce({rounds}, lambda v, r: case when ({low} * {a} % {p} * {b} % {p} // 1024) % 2 = 1 then {other} else v end, {x})"
+
+
+def _mixed_sql() -> str:
+    """Sources (t to j), the draw of shards (g to c), laid-out documents (l) and their blocks (b)."""
+    block, shard = mixing.BLOCK, mixing.SHARD
+    return rf"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size from documents),
+t as (select source, sum(size)::bigint as ss from d group by 1),
+o as (select *, row_number() over (order by source nulls last) - 1 as number from t),
+w as (select *, number % 3 + 1 as weight, 3 * ss as cap from o),
+p as (select *, sum(cap) over u as cb, sum(weight) over u as wb, sum(ss) over () as al, sum(weight) over () as wl from w
+      window u as (order by cap / weight, number rows between unbounded preceding and 1 preceding)),
+f as (select *, cap * (wl - coalesce(wb, 0)) <= (al - coalesce(cb, 0)) * weight as ful from p),
+e as (select *, case when ful then cap::double else (al - coalesce(sum(cap) filter (where ful) over (), 0)) * weight / (sum(weight) filter (where not ful) over ())::double end as target from f),
+h as (select number::bigint as number, source, ss, coalesce(target, 0) as target, (ss + {block - 1}) // {block} as blocks,
+      case when ss > 0 then cast(floor(target / ss) as bigint) else 0 end as whole from e),
+i as (select *, case when ss > 0 then least(cast(round(target - whole * ss) as bigint), ss) else 0 end as rest, ss - (blocks - 1) * {block} as short,
+      {_permuted_sql("blocks - 1", "greatest(blocks, 1)", "(number + 1)", back=True)} as pos from h),
+n as (select *, rest + case when ss > 0 and (pos < rest // {block} or (pos = rest // {block} and rest % {block} >= short)) then {block} - short else 0 end as need from i),
+m as (select *, need % {block} as part, whole * blocks + need // {block} + (need % {block} > 0)::bigint as slots from n),
+j as (select *, coalesce(sum(slots) over (order by number rows between unbounded preceding and 1 preceding), 0)::bigint as before, (sum(slots) over ())::bigint as total from m),
+g as (select number, total, before + unnest(range(slots)) as g from j),
+x as (select number, {_permuted_sql("g", "total", "0")} // {shard} as shard, total from g),
+y as (select number, shard, any_value(total) as total, count(*) as n from x group by 1, 2),
+z as (select *, coalesce(sum(n) over (partition by number order by shard rows between unbounded preceding and 1 preceding), 0)::bigint as q0,
+      coalesce(sum(n) over (partition by shard order by number rows between unbounded preceding and 1 preceding), 0)::bigint as at0, least({shard}, total - shard * {shard}) as places from y),
+q as (select z.*, unnest(range(n)) as k from z),
+c as (select number, shard, {_permuted_sql("at0 + k", "places", "(shard + 1)")} as slot, {_permuted_sql("(q0 + k) % blocks", "blocks", "(number + 1)")} as block,
+      case when q0 + k = slots - 1 and part > 0 then part else {block} end as words from q join j using (number)),
+l as (select doc_id, source, size, number, ss, target, coalesce(sum(size) over (partition by number order by doc_id % (select greatest({mixing.PARTS}, count(*) // {mixing.PART_ROWS}) from documents), doc_id
+      rows between unbounded preceding and 1 preceding), 0)::bigint as first from d join (select number, source as s, ss, target from j) on source is not distinct from s),
+b as (select *, unnest(range(first // {block}, (first + size - 1) // {block} + 1)) as block from l where size > 0)"""
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,28 +134,13 @@ select n.doc_id, n_shingles, component_id, n.doc_id = component_id as kept from
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
 from t window w as (partition by norm)"""
-    k = f"((((r * {mixing.A} + (number + 1) * {mixing.B} + 12345) % {mixing.PRIME}) * {mixing.C}) % {mixing.PRIME} % blocks)"
-    other = f"(({k} - v + blocks) % blocks)"
-    bit = f"((((greatest(v, {other}) % {mixing.PRIME} * {mixing.A} + r * {mixing.B} + (number + 1) * {mixing.C}) % {mixing.PRIME}) * {mixing.A} % {mixing.PRIME} * {mixing.B} % {mixing.PRIME} // 1024) % 2)"
-    op5 = rf"""
-with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size from documents),
-t as (select source, sum(size)::bigint as ss from d group by 1),
-o as (select *, row_number() over (order by source nulls last) - 1 as number from t),
-w as (select *, number % 3 + 1 as weight, 3 * ss as cap from o),
-p as (select *, sum(cap) over u as cb, sum(weight) over u as wb, sum(ss) over () as al, sum(weight) over () as wl from w
-      window u as (order by cap / weight, number rows between unbounded preceding and 1 preceding)),
-f as (select *, cap * (wl - coalesce(wb, 0)) <= (al - coalesce(cb, 0)) * weight as ful from p),
-g as (select *, case when ful then cap::double else (al - coalesce(sum(cap) filter (where ful) over (), 0)) * weight / (sum(weight) filter (where not ful) over ())::double end as target from f),
-h as (select number::bigint as number, source, ss, coalesce(target, 0) as target, cast(ceil(ss / {mixing.BLOCK}) as bigint) as blocks,
-      case when ss > 0 then cast(floor(target / ss) as bigint) else 0 end as whole from g),
-j as (select *, case when blocks > 0 then least(cast(round((target - whole * ss) / {mixing.BLOCK}) as bigint), blocks) else 0 end as spare from h),
-q as (select number, blocks, unnest(range(whole * blocks + spare)) as q from j),
-c as (select number, list_reduce(range(1, {mixing.ROUNDS + 1}), lambda v, r: case when {bit} = 1 then {other} else v end, q % blocks) as block, count(*) as times from q group by 1, 2),
-l as (select doc_id, size, number, ss, target, coalesce(sum(size) over (partition by number order by doc_id % {mixing.PARTS}, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as first
-      from d join j on d.source is not distinct from j.source),
-b as (select *, unnest(range(first // {mixing.BLOCK}, (first + size - 1) // {mixing.BLOCK} + 1)) as block from l where size > 0),
-k as (select doc_id, sum((least(first + size, (b.block + 1) * {mixing.BLOCK}) - greatest(first, b.block * {mixing.BLOCK})) * times) as taken from b join c on b.number = c.number and b.block = c.block group by 1)
+    mixed = _mixed_sql()
+    op5 = mixed + f""",
+k as (select l.doc_id, sum(greatest(least(first + size, block * {mixing.BLOCK} + words) - greatest(first, block * {mixing.BLOCK}), 0)) as taken from b l join c using (number, block) group by 1)
 select doc_id, size, ss as source_size, target, coalesce(taken, 0)::bigint as taken from l left join k using (doc_id)"""
+    op5_blocks = mixed + f""",
+k as (select shard, slot, source, block, doc_id, greatest(first, block * {mixing.BLOCK}) - first as "at", least(first + size, block * {mixing.BLOCK} + words) - greatest(first, block * {mixing.BLOCK}) as n from b l join c using (number, block))
+select * from k where n > 0"""
     op7 = rf"""
 with c as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/:?#]+)', 2)) as host,
   list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', chr(10), 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), chr(10)),
@@ -124,4 +151,4 @@ b as (select h.host, line from h join t on h.host = t.host group by h.host, line
 g as (select host, list(line) as gone from b group by 1),
 s as (select page_id, c.host, ls, list_filter(ls, lambda x: not list_contains(coalesce(gone, []), x)) as st from c left join g on c.host = g.host)
 select page_id, host, len(ls)::bigint as n_lines, (len(ls) - len(st))::bigint as n_dropped, array_to_string(st, chr(10)) as text from s"""
-    return {"op1_near_dedup": op1, "op5_mixing": op5, "op7_line_dedup": op7, "op9_exact_dedup": op9}
+    return {"op1_near_dedup": op1, "op5_mixing": op5, "op5_mixing_blocks": op5_blocks, "op7_line_dedup": op7, "op9_exact_dedup": op9}

@@ -12,13 +12,14 @@ from test_odd_cases import WORD, brute_components
 from estatelens.llm import mixing, queries, toxicity
 
 
-def permuted(x, n, seed):
+def permuted(x, n, seed, back=False):
     p, a, b, c = mixing.PRIME, mixing.A, mixing.B, mixing.C
-    for r in range(1, mixing.ROUNDS + 1):
-        k = ((r * a + seed * b + 12345) % p * c) % p % n
-        other = (k - x + n) % n
-        bit = (((max(x, other) % p * a + r * b + seed * c) % p) * a % p * b % p // 1024) % 2
-        x = other if bit else x
+    for r in range(mixing.ROUNDS, 0, -1) if back else range(1, mixing.ROUNDS + 1):
+        high = (r * a + seed * b + 12345) % p * c % p
+        other = ((high * 2**31 + (high * a + r) % p) % n - x + n) % n
+        top = max(x, other)
+        low = (top % 2**31 % p * a + (top >> 31) * b + r * b + seed * c) % p
+        x = other if (low * a % p * b % p >> 10) & 1 else x
     return x
 
 
@@ -40,17 +41,20 @@ def mixed(docs):
     out = []
     for number, s in enumerate(sources):
         blocks = -(-own[s] // mixing.BLOCK)
-        times = defaultdict(int)
-        whole = int(target[s] // own[s]) if own[s] else 0
-        spare = min(math.floor((target[s] - whole * own[s]) / mixing.BLOCK + 0.5), blocks)
-        for q in range(whole * blocks + spare):
-            times[permuted(q % blocks, blocks, number + 1)] += 1
+        times = defaultdict(int)  # of each place of the source
+        left, q = math.floor(target[s] + 0.5), 0
+        while left and own[s]:
+            first = permuted(q % blocks, blocks, number + 1) * mixing.BLOCK
+            n = min(left, mixing.BLOCK, own[s] - first)
+            for i in range(first, first + n):
+                times[i] += 1
+            left, q = left - n, q + 1
         first = 0
         for d in sorted((d for d in docs if docs[d][1] == s), key=lambda d: (d % mixing.PARTS, d)):
             words = WORD.findall(docs[d][0])
             if not words:
                 out.append((d, docs[d][0]))
-            taken = [times[(first + i) // mixing.BLOCK] for i in range(len(words))]
+            taken = [times[first + i] for i in range(len(words))]
             for turn in range(1, max(taken, default=0) + 1):
                 kept = [w for w, n in zip(words, taken, strict=True) if n >= turn]
                 out.append((d, docs[d][0] if len(kept) == len(words) else " ".join(kept)))
