@@ -1,15 +1,17 @@
 """Toxicity by maximum-scoring segments.
 
-Fitting: a token's log-odds between toxic and clean training passages, under a Dirichlet prior (an even part
-plus one in proportion to the token's frequency), less two standard errors and a drift, is its score; tokens are
-counted once per distinct three-word context, so that copies of a document do not vote twice. Tokens without
-a positive score cost GAP each. Scoring: one linear scan finds all maximal scoring segments of a document.
-With random tokens the segments above a score s would number K * n * exp(-lambda * s); lambda comes from the
-clean token frequencies, K from clean training documents, and a segment is significant as far as its score
-goes beyond that. The summed significance of a document is mapped to 0..1 by a logistic curve.
-
-The classifier is fitted on SAMPLE labelled rows at most (those least in hash order) and keeps LEXICON tokens at
-most; every row is scored over its whole text.
+Fitting: a token's score is its log-odds between toxic and clean training documents under a Dirichlet prior (an even part
+plus one in proportion to the token's frequency), brought ERRORS standard errors nearer to zero, less a drift. Clean
+evidence is negative and counts as much as toxic evidence; tokens never seen cost the drift. Tokens are counted
+once a document, and a three-word context only in the first document that has it, so that copies do not vote twice. Scores are
+kept in a table of BUCKETS hashed tokens, whatever the vocabulary; tokens that share a bucket share a score.
+Scoring: one linear scan finds all maximal scoring segments of a document. With random clean tokens the segments
+above a score s would number K * n * exp(-decay * s); decay comes from the clean tokens' scores, K from clean training
+documents, and a segment is significant as far as its score goes beyond that. The summed significance of a document is mapped to
+0..1 by a logistic curve.
+
+The classifier is fitted on SAMPLE labelled documents at most (those least in hash order); every row is scored over
+its whole text.
 """
 
 from __future__ import annotations
@@ -26,32 +28,32 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, mix64, slices, word_hashes, words
 
-#: Documented bounds of the fit.
-SAMPLE, LEXICON = 8000, 5000
+#: Documented bounds of the fit: labelled documents, and places of the table of scores.
+SAMPLE, BITS = 8000, 20
+BUCKETS = 1 << BITS
 EVEN, BY_FREQUENCY = 0.5, 100.0
-DRIFT, GAP = 1.0, 0.05
+ERRORS, DRIFT, MARGIN = 1.5, 1.0, 0.05
 THRESHOLD = 0.7
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$@^~|/\\-_+=`«»¿¡…“”‘’"
 
 
 @dataclass
 class Model:
-    scores: dict[str, float] = field(default_factory=dict)
+    #: Score of each bucket, and last that of a token without letters; empty if nothing is learnt.
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
     decay: float = 1.0
     k: float = 1.0
     bias: float = math.log(0.1 / 0.9)
     slope: float = 0.0
 
 
-def segments(at: np.ndarray, score: np.ndarray) -> list[float]:
-    """Scores of all maximal scoring segments, given the places and scores of the positive tokens; all between cost GAP."""
+def segments(score: np.ndarray) -> list[float]:
+    """Scores of all maximal scoring segments of a run of scores, in one scan over the positive ones."""
+    at = np.flatnonzero(score > 0)
+    sums = np.concatenate([[0.0], np.cumsum(score)])
     found: list[list[float]] = []  # [sum before, sum after] of candidate segments
     links: list[int] = []  # the candidate before with a smaller sum before
-    total, last = 0.0, -1
-    for p, s in zip(at.tolist(), score.tolist(), strict=True):
-        total -= GAP * (p - last - 1)
-        left, total, last = total, total + s, p
-        right = total
+    for left, right in zip(sums[at].tolist(), sums[at + 1].tolist(), strict=True):
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
@@ -65,44 +67,63 @@ def segments(at: np.ndarray, score: np.ndarray) -> list[float]:
     return [b - a for a, b in found]
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token number at each place, the hash of each token (0 if it has no letter or digit), the tokens of each text."""
     codes, distinct, counts = words(texts)
-    return codes, pc.utf8_trim(distinct, _EDGE).to_pylist(), counts
+    names = pc.utf8_trim(distinct, _EDGE)
+    return codes, np.where(pc.equal(names, "").to_numpy(zero_copy_only=False), np.uint64(0), word_hashes(names)), counts
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return np.where(hashes == 0, BUCKETS, hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            codes, names, counts = _tokens(part.column("text"))
+            codes, hashes, counts = _tokens(part.column("text"))
             if not len(codes):
                 continue
-            h = np.concatenate([[1, 1], word_hashes(pa.array(names))[codes], [1, 1]]).astype(np.uint64)
-            around = (mix64(h[1:-3] + np.uint64(7)) ^ h[3:-1]).view(np.int64)
+            h, ends = hashes[codes], np.cumsum(counts)[counts > 0]
+            left, right = np.roll(h, 1), np.roll(h, -1)
+            left[ends - counts[counts > 0]], right[ends - 1] = np.uint64(1), np.uint64(1)
+            around = (mix64(left + np.uint64(7)) ^ right).view(np.int64)
             toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int8), counts)
-            seen = pa.table({"w": pa.array(codes), "c": pa.array(around), "toxic": pa.array(toxic)}).group_by(["w", "c", "toxic"]).aggregate([])
-            out = pa.table([pa.array(names).take(seen["w"].combine_chunks()), seen["c"], seen["toxic"]], ["token", "around", "toxic"])
-            yield from out.combine_chunks().to_batches()
+            doc = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), counts)
+            seen = pa.table({"bucket": _bucket(hashes)[codes].astype(np.int32), "around": around, "toxic": toxic, "doc_id": doc}).group_by(["bucket", "around", "toxic", "doc_id"]).aggregate([])
+            yield from seen.select(["bucket", "around", "toxic", "doc_id"]).combine_chunks().to_batches()
 
 
 def evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[float]]]:
     """Number of tokens and the maximal segments of each text."""
-    codes, names, counts = _tokens(texts)
-    s = np.array([model.scores.get(x, 0.0) for x in names])
-    scored = s[codes] if len(codes) else np.zeros(0)
+    codes, hashes, counts = _tokens(texts)
+    if not len(model.scores):
+        return counts, [[] for _ in counts]
+    scored = model.scores[_bucket(hashes)].astype(np.float64)[codes] if len(codes) else np.zeros(0)
     ends = np.cumsum(counts)
-    hits = np.flatnonzero(scored)
-    cuts = np.searchsorted(hits, np.concatenate([[0], ends]))
-    out = []
-    for i in range(len(counts)):
-        own = hits[cuts[i] : cuts[i + 1]]
-        out.append(segments(own - (ends[i] - counts[i]), scored[own]) if len(own) else [])
-    return counts, out
+    return counts, [segments(scored[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
+def beyond(n: int, found: list[float], model: Model) -> list[float]:
+    """How far each significant segment goes beyond what n random tokens would have."""
+    random = max(math.log(max(model.k * n, 1e-9)), 0.0) if n else 0.0
+    return [x for x in (model.decay * s - random for s in found) if x > 0]
 
 
 def significance(n: int, found: list[float], model: Model) -> float:
-    """Log of how far the significant segments go beyond what n random tokens would have."""
-    beyond = math.log(max(model.k * n, 1e-9)) if n else 0.0
-    return math.log1p(sum(max(0.0, model.decay * x - max(beyond, 0.0)) for x in found))
+    return math.log1p(sum(beyond(n, found, model)))
+
+
+def _above(model: Model, least: float):
+    """Tokens of each text, and its segments of the score `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                n, found = evidence(part.column("text"), model)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array([sum(x >= least for x in f) for f in found], pa.int64())], ["n", "above"])
+
+    return run
 
 
 def _training(model: Model):
@@ -110,55 +131,66 @@ def _training(model: Model):
         for batch in batches:
             for part in slices(batch, "text"):
                 n, found = evidence(part.column("text"), model)
-                best = [[x for x in f if x > 0] for f in found]
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(n), pa.array(best, pa.list_(pa.float64()))], ["toxic", "n", "found"])
+                x = [significance(int(c), f, model) for c, f in zip(n, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x, pa.float64())], ["toxic", "x"])
 
     return run
 
 
+def token_scores(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, float]:
+    """The table of scores and its decay, of buckets seen in a toxic and b clean documents and at `uses` clean places."""
+    prior = EVEN + BY_FREQUENCY * (a + b) / (a.sum() + b.sum())
+    odds = np.log((a + prior) / (a.sum() + BY_FREQUENCY - a)) - np.log((b + prior) / (b.sum() + BY_FREQUENCY - b))
+    error = np.sqrt(1 / (a + prior) + 1 / (b + prior))
+    nearer = np.sign(odds) * np.maximum(np.abs(odds) - ERRORS * error, 0.0)
+    p = uses / max(uses.sum(), 1.0)
+    # the mean of clean tokens must be negative, or segments would grow with the text
+    drift = max(DRIFT, float((p * nearer).sum()) + MARGIN)
+    table = np.full(BUCKETS + 1, -drift, np.float32)
+    table[bucket] = nearer - drift
+    return table, _decay(p, nearer - drift)
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """A model from labels(doc_id, toxic) where `usable` holds for the doc_id. Nothing but texts and labels is used.
 
-    Null labels and unlabelled texts are left out; without both classes every score is the base rate.
+    Null labels and unlabelled texts are left out, of several texts of one id the least is read, an id labelled both ways is
+    toxic; without both classes every score is the base rate.
     """
     space = Workspace(docs.sparkSession)
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # SAMPLE rows of two numbers at most
-    rows = space.keep(rows)
-    train = space.keep(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic"))
-    seen = train.mapInArrow(_contexts, "token string, around long, toxic byte")
-    once = seen.where("token <> ''").groupBy("token", "around").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
-    tokens = space.keep(once.groupBy("token").agg(F.sum(F.col("lo").cast("long")).alias("a"), F.sum(1 - F.col("lo").cast("long")).alias("b")))
-    total = tokens.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    rows = space.keep(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
+    train = space.keep(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    seen = train.mapInArrow(_contexts, "bucket int, around long, toxic byte, doc_id long").where(F.col("bucket") < BUCKETS)
+    first = seen.groupBy("bucket", "around").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), F.min("doc_id").alias("doc_id")).where("toxic = most")
+    held = first.groupBy("bucket", "doc_id", "toxic").agg(F.count("*").alias("n"))
+    # BUCKETS rows of four numbers at most
+    toxic = F.col("toxic").cast("long")
+    table = held.groupBy("bucket").agg(F.sum(toxic).alias("a"), F.sum(1 - toxic).alias("b"), F.sum((1 - toxic) * F.col("n")).alias("uses")).toArrow()
+    bucket, a, b, uses = (table[c].to_numpy().astype(np.float64) for c in ("bucket", "a", "b", "uses"))
     model = Model()
-    if not total.a or not total.b:
+    if not a.sum() or not b.sum():
         return model
-    prior = EVEN + BY_FREQUENCY * (F.col("a") + F.col("b")) / F.lit(total.a + total.b)
-    odds = F.log((F.col("a") + prior) / (F.lit(total.a + BY_FREQUENCY) - F.col("a"))) - F.log((F.col("b") + prior) / (F.lit(total.b + BY_FREQUENCY) - F.col("b")))
-    error = F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    scored = tokens.select("token", "b", (odds - 2 * error - DRIFT).alias("score")).where("score > 0")
-    best = scored.orderBy(F.desc("score"), "token").limit(LEXICON).collect()
-    model.scores = {r.token: r.score for r in best}
-    if not best:
+    scores, decay = token_scores(bucket.astype(np.int64), a, b, uses)
+    if not (scores > 0).any():
         return model
-    model.decay = _decay([(r.b + EVEN) / total.b for r in best], [r.score for r in best])
-    got = train.mapInArrow(_training(model), "toxic int, n long, found array<double>").toPandas()  # SAMPLE rows at most
-    floor = min(model.scores.values())
-    clean = got[got.toxic == 0]
-    above = sum(len(x) for x in clean.found)
-    model.k = max(above, 0.5) / max(clean.n.sum(), 1) * math.exp(model.decay * floor)
-    x = np.array([significance(n, f, model) for n, f in zip(got.n, got.found, strict=True)])
-    model.bias, model.slope = _logistic(x, got.toxic.to_numpy())
+    model.scores, model.decay = scores, decay
+    least = math.log(10) / model.decay
+    clean = train.where("toxic = 0").select("text").mapInArrow(_above(model, least), "n long, above long").agg(F.sum("n").alias("n"), F.sum("above").alias("above")).first()
+    model.k = max(clean.above or 0, 0.5) / max(clean.n or 0, 1) * math.exp(model.decay * least)
+    got = train.select("toxic", "text").mapInArrow(_training(model), "toxic int, x double").toArrow()  # SAMPLE rows at most
+    order = np.lexsort([got["x"].to_numpy(), got["toxic"].to_numpy()])
+    model.bias, model.slope = _logistic(got["x"].to_numpy()[order], got["toxic"].to_numpy()[order])
     return model
 
 
-def _decay(p: list[float], s: list[float]) -> float:
-    """The positive root of sum(p * exp(x * s)) + rest * exp(-x * GAP) = 1."""
-    rest = 1 - sum(p)
+def _decay(p: np.ndarray, s: np.ndarray) -> float:
+    """The positive root of sum(p * exp(x * s)) = 1, for scores of a negative mean; large if none of positive p is positive."""
 
     def f(x: float) -> float:
-        return sum(a * math.exp(min(x * b, 500)) for a, b in zip(p, s, strict=True)) + rest * math.exp(-x * GAP) - 1
+        return float((p * np.exp(np.minimum(x * s, 500))).sum()) - 1
 
     lo, hi = 1e-6, 1.0
     while f(hi) < 0 and hi < 1e3:
@@ -188,15 +220,19 @@ def _scored(model: Model):
         for batch in batches:
             for part in slices(batch, "text"):
                 n, found = evidence(part.column("text"), model)
-                z = np.array([model.bias + model.slope * significance(int(c), f, model) for c, f in zip(n, found, strict=True)])
+                over = [beyond(int(c), f, model) for c, f in zip(n, found, strict=True)]
+                z = np.array([model.bias + model.slope * math.log1p(sum(x)) for x in over])
                 score = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(np.array([len(f) for f in found], np.int32))], ["doc_id", "score", "n_segments"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(np.array([len(x) for x in over], np.int32))], ["doc_id", "score", "n_segments"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, n_segments) of every row of docs(doc_id, text); null and empty texts get the base score."""
+    """(doc_id, score, n_segments) of every row of docs(doc_id, text); null and empty texts get the base score.
+
+    n_segments counts the significant segments only.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_scored(model), "doc_id long, score double, n_segments int")
 
@@ -210,7 +246,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_segments) of every row of docs(doc_id, text).
 
     Labels are learnt only from rows whose remainder by 3 is not 1; predicted is 1 from a score of 0.7 on. Repeated
-    rows are returned as they come, a null id is not held out, other columns are ignored, an empty table gives no rows.
+    rows are returned as they come, a null id is not held out, null and empty texts get the base score, very long texts are read
+    whole, other columns are ignored, an empty table gives no rows.
     """
     model = fit(docs, labels, remainder("doc_id", 3) != 1)
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
@@ -218,10 +255,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those scored THRESHOLD or more; each row is judged by its own text and columns are kept."""
+    """docs without those scored THRESHOLD or more; each row is judged by its own whole text and columns are kept.
+
+    Null and empty texts get the base score and stay, null ids and repeated rows are judged as all others, an empty table gives no rows.
+    """
     model = fit(docs, labels, remainder("doc_id", 3) != 1)
-    verdict = docs.mapInArrow(_filtered(model), docs.schema)
-    return verdict
+    return docs.mapInArrow(_filtered(model), docs.schema)
 
 
 def _filtered(model: Model):

