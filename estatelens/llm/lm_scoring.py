@@ -2,17 +2,14 @@
 
 A document is read as one running text: its words, each followed by a blank, and the end. Every byte is predicted from up
 to ORDER bytes before it, across blanks, whatever words they belong to. A context that has not seen the byte
-escapes to the next shorter one with probability d / (n + d), d and n being the distinct and all bytes it has seen,
-without those the longer context has ruled out already (symbol exclusion). Below the empty context all other bytes are
-alike. The trie is pretrained on the training documents and grows with them; it is kept as a table of (context, byte)
-counts, dealt by the two nearest context bytes, within which all longer contexts of a chain lie together.
-Contexts of one byte or none are 65,536 counts at most and go to every task.
-
-Each distinct (context, byte) of the corpus is coded once. Frequent ones (FREQUENT_KEYS at most) and frequent words
-(FREQUENT_WORDS at most, for the base score) go to every task; all others are joined.
-
-`score_documents` is the narrower model whose contexts begin at the blank before a token, so that a token's code length
-depends on the token alone; no query uses it.
+escapes to the next shorter one with probability d / 2n (estimation D), d and n being the distinct and all bytes it has seen,
+without those the longer context has ruled out already (symbol exclusion); a byte seen c times has (2c - 1) / 2n. Below the empty context all other bytes are
+alike. The trie is pretrained on the training documents and grows with them; it is a table of (context, byte) counts for
+each order, and a node of it, a context with its 256 bytes at most, is the largest group there is.
+
+Each distinct (context, byte) of the corpus is coded once: at the highest order if training has it, else order by order
+with the nodes that it escapes to. Frequent ones (FREQUENT_KEYS at most) and frequent words (FREQUENT_WORDS at most, for
+the base score) go to every task; all others are joined.
 """
 
 from __future__ import annotations
@@ -21,11 +18,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, slices, words
@@ -33,9 +29,8 @@ from .common import Workspace, slices, words
 ORDER = 5
 #: The end of a document, as a token; no word can be a line feed.
 END = "\n"
-FREQUENT_WORDS, FREQUENT_CONTEXTS, PARTS = 60_000, 150_000, 256
-#: Keys of running text that go to every task; distinct keys that a task gathers before it hands them on.
-FREQUENT_KEYS, GATHERED = 500_000, 2_000_000
+#: Words and keys that go to every task; distinct keys that a task gathers before it hands them on.
+FREQUENT_WORDS, FREQUENT_KEYS, GATHERED = 60_000, 500_000, 2_000_000
 _BYTES = 256
 #: A-Z lower-cased and white space as blanks.
 _PLAIN = np.array([32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(_BYTES)], np.uint8)
@@ -53,37 +48,6 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([names, pa.array(seen.astype(np.int64)), pa.array(full.astype(np.int64))], ["word", "c", "uses"])
 
 
-def positions(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The key of every byte to predict, and the number of the token it belongs to.
-
-    A key's low byte is the byte itself, the next ones are those before it, nearest first, as far back as the blank
-    before the token.
-    """
-    data = names.cast(pa.large_binary())
-    size = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.frombuffer(b" " + b"  ".join(data.to_pylist()) + b" ", np.uint8).astype(np.uint64)
-    start = np.cumsum(size + 2) - (size + 2)
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    at = np.arange(len(owner)) + owner + 1
-    back = at - start[owner]
-    key = flat[at].copy()
-    for o in range(1, ORDER + 1):
-        key |= np.where(back >= o, flat[np.maximum(at - o, 0)], np.uint64(0)) << np.uint64(8 * o)
-    return key.view(np.int64), owner
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 100_000):
-            part = batch.slice(at, 100_000)
-            key, owner = positions(part.column("word"))
-            c = part.column("c").to_numpy(zero_copy_only=False)
-            keys, inverse = np.unique(key, return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, inverse, c[owner])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-
 def running_text(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The key of every byte of the texts as running text, and each text's first and last place.
 
@@ -145,78 +109,43 @@ def _text_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from out(_gathered(parts))
 
 
-class _Level:
-    """Counts of one order: bytes by context, and each context's totals."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        seen = n > 0
-        self.keys, inverse = np.unique(keys[seen], return_inverse=True)
-        self.n = np.bincount(inverse, weights=n[seen], minlength=len(self.keys))
-        self.contexts, self.of = np.unique(self.keys >> 8, return_inverse=True)
-        self.total = np.bincount(self.of, weights=self.n, minlength=len(self.contexts))
-        self.kinds = np.bincount(self.of, minlength=len(self.contexts)).astype(float)
-
-    @staticmethod
-    def find(table: np.ndarray, values: np.ndarray, what: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.zeros(len(values))
-        i = np.minimum(np.searchsorted(table, values), len(table) - 1)
-        return np.where(table[i] == values, what[i], 0.0)
-
-
-def code_lengths(keys: np.ndarray, levels: list[_Level]) -> np.ndarray:
-    """log10 of the probability of each key's byte; levels by order, from 0 to ORDER."""
-    out, done = np.zeros(len(keys)), np.zeros(len(keys), bool)
-    ruled_out = np.zeros(len(keys))
-    for o in range(ORDER, -1, -1):
-        level = levels[o]
-        mine = keys & ((1 << (8 * (o + 1))) - 1)
-        context = mine >> 8
-        total, kinds = (_Level.find(level.contexts, context, x) for x in (level.total, level.kinds))
-        if o < ORDER:
-            longer = levels[o + 1]
-            known = _Level.find(level.keys, longer.keys & ((1 << (8 * (o + 1))) - 1), level.n)
-            gone = np.bincount(longer.of, weights=known, minlength=len(longer.contexts))
-            total = total - _Level.find(longer.contexts, (keys & ((1 << (8 * (o + 2))) - 1)) >> 8, gone)
-            kinds, before = kinds - ruled_out, kinds
-        else:
-            before = kinds
-        n = _Level.find(level.keys, mine, level.n)
-        hit = ~done & (n > 0)
-        escape = ~done & (n == 0) & (kinds > 0.5)
-        both = np.maximum(total + kinds, 1.0)
-        out += np.where(hit, np.log10(np.maximum(n, 1) / both), 0.0) + np.where(escape, np.log10(np.maximum(kinds, 1) / both), 0.0)
-        done |= hit
-        ruled_out = before
-    return out + np.where(done, 0.0, -np.log10(np.maximum(_BYTES - ruled_out, 1.0)))
-
-
-def _coded(short: list[tuple[np.ndarray, np.ndarray]]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
-        levels = [_Level(*short[0]), _Level(*short[1])]
-        levels += [_Level(keys & ((1 << (8 * (o + 1))) - 1), n) for o in range(2, ORDER + 1)]
-        return pdf[[c for c in ("key", "uses") if c in pdf]].assign(lp=code_lengths(keys, levels))
+def _low(column: str, size: int) -> Column:
+    """The `size` lowest bytes of a key."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))
 
-    return run
 
+def _coded(n: Column, total: Column, kinds: Column) -> Column:
+    """log10 of the probability of a byte seen n times, or of the escape if n is 0, where `kinds` bytes were seen `total` times."""
+    return F.when(n > 0, F.log10((2 * n - 1) / (2 * total))).when(kinds > 0, F.log10(kinds / (2 * total))).otherwise(0.0)
 
-def _worded(keys: np.ndarray, lp: np.ndarray):
-    """Sum of the code lengths of the frequent contexts of each word, and the other keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100_000):
-                part = batch.slice(at, 100_000)
-                key, owner = positions(part.column("word"))
-                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                known = keys[i] == key
-                total = np.bincount(owner[known], weights=lp[i[known]], minlength=part.num_rows).astype(np.float64)
-                rare = np.bincount(owner[~known], minlength=part.num_rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)), pa.array(key[~known]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total), lists], [*part.schema.names, "lp", "rare"])
+def code_lengths(counts: DataFrame, space: Workspace) -> DataFrame:
+    """(key, uses, lp) of every row of counts(key, n, uses): log10 of the probability of the key's byte after its context.
 
-    return run
+    n is how often training has the key, and may be 0. No group here is larger than the 256 bytes of a node.
+    """
+    node = counts.groupBy(F.shiftright("key", 8).alias("context")).agg(F.collect_list(F.struct("key", "n", "uses")).alias("all"))
+    node = node.select("all", F.expr("aggregate(all, 0L, (s, x) -> s + x.n)").alias("total"), F.expr("transform(filter(all, x -> x.n > 0), x -> cast(x.key & 255 as int))").alias("seen"))
+    first = node.select("total", "seen", F.inline("all"))
+    lp = _coded(F.col("n"), F.col("total"), F.size("seen"))
+    coded = space.keep(first.select("key", "uses", "n", lp.alias("lp"), F.when(F.col("n") == 0, F.col("seen")).alias("seen")))
+    done, level = [coded.where("n > 0")], counts.where("n > 0").select("key", "n")
+    for order in range(ORDER - 1, -1, -1):
+        level = space.keep(level.groupBy(_low("key", order + 1).alias("key")).agg(F.sum("n").alias("n")))
+        nodes = level.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("all"), F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("byte"), "n")).alias("of"))
+        # nodes of one byte of context or none: 65,536 counts at most
+        nodes = F.broadcast(nodes) if order < 2 else nodes.hint("merge")
+        left = coded.where("n = 0").select("key", "uses", "lp", "seen", F.shiftright(_low("key", order + 1), 8).alias("context"))
+        met = left.join(nodes, "context", "left").withColumn("of", F.expr("coalesce(of, cast(array() as array<struct<byte:int,n:bigint>>))"))
+        met = met.withColumn("n", F.expr("coalesce(get(filter(of, x -> x.byte = key & 255), 0).n, 0L)"))
+        total = F.expr("coalesce(all, 0L) - aggregate(filter(of, x -> array_contains(seen, x.byte)), 0L, (s, x) -> s + x.n)")
+        more = _coded(F.col("n"), total, F.size("of") - F.size("seen"))
+        coded = space.keep(met.select("key", "uses", "n", (F.col("lp") + more).alias("lp"), F.expr("if(n = 0, transform(of, x -> x.byte), null)").alias("seen")))
+        done.append(coded.where("n > 0"))
+    out = coded.where("n = 0").select("key", "uses", (F.col("lp") - F.log10(F.greatest(_BYTES - F.size("seen"), F.lit(1)))).alias("lp"))
+    for d in done:
+        out = out.unionByName(d.select("key", "uses", "lp"))
+    return out
 
 
 def _texted(texts: pa.Array, keys: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -232,8 +161,8 @@ def _texted(texts: pa.Array, keys: np.ndarray, lp: np.ndarray) -> tuple[np.ndarr
     return np.add.reduceat(each, first), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(key[rare]))
 
 
-def _scored(frequent: pa.Array, c: np.ndarray, lp: np.ndarray, text: tuple[np.ndarray, np.ndarray] | None = None):
-    """Sums over each row's frequent words, and its other words; `text` has the frequent keys, whose sums are the score then."""
+def _scored(frequent: pa.Array, c: np.ndarray, keys: np.ndarray, lp: np.ndarray):
+    """Sums over each row's frequent words and keys, and its other words and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
@@ -245,81 +174,27 @@ def _scored(frequent: pa.Array, c: np.ndarray, lp: np.ndarray, text: tuple[np.nd
                 own = i[codes] if len(codes) else np.zeros(0, np.int64)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 hot = own >= 0
-                known, base, score = (np.bincount(doc[hot], weights=x[own[hot]], minlength=len(counts)).astype(np.float64) for x in (c > 0, logs, lp))
+                known, base = (np.bincount(doc[hot], weights=x[own[hot]], minlength=len(counts)).astype(np.float64) for x in (c > 0, logs))
                 edges = np.concatenate([[0], np.cumsum(np.bincount(doc[~hot], minlength=len(counts)))]).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(edges), distinct.cast(pa.string()).take(pa.array(codes[~hot])))
+                score, rare_keys = _texted(part.column("text"), keys, lp)
                 rows = np.arange(row, row + len(counts))
                 row += len(counts)
-                more = []
-                if text:
-                    score, keys = _texted(part.column("text"), *text)
-                    more = [keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), part.column("doc_id"), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rare, *more],
-                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_keys"][: 7 + len(more)],
+                    [pa.array(rows), part.column("doc_id"), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rare, rare_keys],
+                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_keys"],
                 )
 
     return run
 
 
-def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs(doc_id, text).
-
-    Rows whose crc32 of doc_id as text leaves `held` modulo `by` are held out; the others train. A-Z are lower-cased,
-    tokens are words `[^\\x20\\x09-\\x0D]+` and one end. Null and empty texts are one end; rows with a null id neither train nor
-    are held out; repeated rows count and are returned as they come; other columns are ignored; an empty table gives no rows.
-    """
-    spark, space = docs.sparkSession, Workspace(docs.sparkSession)
-    left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(left != held, F.lit(False)).alias("train"))
-    vocabulary = rows.mapInArrow(_vocabulary, "word string, c long, uses long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
-    vocabulary = space.keep(vocabulary)
-    size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
-    counts = vocabulary.select("word", "c").mapInArrow(_contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = space.keep(counts)
-    # 65,536 rows at most
-    pairs = counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    first, n1 = pairs["key"].to_numpy(), pairs["n"].to_numpy()
-    short = [(first & 0xFF, n1), (first, n1)]
-    part = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit(PARTS))
-    coded = counts.groupBy(part.alias("part")).applyInPandas(_coded(short), "key long, lp double")
-    coded = space.keep(coded)
-    # FREQUENT_CONTEXTS rows of two numbers at most
-    often = coded.join(counts, "key").orderBy(F.desc("n"), "key").limit(FREQUENT_CONTEXTS).select("key", "lp").toArrow().sort_by("key")
-    keys, lp = often["key"].to_numpy(), often["lp"].to_numpy()
-    if not len(keys):
-        keys, lp = np.array([-1], np.int64), np.zeros(1)
-    coded_words = space.keep(vocabulary.mapInArrow(_worded(keys, lp), "word string, c long, uses long, lp double, rare array<long>"))
-    rest = coded_words.where("size(rare) > 0").select("word", F.explode("rare").alias("key")).join(coded, "key").groupBy("word").agg(F.sum("lp").alias("more"))
-    table = coded_words.where("size(rare) = 0").select("word", "c", "uses", "lp")
-    with_rest = coded_words.where("size(rare) > 0").join(rest, "word").select("word", "c", "uses", (F.col("lp") + F.col("more")).alias("lp"))
-    table = space.keep(table.unionByName(with_rest))
-    end = table.where(F.col("word") == END).first()
-    # FREQUENT_WORDS rows at most
-    top = table.where(F.col("word") != END).orderBy(F.desc("uses"), "word").limit(FREQUENT_WORDS).toArrow()
-    frequent = pa.array(top["word"].to_pylist(), pa.string())
-    scored = rows.select("doc_id", "text").mapInArrow(_scored(frequent, top["c"].to_numpy(), top["lp"].to_numpy()), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>")
-    scored = space.keep(scored)
-    others = scored.select("row", F.explode("rare").alias("word")).join(table.select("word", "c", "lp"), "word")
-    others = others.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum(F.log10(F.col("c") + 1.0)).alias("b"), F.sum("lp").alias("s"))
-    out = scored.drop("rare").join(others, "row", "left")
-    n, v, c_end, lp_end = int(size.n), int(size.v), int(end.c) if end else 0, float(end.lp) if end else 0.0
-    zero = F.lit(0.0)
-    return out.select(
-        "doc_id",
-        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % by == held, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0)) + (1 if c_end else 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero) + F.lit(math.log10(c_end + 1)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero) + F.lit(lp_end)).alias("score"),
-    )
-
-
 def score_texts(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs(doc_id, text).
 
-    As score_documents, but score codes each row as one running text, with contexts across its words.
+    Rows whose crc32 of doc_id as text leaves `held` modulo `by` are held out; the others train. A-Z are lower-cased,
+    tokens are words `[^\x20\x09-\x0D]+` and one end; score codes each whole row as one running text. Null and empty texts are one
+    end; rows with a null id neither train nor are held out; repeated rows count and are returned as they come; very
+    long texts are read whole; other columns are ignored; an empty table gives no rows.
     """
     spark, space = docs.sparkSession, Workspace(docs.sparkSession)
     left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
@@ -329,12 +204,7 @@ def score_texts(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
     counts = rows.mapInArrow(_text_contexts, "key long, n long, uses long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
     counts = space.keep(counts)
-    # 65,536 rows at most
-    pairs = counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    first, n1 = pairs["key"].to_numpy(), pairs["n"].to_numpy()
-    short = [(first & 0xFF, n1), (first, n1)]
-    part = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit(PARTS))
-    coded = space.keep(counts.groupBy(part.alias("part")).applyInPandas(_coded(short), "key long, uses long, lp double"))
+    coded = space.keep(code_lengths(counts, space))
     # FREQUENT_KEYS rows of two numbers and FREQUENT_WORDS rows at most
     often = coded.orderBy(F.desc("uses"), "key").limit(FREQUENT_KEYS).select("key", "lp").toArrow().sort_by("key")
     keys, lp = often["key"].to_numpy(), often["lp"].to_numpy()
@@ -342,7 +212,7 @@ def score_texts(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
         keys, lp = np.array([-1], np.int64), np.zeros(1)
     top = vocabulary.where(F.col("word") != END).orderBy(F.desc("uses"), "word").limit(FREQUENT_WORDS).toArrow()
     frequent, c = pa.array(top["word"].to_pylist(), pa.string()), top["c"].to_numpy()
-    scored = rows.select("doc_id", "text").mapInArrow(_scored(frequent, c, np.zeros(len(c)), (keys, lp)), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, rare_keys array<long>")
+    scored = rows.select("doc_id", "text").mapInArrow(_scored(frequent, c, keys, lp), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, rare_keys array<long>")
     scored = space.keep(scored)
     zero = F.lit(0.0)
     words_left = scored.select("row", F.explode("rare").alias("word")).join(vocabulary.select("word", "c"), "word")
