@@ -15,6 +15,7 @@ once and remembered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 MARK = "▁"
-#: Bounds of what a worker remembers: pairs of pieces, and words.
-MEMORY, WORDS = 1_000_000, 400_000
+#: Bounds of what a worker remembers: pairs of pieces, words, and their characters.
+MEMORY, WORDS, CHARACTERS = 1_000_000, 400_000, 16_000_000
 
 
 class TrieEncoder:
@@ -41,12 +42,12 @@ class TrieEncoder:
         n = m.get_piece_size()
         self.bytes = {int(m.id_to_piece(i)[1:-1], 16): i for i in range(n) if m.is_byte(i)}
         self.ids = {m.id_to_piece(i): i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
-        self.piece = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.score = {p: m.get_score(i) for p, i in self.ids.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         # pieces that merging reaches from their characters
         self.reached = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
-        self.tails = {p[i:] for p in self.reached for i in range(len(p))}
+        # ends of such pieces; True for whole ones
+        self.ends = {p[i:]: False for p in self.reached for i in range(len(p))} | dict.fromkeys(self.reached, True)
 
     def merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none is a piece."""
@@ -77,7 +78,7 @@ class TrieEncoder:
         out: list[list[int]] = [[] for _ in distinct]
         # state[d]: the last piece of the encoding of the current path's first d characters
         state: list[str] = [""]
-        path, reached, tails, fits, follows = "", self.reached, self.tails, self.fits, self.follows
+        path, end_of, fits, follows = "", self.ends.get, self.fits.get, self.follows
         for w in order:
             word = distinct[w]
             shared, most = 0, min(len(path), len(word))
@@ -85,21 +86,25 @@ class TrieEncoder:
                 shared += 1
             del state[shared + 1 :]
             for d in range(shared + 1, len(word) + 1):
-                for a in range(d - 1, -1, -1):
-                    piece = word[a:d]
-                    if a < d - 1 and piece not in tails:
+                a = d - 1
+                piece = word[a:d]
+                while True:
+                    if not a:
+                        state.append(piece)
+                        break
+                    before = state[a]
+                    if fits((before, piece)) or follows(before, piece):
+                        state.append(piece)
+                        break
+                    # the next longer piece that may be the last one; a character alone always may
+                    known = False
+                    while not known and known is not None and a:
+                        a -= 1
+                        piece = word[a:d]
+                        known = end_of(piece)
+                    if not known:
                         state.append(self.merge(word[:d])[-1])  # no chain of pieces fits; the merge rule itself decides
                         break
-                    if piece in reached or a == d - 1:
-                        if a == 0:
-                            state.append(piece)
-                            break
-                        before = state[a]
-                        if fits.get((before, piece)) or follows(before, piece):
-                            state.append(piece)
-                            break
-                else:
-                    state.append(self.merge(word[:d])[-1])
             path, pieces, d = word, [], len(word)
             while d:
                 pieces.append(state[d])
@@ -113,10 +118,6 @@ class TrieEncoder:
                     ids.append(i)
         return out
 
-    def text(self, ids: list[int]) -> str:
-        """The marked word that ids stand for."""
-        return b"".join([self.piece[i] for i in ids]).decode("utf-8", "replace")
-
     def cut(self, text: str) -> list[str]:
         return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -125,26 +126,34 @@ _CUT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 class _Memory:
-    """Ids of words seen before by this Python worker and whether they decode to the word; emptied when full."""
+    """Ids of words seen before by this Python worker; the older half of them is forgotten when there are too many."""
 
     def __init__(self, path: str):
-        self.coder, self.known = TrieEncoder(path), {}
+        self.coder, self.known, self.size = TrieEncoder(path), {}, 0
 
-    def of(self, distinct: list[str]) -> list[tuple[np.ndarray, bool]]:
+    def of(self, distinct: list[str]) -> list[array]:
         known = self.known
         new = [w for w in distinct if w not in known]
-        if new:
-            if len(known) + len(new) > WORDS:
-                known.clear()
-                new = distinct
-            for w, ids in zip(new, self.coder.encode(new), strict=True):
-                known[w] = (array("i", ids), self.coder.text(ids) == w)
-        return [known[w] for w in distinct]
+        found = {w: array("i", ids) for w, ids in zip(new, self.coder.encode(new), strict=True)}
+        out = [known.get(w) or found[w] for w in distinct]
+        known |= found
+        self.size += sum(map(len, new))
+        if len(known) > WORDS or self.size > CHARACTERS:
+            for w in list(known)[: len(known) // 2 + 1]:
+                self.size -= len(w)
+                del known[w]
+        return out
 
 
 _MEMORY: dict[str, _Memory] = {}
 
 
+def decoded(model: sentencepiece.SentencePieceProcessor, edges: np.ndarray, ids: np.ndarray) -> list[str]:
+    """The texts of runs of ids; run i goes from edges[i] to edges[i + 1]."""
+    flat, at = ids.tolist(), edges.tolist()
+    return [model.decode(flat[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _MEMORY.get(path) or _MEMORY.setdefault(path, _Memory(path))
@@ -157,9 +166,8 @@ def _encoded(path: str):
                 flat = pa.array([w for x in cut for w in x], pa.large_string()).dictionary_encode()
                 del cut
                 found = memory.of(flat.dictionary.to_pylist())
-                size = np.array([len(x) for x, _ in found], np.int64)
-                right = np.array([y for _, y in found], bool)
-                pool = np.frombuffer(b"".join(x for x, _ in found), np.int32)
+                size = np.array([len(x) for x in found], np.int64)
+                pool = np.frombuffer(b"".join(found), np.int32)
                 start = np.cumsum(size) - size
                 codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 n = size[codes] if len(codes) else np.zeros(0, np.int64)
@@ -167,35 +175,42 @@ def _encoded(path: str):
                 # position of each token in the pool of ids of distinct words
                 where = np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(start[codes] if len(codes) else np.zeros(0, np.int64), n)
                 edges = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(edges), pa.array(pool[where] if len(where) else np.zeros(0, np.int32)))
-                wrong = np.concatenate([[0], np.cumsum(~right[codes])]) if len(codes) else np.zeros(1, np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                same = [not w and MARK not in x for w, x in zip(np.diff(wrong[ends]), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges).astype(np.int64)), tokens, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
+                ids = pool[where] if len(where) else np.zeros(0, np.int32)
+                back = decoded(coder.model, edges, ids)
+                same = [a == b for a, b in zip(back, texts, strict=True)]
+                digest = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]
+                tokens = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges).astype(np.int64)), tokens, pa.array(same, pa.bool_()), pa.array(digest, pa.string())],
+                    ["doc_id", "n_tokens", "token_ids", "round_trip", "decoded_sha256"],
+                )
 
     return run
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, round_trip) of every row of docs(doc_id, text).
+    """(doc_id, n_tokens, token_ids, round_trip, decoded_sha256) of every row of docs(doc_id, text).
 
-    path is a SentencePiece model file on every machine. token_ids are the library's ids without begin and end;
-    round_trip tells whether decoding them gives the text again. Null counts as empty and has no tokens;
-    repeated rows and null ids are returned as they come; other columns are ignored.
+    path is a SentencePiece model file on every machine. token_ids are the library's ids without begin and end. Each row's ids
+    are decoded again: round_trip tells whether that gives the text, decoded_sha256 is its digest. Null counts as empty and
+    has no tokens; repeated rows and null ids are returned as they come; very long texts and words are read whole; other columns are
+    ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(_encoded(path), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean, decoded_sha256 string")
 
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         for b in batches:
-            ids = pc.fill_null(b.column("token_ids"), []).to_pylist() if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([model.decode(x) for x in ids], pa.string())], ["doc_id", "text"])
+            sizes = pc.fill_null(pc.list_value_length(b.column("token_ids")), 0).to_numpy(zero_copy_only=False)
+            ids = b.column("token_ids").flatten().to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(decoded(model, edges, ids), pa.string())], ["doc_id", "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of every row of encoded(doc_id, token_ids); null and empty lists give an empty text."""
+    """(doc_id, text) of every row of encoded(doc_id, token_ids); null and empty lists give an empty text, an empty table no rows."""
     return encoded.select("doc_id", "token_ids").mapInArrow(_decoded(path), "doc_id long, text string")
