@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import SPACE
 
 BINS, LOG_BINS, BITS, WORDS = 128, 7, 8, 5
-#: Rows that one window of neighbours is to hold, and the most windows.
-WINDOW_ROWS, WINDOWS = 2000, 4096
+#: Rows that one window of neighbours is to hold, and the most windows; beyond their product, half a billion rows, windows grow.
+WINDOW_ROWS, WINDOWS = 2000, 1 << 18
+#: Windows whose bounds are quantiles of the ids; each is cut evenly into as many as are wanted.
+QUANTILES = 1024
 
 
 def _ranks() -> list[int]:
@@ -74,8 +76,8 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(estimate)
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """The number of bounds that do not exceed doc_id, by binary search."""
+def _window(bounds: list[int], parts: int) -> Column:
+    """The number of a row's window: the quantiles up to its doc_id by binary search, then even parts; never falls as doc_id grows."""
 
     def search(lo: int, hi: int) -> str:
         if lo == hi:
@@ -83,7 +85,12 @@ def _bucket(bounds: list[int]) -> Column:
         mid = (lo + hi) // 2
         return f"if(doc_id >= {bounds[mid]}L, {search(mid + 1, hi)}, {search(lo, mid)})"
 
-    return F.expr(f"if(doc_id is null, 0, {search(0, len(bounds))})")
+    if len(bounds) < 2:
+        return F.lit(0)
+    wide = F.expr(search(1, len(bounds) - 1)) - 1
+    low, high = (F.element_at(_sql_array([float(b) for b in x]).cast("array<double>"), wide + 1) for x in (bounds[:-1], bounds[1:]))
+    part = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * parts)
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(wide * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))).cast("int")
 
 
 def with_next(docs: DataFrame, *carried: str) -> DataFrame:
@@ -92,27 +99,24 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     Rows are cut by doc_id into windows of some WINDOW_ROWS rows; each window also gets a copy of the row before
     its least, so that no window needs all rows. Nulls count as the least doc_id; rows with one doc_id follow by text.
     """
-    stats = docs.agg(F.count("*").alias("n")).first().n
-    windows = max(1, min(WINDOWS, stats // WINDOW_ROWS))
-    bounds: list[int] = []
-    if windows > 1:
-        shares = [i / windows for i in range(1, windows)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 20 * windows).alias("p")).first().p or []))
-    placed = docs.withColumn("__b", _bucket(bounds))
-    # at most `windows` rows: the largest doc_id of each window
-    tops = {r["__b"]: r.top for r in placed.groupBy("__b").agg(F.max("doc_id").alias("top")).collect()}
-    full = sorted(tops)
-    if not full:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    after = {full[i]: full[(i + 1) % len(full)] for i in range(len(full))}
-    moves = F.create_map(*[F.lit(x) for b in full for x in (b, after[b])])
-    is_top = F.col("doc_id").eqNullSafe(F.create_map(*[x for b in full for x in (F.lit(b), F.lit(tops[b]).cast("long"))])[F.col("__b")])
+    n = docs.count()
+    windows = max(1, min(WINDOWS, n // WINDOW_ROWS))
+    wide = min(windows, QUANTILES)
+    shares = [i / wide for i in range(wide + 1)]
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 20 * wide).alias("p")).first().p or [])) if windows > 1 else []
+    placed = docs.withColumn("__b", _window(bounds, -(-windows // wide)))
+    # one row of three numbers for each window that is not empty: WINDOWS and a few at most
+    tops = placed.groupBy("__b").agg(F.max("doc_id").alias("__top"))
+    along = Window.orderBy("__b")
+    after = F.coalesce(F.lead("__b").over(along), F.min("__b").over(Window.partitionBy()))
+    placed = placed.join(F.broadcast(tops.withColumn("__after", after)), "__b")
     home = F.struct(F.col("__b").alias("b"), F.lit(False).alias("ghost"))
-    ghost = F.struct(moves[F.col("__b")].alias("b"), F.lit(True).alias("ghost"))
+    ghost = F.struct(F.col("__after").alias("b"), F.lit(True).alias("ghost"))
+    is_top = F.col("doc_id").eqNullSafe(F.col("__top"))
     spread = placed.withColumn("__to", F.explode(F.when(is_top, F.array(home, ghost)).otherwise(F.array(home))))
     order = Window.partitionBy("__to.b").orderBy(F.col("__to.ghost").desc(), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     out = spread.select("*", *[F.lag(F.col(c)).over(order).alias(f"next_{c}") for c in carried])
-    return out.where("not __to.ghost").drop("__b", "__to")
+    return out.where("not __to.ghost").drop("__b", "__to", "__top", "__after")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty. In the edited text the last floor(n_chars / 2) code points give way to as many first
     ones of the next document in descending doc_id. A single document follows itself; other columns are ignored; an empty table
-    gives no rows; equal texts have equal fingerprints.
+    gives no rows; equal texts have equal fingerprints; very long texts are read whole.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = fingerprint(base, "text", "fingerprint")
