@@ -221,3 +221,13 @@ def test_empty_tables(none, spark):
         sharding.shards(none),
     ):
         assert df.count() == 0
+
+
+def test_small_hosts_are_spared_unless_asked(spark):
+    rows = [(i, f"http://h{i // 3}.example/{i}", f"<p>menu</p><p>own {i}</p>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # hosts of three pages: below MIN_PAGES all lines stay
+    assert {r.n_dropped for r in line_dedup.drop_boilerplate(pages).collect()} == {0}
+    assert {(r.n_dropped, r.text[:3]) for r in line_dedup.drop_boilerplate(pages, ratio=0.4, min_pages=3).collect()} == {(1, "own")}
+    # a lone page holds each of its lines on all pages of its host
+    assert {r.text for r in line_dedup.drop_boilerplate(pages.where("page_id in (0, 3)"), min_pages=1).collect()} == {""}
