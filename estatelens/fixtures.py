@@ -110,6 +110,7 @@ F_SLS_02: DOC_ID INTEGER, DOC_DT_KEY INTEGER, PRD_KEY INTEGER, RSLR_KEY INTEGER,
 F_RET_01: RET_ID INTEGER, DOC_ID INTEGER, RET_DT_KEY INTEGER, PRD_KEY INTEGER, RETURN_QTY INTEGER, SRC_CHNL TEXT | RET_ID | RET_DT_KEY>D_DATE.DATE_KEY PRD_KEY>D_PRD.PRD_KEY SRC_CHNL>D_CHNL.CHNL_CD
 V_SLS_ALL: DOC_ID INTEGER, DOC_DT_KEY INTEGER, PRD_KEY INTEGER, CURR_CD TEXT, QTY INTEGER, NET_AMT NUMERIC, SRC_CHNL TEXT | |
 """)
+RETAIL_2 = (RETAIL_2[0], Rows(RETAIL_2[1].schema, tuple((*r[:-1], "product category") if r[2] == "CAT_CD" else r for r in RETAIL_2[1].rows)), RETAIL_2[2])
 #: Reviewed descriptions of the first version's nodes: (reference, state).
 ANNOTATIONS = Rows("reference string, state string", (("main.F_SLS_01.NET_AMT", "validated"), ("main.D_RSLR.TERR_CD", "validated"), ("main.MAP_TERR_CH", "validated"), ("main.D_PRD", "validated"), ("main.F_RET_01.RETURN_AMT", "draft")))
 

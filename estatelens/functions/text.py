@@ -6,6 +6,8 @@ deleted (not blanked), then the rest is lower-cased and cut at everything else.
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -31,21 +33,32 @@ NUMERIC_TYPES = "bigint decimal double float int integer numeric real smallint t
 SPARK_FAMILIES = {"string": "text", "varchar": "text", "char": "text", "tinyint": "number", "smallint": "number", "int": "number", "bigint": "number", "float": "number", "double": "number", "decimal": "number", "date": "date", "timestamp": "date", "timestamp_ntz": "date", "boolean": "bool", "binary": "binary"}
 
 
-def _folds() -> tuple[str, str]:
-    """Letters beyond ASCII whose compatibility form is one ASCII character and marks."""
-    source, target = [], []
-    for code in range(0x80, 0x250):
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII whose compatibility form has one ASCII character, that character, and those that have several."""
+    source, target, longer = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(plain) == 1 and plain != " ":
+        if len(plain) == 1:
             source.append(chr(code))
             target.append(plain)
-    return "".join(source), "".join(target)
+        elif plain:
+            longer[chr(code)] = plain
+    return "".join(source), "".join(target), longer
 
 
 def folded(value: Column) -> Column:
-    """Camel case cut, letters folded to ASCII, all else beyond ASCII deleted, lower case."""
-    cut = F.regexp_replace(value, "(?<=[a-z0-9])(?=[A-Z])", " ")
-    plain = F.regexp_replace(F.translate(F.replace(cut, F.lit("ß"), F.lit("ss")), *_folds()), r"[^\x00-\x7F]", "")
+    """Camel case cut, letters folded to ASCII by compatibility forms, all else beyond ASCII deleted, lower case."""
+    source, target, longer = _folds()
+    cut = F.regexp_replace(value, "([a-z0-9])(?=[A-Z])", "$1 ")
+    texts = F.map_from_arrays(F.split(F.lit("\x01".join(longer)), "\x01"), F.split(F.lit("\x01".join(longer.values())), "\x01"))
+    spelt = F.replace(cut, F.lit("ß"), F.lit("ss"))
+    # characters that become several are rare: one pass over the characters, in texts that have such
+    several = F.array_join(F.transform(F.split(spelt, ""), lambda c: F.coalesce(F.when(c > "\x7f", F.element_at(texts, c)), c)), "")
+    spelt = F.when(spelt.rlike("[" + "".join(longer) + "]"), several).otherwise(spelt)
+    plain = F.regexp_replace(F.translate(spelt, source, target), r"[^\x00-\x7F]", "")
     return F.lower(F.when(cut.rlike(r"[^\x00-\x7F]"), plain).otherwise(cut))
 
 
@@ -55,7 +68,7 @@ def raw_tokens(value: Column) -> Column:
 
 def bm25_tokens(value: Column) -> Column:
     """Tokens in order, stop words left out, repeats kept."""
-    return F.filter(raw_tokens(value), lambda x: ~x.isin(*BM25_STOP))
+    return F.filter(F.split(folded(F.coalesce(value, F.lit(""))), "[^a-z0-9]+"), lambda x: ~x.isin("", *BM25_STOP))
 
 
 def singular(token: Column) -> Column:

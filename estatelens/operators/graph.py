@@ -18,7 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -156,14 +159,18 @@ def closure(events: DataFrame, call_id: str) -> tuple[DataFrame, DataFrame]:
 
 def runtime_violations(events: DataFrame) -> DataFrame:
     """(rule, key): sequences 1..n, unique calls, and only earlier successful calls consumed."""
-    place = events.withColumn("place", F.row_number().over(Window.orderBy("sequence", "call_id"))).where("place <> sequence")
+    # n numbers are 1..n exactly if all lie there and none comes twice
+    total = events.agg(F.count("*").alias("n"))
+    twice = events.groupBy("sequence").agg(F.count("*").alias("m")).where("m > 1")
+    outside = events.crossJoin(F.broadcast(total)).where("sequence is null or sequence not between 1 and n").select("call_id", "sequence")
+    place = outside.union(events.join(twice, "sequence", "left_semi").select("call_id", "sequence")).distinct()
     repeated = events.groupBy("call_id").agg(F.count("*").alias("n")).where("n > 1")
     uses = events.select("call_id", "sequence", F.explode("consumes").alias("used"))
     given = events.groupBy(F.col("call_id").alias("used")).agg(F.min("sequence").alias("at"), F.max(F.when(F.col("status") == "succeeded", 1).otherwise(0)).alias("ok"))
     met = uses.join(given, "used", "left")
     bad = met.select("*", F.when(F.col("at").isNull(), "consumes_unknown").when(F.col("at") >= F.col("sequence"), "consumes_later").when(F.col("ok") == 0, "consumes_failed").alias("rule")).where("rule is not null")
     return (
-        place.select(F.lit("sequence_contiguous").alias("rule"), F.concat_ws(":", "call_id", F.col("sequence").cast("string")).alias("key"))
+        place.select(F.lit("sequence_contiguous").alias("rule"), F.concat_ws(":", "call_id", F.coalesce(F.col("sequence").cast("string"), F.lit("?"))).alias("key"))
         .union(repeated.select(F.lit("call_unique"), "call_id"))
         .union(bad.select("rule", F.concat_ws(">", "call_id", "used")))
     )

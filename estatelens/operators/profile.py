@@ -17,6 +17,16 @@ from pyspark.sql.window import Window
 SAMPLE_ROWS, SAMPLE_FIELDS, VALUE_CHARS, SAMPLE_CHARS, PROFILE_ROWS, PAIRS = 10, 32, 256, 20_000, 100_000, 50
 
 
+#: Inputs below this size are dealt to all cores where work on rows is heavy; larger ones have row groups enough.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: a small file often is one row group and so one task."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def textual(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StringType, T.CharType, T.VarcharType))
 
@@ -53,46 +63,88 @@ def prefix(df: DataFrame, order: Sequence[str], limit: int | None) -> DataFrame:
 def profile_columns(df: DataFrame, columns: Sequence[str], order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """One row per column: non_null, null_count, distinct_count, min_value, max_value, min_length, max_length.
 
-    min and max are text for text columns and double for the others; `complete` tells whether all rows were read.
+    min and max are double if all columns are numbers, else text, numbers being compared as numbers and dates as ISO text; `complete` tells whether
+    all rows were read. Rows become (column, value) once, repeated values meet before the shuffle.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     rows = prefix(df.select(*dict.fromkeys([*columns, *order])), order, limit)
-    aggs: list[Column] = [F.count("*").alias("__n")]
-    for c in columns:
-        aggs += [F.count(c).alias(f"{c}__nn"), F.count_distinct(c).alias(f"{c}__d"), F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi")]
-        if textual(kinds[c]):
-            aggs += [F.min(F.length(c)).alias(f"{c}__a"), F.max(F.length(c)).alias(f"{c}__b")]
-    one = rows.agg(*aggs)
-    all_text = all(textual(kinds[c]) for c in columns)
-    value = "string" if all_text else "double"
-    structs = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col("__n").alias("rows_profiled"),
-            F.col(f"{c}__nn").alias("non_null"),
-            (F.col("__n") - F.col(f"{c}__nn")).alias("null_count"),
-            F.col(f"{c}__d").alias("distinct_count"),
-            F.col(f"{c}__lo").cast(value).alias("min_value"),
-            F.col(f"{c}__hi").cast(value).alias("max_value"),
-            (F.col(f"{c}__a") if textual(kinds[c]) else F.lit(None)).cast("int").alias("min_length"),
-            (F.col(f"{c}__b") if textual(kinds[c]) else F.lit(None)).cast("int").alias("max_length"),
-        )
-        for c in columns
+    words = [not isinstance(kinds[c], (T.NumericType, T.BooleanType)) for c in columns]
+    cells = [
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"), (F.lit(None) if words[i] else F.col(c)).cast("double").alias("number"), (F.length(c) if textual(kinds[c]) else F.lit(None)).cast("int").alias("size"))
+        for i, c in enumerate(columns)
     ]
-    out = one.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+    values = rows.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").groupBy("i", "v", "number", "size").agg(F.count("*").alias("n"))
+    one = values.groupBy("i").agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.count("v").alias("distinct_count"),
+        *[f(c).alias(f"{t}_{c}") for c in ("v", "number", "size") for t, f in (("min", F.min), ("max", F.max))],
+    )
+    named = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column_name string")
+    found = named.join(one, "i", "left")
+    value = "v" if any(words) else "number"
+    shown = lambda t: F.coalesce(F.col(f"{t}_number").cast("string"), f"{t}_v") if any(words) and not all(words) else F.col(f"{t}_{value}")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = found.select(
+        "column_name", zero("all").alias("rows_profiled"), zero("non_null").alias("non_null"), (zero("all") - zero("non_null")).alias("null_count"), zero("distinct_count").alias("distinct_count"),
+        shown("min").alias("min_value"), shown("max").alias("max_value"), F.col("min_size").alias("min_length"), F.col("max_size").alias("max_length"),
+    )
     if limit is None:
         return out.withColumn("complete", F.lit(True))
     seen = df.limit(limit + 1).agg(F.count("*").alias("seen"))
-    return out.crossJoin(F.broadcast(seen)).withColumn("complete", F.col("seen") <= limit).drop("seen")
+    return out.crossJoin(seen).withColumn("complete", F.col("seen") <= limit).drop("seen")
 
 
 def histogram(df: DataFrame, column: str, domain: int = 20) -> DataFrame:
     """(column_name, value, count) by falling count, only if the column has at most `domain` values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("count"))
-    few = counts.limit(domain + 1)  # the gate looks at no more rows than it needs
-    size = few.agg(F.count("*").alias("n"))
-    kept = few.crossJoin(F.broadcast(size)).where(F.col("n") <= domain)
-    return kept.select(F.lit(column).alias("column_name"), "value", "count").orderBy(F.desc("count"), "value")
+    # the gate looks at no more rows than it needs
+    few = counts.limit(domain + 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    return few.where(F.col("n") <= domain).select(F.lit(column).alias("column_name"), "value", "count").orderBy(F.desc("count"), "value")
+
+
+def key_text(kind: T.DataType, value: Column) -> Column:
+    """A value as it is compared between columns: whole numbers alike whatever their type."""
+    if isinstance(kind, T.IntegralType):
+        return value.cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        wide = value.cast("double")
+        return F.when((wide == F.floor(wide)) & (F.abs(wide) < 1e15), wide.cast("long").cast("string")).otherwise(wide.cast("string"))
+    return value.cast("string")
+
+
+def probe_all(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """The evidence of probe_pair for many pairs (table, field, table, field), with their position, in one pass over each table.
+
+    Each table is reduced to its distinct values per field; fields that hold a value meet at that value, so that all
+    overlaps come from one shuffle. A value is held by as many fields as are probed at most.
+    """
+    wanted = sorted({(a, x) for a, x, _, _ in pairs} | {(b, y) for _, _, b, y in pairs})
+    number = {f: i for i, f in enumerate(wanted)}
+    spark, parts = next(iter(tables.values())).sparkSession, []
+    for table in dict.fromkeys(t for t, _ in wanted):
+        df, own = tables[table], [f for t, f in wanted if t == table]
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        cells = F.explode(F.array(*[F.struct(F.lit(number[table, c]).alias("f"), key_text(kinds[c], F.col(c)).alias("v")) for c in own])).alias("cell")
+        parts.append(df.select(cells).select("cell.*").where("v is not null").groupBy("f", "v").agg(F.count("*").alias("n")))
+    values = parts[0]
+    for p in parts[1:]:
+        values = values.unionByName(p)
+    held = values.groupBy("v").agg(F.collect_list("f").alias("fs"), F.collect_list("n").alias("ns"))
+    # (f, f) carries the field's own counts, (f, g) the overlap; both are sums over values
+    both = held.select(F.explode(F.flatten(F.transform("fs", lambda a, i: F.transform("fs", lambda b: F.struct(a.alias("a"), b.alias("b"), F.element_at("ns", i + 1).alias("n")))))).alias("p")).select("p.*")
+    met = both.groupBy("a", "b").agg(F.count("*").alias("values"), F.sum("n").alias("rows"))
+    known = spark.createDataFrame([(i, *p, number[p[0], p[1]], number[p[2], p[3]]) for i, p in enumerate(pairs)], "position int, from_object string, source_field string, to_object string, target_field string, s int, t int")
+    own = met.where("a = b")
+    out = known.join(own.select(F.col("a").alias("s"), F.col("rows").alias("source_non_null"), F.col("values").alias("source_distinct")), "s", "left")
+    out = out.join(own.select(F.col("a").alias("t"), F.col("rows").alias("target_non_null"), F.col("values").alias("target_distinct")), "t", "left")
+    out = out.join(met.select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("values").alias("overlap")), ["s", "t"], "left")
+    counts = ["source_non_null", "source_distinct", "target_non_null", "target_distinct", "overlap"]
+    out = out.select("position", "from_object", "to_object", "source_field", "target_field", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    return out.select("*", *_ratios())
+
+
+def _ratios() -> list[Column]:
+    over = lambda a, b: (F.col(a) / F.greatest(F.lit(1), b))
+    return [over("overlap", "source_distinct").alias("source_coverage"), over("overlap", "target_distinct").alias("target_coverage"), over("target_distinct", "target_non_null").alias("target_uniqueness")]
 
 
 def probe_pair(source: DataFrame, source_field: str, target: DataFrame, target_field: str, limit: int | None = None) -> DataFrame:
@@ -117,11 +169,4 @@ def probe_pair(source: DataFrame, source_field: str, target: DataFrame, target_f
         F.count("t_n").alias("target_distinct"),
         F.count(F.when(F.col("s_n").isNotNull() & F.col("t_n").isNotNull(), 1)).alias("overlap"),
     )
-    return out.select(
-        F.lit(source_field).alias("source_field"),
-        F.lit(target_field).alias("target_field"),
-        "*",
-        (F.col("overlap") / F.greatest(F.lit(1), "source_distinct")).alias("source_coverage"),
-        (F.col("overlap") / F.greatest(F.lit(1), "target_distinct")).alias("target_coverage"),
-        (F.col("target_distinct") / F.greatest(F.lit(1), "target_non_null")).alias("target_uniqueness"),
-    )
+    return out.select(F.lit(source_field).alias("source_field"), F.lit(target_field).alias("target_field"), "*", *_ratios())

@@ -12,6 +12,21 @@ SOURCE_FIELDS, COVERAGE, OVERLAP, UNIQUENESS = 16, 0.85, 3, 0.9
 PATTERN_MATCHES, PATTERN_COVERAGE, SEGMENT_OVERLAP, SEGMENT_COVERAGE, SEGMENT_UNIQUENESS = 3, 0.8, 2, 0.6, 0.9
 
 
+def eligible_pairs(fields: DataFrame, existing: DataFrame, family: Column | None = None) -> DataFrame:
+    """Every pair of a field and another object's key or first field of the same type family, those known left out.
+
+    (from_object, from_field, to_object, to_field) in this order; the first SOURCE_FIELDS fields of each object are sources.
+    """
+    f = fields.withColumn("family", X.type_family(F.col("data_type")) if family is None else family)
+    order = F.row_number().over(Window.partitionBy("object").orderBy("position", "field"))
+    source = f.withColumn("source_order", order).where((F.col("source_order") <= SOURCE_FIELDS) & ~F.col("family").isin("bool", "binary", "unknown")).alias("s")
+    target = f.where(F.col("is_primary_key") | (F.col("position") == 1)).alias("t")
+    pairs = source.join(target, (F.col("s.family") == F.col("t.family")) & (F.col("s.object") != F.col("t.object")))
+    names = ["from_object", "from_field", "to_object", "to_field"]
+    pairs = pairs.select(*[F.col(f"{c}").alias(n) for c, n in zip(("s.object", "s.field", "t.object", "t.field"), names, strict=True)])
+    return pairs.join(existing, names, "left_anti").orderBy(*names)
+
+
 def candidate_pairs(fields: DataFrame, existing: DataFrame, source_object: str, max_pairs: int = 20, family: Column | None = None) -> DataFrame:
     """Pairs of a source object's fields and other objects' key or first fields of the same type family.
 
@@ -74,7 +89,9 @@ def dominant_pattern(df: DataFrame, field: str) -> DataFrame:
 
 def segment_overlap(source: DataFrame, field: str, pattern: str, index: int, target: DataFrame, target_field: str, numeric: bool) -> DataFrame:
     """Evidence that the index-th digit run of keys of one pattern refers to a target field; one row or none."""
-    shaped = source.where(F.col(field).isNotNull()).select(X.key_shape(F.col(field)).alias("s")).where(F.col("s.pattern") == pattern)
+    every = source.where(F.col(field).isNotNull()).select(X.key_shape(F.col(field)).alias("s"))
+    share = every.agg(F.avg(F.coalesce(F.col("s.pattern") == pattern, F.lit(False)).cast("double")).alias("pattern_coverage"))
+    shaped = every.where(F.col("s.pattern") == pattern)
     a = shaped.select(X.normalized_value(F.element_at("s.parts", index)["text"], numeric).alias("v")).where("v is not null").distinct()
     raw = target.where(F.col(target_field).isNotNull()).select(X.normalized_value(F.col(target_field), numeric).alias("v"))
     counted = raw.groupBy("v").agg(F.count("*").alias("n"))
@@ -82,5 +99,6 @@ def segment_overlap(source: DataFrame, field: str, pattern: str, index: int, tar
     out = both.agg(F.count("a").alias("source_distinct"), F.count(F.when(F.col("v").isNotNull(), F.col("b"))).alias("target_distinct"), F.sum("n").alias("target_non_null"), F.count(F.when((F.col("a") == 1) & (F.col("b") == 1), 1)).alias("overlap"))
     out = out.withColumn("source_coverage", F.col("overlap") / F.greatest(F.lit(1), "source_distinct")).withColumn("target_uniqueness", F.col("target_distinct") / F.greatest(F.lit(1), "target_non_null"))
     out = out.where(f"overlap >= {SEGMENT_OVERLAP} and source_coverage >= {SEGMENT_COVERAGE} and target_uniqueness >= {SEGMENT_UNIQUENESS}")
-    score = F.lit(0.15) + 0.25 * 1.0 + 0.3 * F.col("source_coverage") + 0.2 * F.col("target_uniqueness") + F.least(F.lit(0.1), F.col("overlap") / 100)
-    return out.select(F.lit(field).alias("from_field"), F.lit(target_field).alias("to_field"), F.lit(index).alias("component"), "source_distinct", "target_distinct", "overlap", "source_coverage", "target_uniqueness", F.round(F.least(F.lit(0.95), score), 4).alias("confidence"))
+    out = out.crossJoin(share)
+    score = F.lit(0.15) + 0.25 * F.col("pattern_coverage") + 0.3 * F.col("source_coverage") + 0.2 * F.col("target_uniqueness") + F.least(F.lit(0.1), F.col("overlap") / 100)
+    return out.select(F.lit(field).alias("from_field"), F.lit(target_field).alias("to_field"), F.lit(index).alias("component"), "source_distinct", "target_distinct", "overlap", "pattern_coverage", "source_coverage", "target_uniqueness", F.round(F.least(F.lit(0.95), score), 4).alias("confidence"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import text as X
 
+from . import profile
+from .graph import cut
+
 #: BM25's constants, the constant of rank fusion, the most field hits of an object.
 K1, B, RRF, FIELD_HITS = 1.5, 0.75, 60, 8
 #: Weights of what a term is found in.
@@ -26,7 +29,8 @@ def _equals(word: str):
 def bm25(docs: DataFrame, query: str, limit: int = 20, id_col: str = "id", text: Column | None = None, label: Column | None = None) -> DataFrame:
     """(id, score, rank) of the best documents; repeated query terms count again.
 
-    Statistics need one pass with a single row out; scores need no shuffle but the final top-k.
+    Texts are cut into tokens once; what is kept of a document is its length and its counts of the query's terms. Statistics
+    are a single row, scores need no shuffle but the final top-k.
     """
     terms = tokenized_query(docs.sparkSession, query)
     label = F.lit("") if label is None else label
@@ -34,8 +38,10 @@ def bm25(docs: DataFrame, query: str, limit: int = 20, id_col: str = "id", text:
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     distinct = list(dict.fromkeys(terms))
-    tokens = docs.select(F.col(id_col), label.alias("label"), X.bm25_tokens(body).alias("t"))
-    counted = tokens.select(id_col, "label", F.size("t").alias("n"), *[F.size(F.filter("t", _equals(w))).alias(f"c{i}") for i, w in enumerate(distinct)])
+    tokens = profile.spread(docs).select(F.col(id_col), label.alias("label"), X.bm25_tokens(body).alias("t"))
+    # through a generator, below which no filter goes: texts are cut once; the counts are small, and read twice
+    counts = F.struct(F.size("t").alias("n"), *[F.size(F.filter("t", _equals(w))).alias(f"c{i}") for i, w in enumerate(distinct)])
+    counted = cut(tokens.select(id_col, "label", F.inline(F.array(counts))))
     stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct))])
     hit = counted.where(" or ".join(f"c{i} > 0" for i in range(len(distinct)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

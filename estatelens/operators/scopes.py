@@ -43,13 +43,14 @@ def focus_members(hops: DataFrame, start: str) -> DataFrame:
 def knowledge_budget(documents: DataFrame, most: int) -> DataFrame:
     """(id, characters, truncated) of documents(id, scope, explicit, content) within a character budget.
 
-    Asked-for documents come first, then the narrowest scopes; what finds no room is left out. The order is total and one task
-    sums it, over lengths only.
+    Asked-for documents come first, then the narrowest scopes; what finds no room is left out, and empty documents are. Each
+    document takes a character at least, so that the first `most` in the order are all that one task sums.
     """
     rank = F.create_map(*[x for k, v in SCOPE_RANK.items() for x in (F.lit(k), F.lit(v))])
     lengths = documents.select("id", "scope", "explicit", F.length("content").alias("n"))
-    order = Window.orderBy(F.desc("explicit"), F.desc(rank[F.col("scope")]), F.lower("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    keys = [F.desc("explicit"), F.desc(rank[F.col("scope")]), F.lower("id"), F.col("id")]
+    lengths = lengths.where("n > 0").orderBy(*keys).limit(most)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = lengths.withColumn("before", before).where(F.col("before") < most)
     given = F.least(F.col("n").cast("long"), F.lit(most) - F.col("before"))
     return placed.select("id", given.alias("characters"), (given < F.col("n")).alias("truncated"))

@@ -29,6 +29,10 @@ def profile_columns_orders(spark, sf_dir):
     return profile.profile_columns(_t(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
+def profile_mixed_customer(spark, sf_dir):
+    return profile.profile_columns(_t(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_acctbal"])
+
+
 def profile_columns_part(spark, sf_dir):
     return profile.profile_columns(_t(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
 
@@ -48,19 +52,17 @@ def small_domain_event_type(spark, sf_dir):
     return profile.histogram(_t(spark, sf_dir, "events"), "event_type")
 
 
-def histogram_gate(spark, sf_dir):
-    out = None
-    for table, column in (("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("part", "p_name"), ("part", "p_brand"), ("customer", "c_mktsegment"), ("documents", "lang")):
-        one = profile.histogram(_t(spark, sf_dir, table), column)
-        out = one if out is None else out.union(one)
-    return out
+#: The string columns of all tables; the gate keeps those of a small domain.
+TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"]}
 
 
-def _probes(spark, sf_dir):
+def histogram_gate(spark, sf_dir):
     out = None
-    for i, (a, x, b, y) in enumerate(PAIRS):
-        one = profile.probe_pair(_t(spark, sf_dir, a), x, _t(spark, sf_dir, b), y).select(F.lit(i).alias("position"), F.lit(a).alias("from_object"), F.lit(b).alias("to_object"), "*")
-        out = one if out is None else out.union(one)
+    for table in TEXTS:
+        df = _t(spark, sf_dir, table)
+        for column in [f.name for f in df.schema.fields if profile.textual(f.dataType)]:
+            one = profile.histogram(df, column).select(F.lit(table).alias("table_name"), "*")
+            out = one if out is None else out.union(one)
     return out
 
 
@@ -80,17 +82,26 @@ def _probe_sql(a, x, b, y):
 
 
 def discover_relationships(spark, sf_dir):
-    named = _probes(spark, sf_dir).withColumnRenamed("source_field", "from_field").withColumnRenamed("target_field", "to_field")
-    return relationships.best_candidates(named)
+    pairs = relationships.eligible_pairs(fx.FIELDS.df(spark), _existing(spark), _family())
+    pairs = [tuple(r) for r in pairs.collect()]  # as many as fields of the catalog, squared at most
+    tables = {t: _t(spark, sf_dir, t) for p in pairs for t in (p[0], p[2])}
+    found = profile.probe_all(tables, pairs)
+    return relationships.best_candidates(found.withColumnRenamed("source_field", "from_field").withColumnRenamed("target_field", "to_field"))
 
 
-def candidate_pairs_catalog(spark, sf_dir):
-    fields = fx.FIELDS.df(spark)
-    existing = fx.RELATIONSHIPS.df(spark).select(F.col("object").alias("from_object"), F.col("from_fields")[0].alias("from_field"), "to_object", F.col("to_fields")[0].alias("to_field"))
+def _existing(spark):
+    return fx.RELATIONSHIPS.df(spark).select(F.col("object").alias("from_object"), F.col("from_fields")[0].alias("from_field"), "to_object", F.col("to_fields")[0].alias("to_field"))
+
+
+def _family():
     names = F.lit(None).cast("string")
     for k, v in X.SPARK_FAMILIES.items():
         names = F.when(F.col("data_type") == k, v).otherwise(names)
-    return relationships.candidate_pairs(fields, existing, "orders", 20, F.coalesce(names, F.lit("unknown")))
+    return F.coalesce(names, F.lit("unknown"))
+
+
+def candidate_pairs_catalog(spark, sf_dir):
+    return relationships.candidate_pairs(fx.FIELDS.df(spark), _existing(spark), "orders", 20, _family())
 
 
 def key_pattern_customer_name(spark, sf_dir):
@@ -105,8 +116,13 @@ def transformed_join_name_segment(spark, sf_dir):
     return relationships.segment_overlap(_t(spark, sf_dir, "customer"), "c_name", "Customer#{digits_1:9}", 1, _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_key")), "cust_key", True)
 
 
+def transformed_join_partial(spark, sf_dir):
+    keys = _t(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 10 == 0, "legacy-key").otherwise(F.col("c_name")).alias("c_name"), F.col("c_custkey").alias("cust_key"))
+    return relationships.segment_overlap(keys, "c_name", "Customer#{digits_1:9}", 1, keys, "cust_key", True)
+
+
 def tokenize_documents(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", X.bm25_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+    return profile.spread(_t(spark, sf_dir, "documents")).select("doc_id", X.bm25_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
 BM25_DOCS, BM25_BENCH = "the scum of Nation and idiot clown thedble thtion", "the reti ingeser onatth of that"
@@ -328,8 +344,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _profile_sql(table, columns, text, source=None, complete="true"):
-    kind, size = ("varchar", "{f}(length({c}))") if text else ("double", "null")
-    rows = [f"select '{c}' as column_name, count(*) as rows_profiled, count({c}) as non_null, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count, min({c})::{kind} as min_value, max({c})::{kind} as max_value, {size.format(f='min', c=c)}::int as min_length, {size.format(f='max', c=c)}::int as max_length, {complete} as complete from {source or table}" for c in columns]
+    kind = "double" if text is False else "varchar"
+    number = lambda x, c: x if text is not None or c.endswith("name") else f"({x})::double"
+    sizes = ["{f}(length({c}))" if text or (text is None and c.endswith("name")) else "null" for c in columns]
+    rows = [f"select '{c}' as column_name, count(*) as rows_profiled, count({c}) as non_null, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count, {number(f'min({c})', c)}::{kind} as min_value, {number(f'max({c})', c)}::{kind} as max_value, {size.format(f='min', c=c)}::int as min_length, {size.format(f='max', c=c)}::int as max_length, {complete} as complete from {source or table}" for c, size in zip(columns, sizes, strict=True)]
     return " union all ".join(rows)
 
 
@@ -389,9 +407,19 @@ def oracle_sql() -> dict[str, str]:
     out["profile_bounded_lineitem"] = "with l as (select * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity limit 5000) " + _profile_sql("l", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"], False, complete="(select count(*) <= 5000 from lineitem)")
     histogram = lambda t, c: f"select '{c}' as column_name, {c}::varchar as value, count(*) as count from {t} where {c} is not null and (select count(distinct {c}) from {t}) <= 20 group by 2"
     out["small_domain_orderstatus"], out["small_domain_event_type"] = histogram("orders", "o_orderstatus"), histogram("events", "event_type")
-    out["histogram_gate"] = " union all ".join(histogram(t, c) for t, c in (("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("part", "p_name"), ("part", "p_brand"), ("customer", "c_mktsegment"), ("documents", "lang")))
-    probes = " union all ".join(f"select {i} as position, '{a}' as from_object, '{b}' as to_object, * from ({_probe_sql(a, x, b, y)})" for i, (a, x, b, y) in enumerate(PAIRS))
-    out["discover_relationships"] = f"""with p as ({probes}), r as (select *, row_number() over (partition by from_object, source_field order by source_coverage desc, target_uniqueness desc, target_coverage desc, overlap desc, position) as r from p where overlap >= 3 and source_coverage >= 0.85 and target_uniqueness >= 0.9)
+    out["histogram_gate"] = " union all ".join(f"select '{t}' as table_name, * from ({histogram(t, c)})" for t, cs in TEXTS.items() for c in cs)
+    out["profile_mixed_customer"] = _profile_sql("customer", ["c_custkey", "c_name", "c_acctbal"], None)
+    columns = {}
+    for _, o, f, *_ in fx.FIELDS.rows:
+        columns.setdefault(o, []).append(f)
+    numbers = [(o, f) for _, o, f, _, t, *_ in fx.FIELDS.rows if X.SPARK_FAMILIES.get(t) == "number"]
+    domains = " union all ".join(f"select '{o}' as object, '{f}' as field, {f}::double as v from {o} where {f} is not null" for o, f in numbers)
+    out["discover_relationships"] = f"""with {catalog}, dom as ({domains}), st as (select object, field, count(*) as nn, count(distinct v) as d from dom group by 1, 2), u as (select distinct object, field, v from dom),
+ov as (select a.object as ao, a.field as af, b.object as bo, b.field as bf, count(*) as ov from u a join u b on a.v = b.v group by 1, 2, 3, 4),
+pr as (select s.object as from_object, s.field as source_field, t.object as to_object, t.field as target_field, s.nn as sn, s.d as sd, t.nn as tn, t.d as td, coalesce(ov, 0) as overlap from st s join fields x on x.object = s.object and x.field = s.field join st t on t.object <> s.object join fields y on y.object = t.object and y.field = t.field and (y.is_primary_key or y.position = 1)
+ left join ov on ao = s.object and af = s.field and bo = t.object and bf = t.field where not exists (select 1 from rels where rels.object = s.object and from_fields[1] = s.field and to_object = t.object and to_fields[1] = t.field)),
+p as (select *, row_number() over (order by from_object, source_field, to_object, target_field) as position, overlap / greatest(1, sd) as source_coverage, overlap / greatest(1, td) as target_coverage, td / greatest(1, tn) as target_uniqueness from pr),
+r as (select *, row_number() over (partition by from_object, source_field order by source_coverage desc, target_uniqueness desc, target_coverage desc, overlap desc, position) as r from p where overlap >= 3 and source_coverage >= 0.85 and target_uniqueness >= 0.9)
 select 'relationship_candidate:' || substr(sha256('field:' || from_object || '/' || source_field || chr(10) || 'field:' || to_object || '/' || target_field), 1, 20) as id, from_object, source_field as from_field, to_object, target_field as to_field, overlap, round(source_coverage, 6) as source_coverage, round(target_uniqueness, 6) as target_uniqueness,
 round(cast(cast(least(0.98::double, 0.2::double + 0.35::double * source_coverage + 0.2::double * target_uniqueness + 0.15::double * target_coverage + least(0.1::double, overlap / 100)) as varchar) as decimal(38, 20)), 4)::double as confidence, 'draft' as state from r where r = 1"""
     family = "case " + " ".join(f"when data_type = '{k}' then '{v}'" for k, v in X.SPARK_FAMILIES.items()) + " else 'unknown' end"
@@ -404,9 +432,10 @@ select from_object, from_field, to_object, to_field, source_order::int as source
 select '{c}' as field, pattern, n as sample_count, match_count, match_count / n as coverage, 1::bigint as components from p, (select count(*) as n from v) where match_count >= 3 and match_count / n >= 0.8"""
     out["key_pattern_customer_name"], out["key_pattern_brand"] = one_run("customer", "c_name"), one_run("part", "p_brand")
     out["transformed_join_name_segment"] = """with a as (select distinct cast(cast(regexp_extract(c_name, '[0-9]+') as bigint) as varchar) as v from customer where regexp_matches(c_name, '^Customer#[0-9]{9}$')), b as (select c_custkey::varchar as v from customer),
-x as (select (select count(*) from a) as sd, (select count(distinct v) from b) as td, (select count(*) from b) as tn, (select count(*) from (select v from a intersect select v from b)) as ov)
-select 'c_name' as from_field, 'cust_key' as to_field, 1 as component, sd as source_distinct, td as target_distinct, ov as overlap, ov / greatest(1, sd) as source_coverage, td / greatest(1, tn) as target_uniqueness,
-round(least(0.95, 0.15 + 0.25 + 0.3 * (ov / greatest(1, sd)) + 0.2 * (td / greatest(1, tn)) + least(0.1, ov / 100)), 4) as confidence from x where ov >= 2 and ov / greatest(1, sd) >= 0.6 and td / greatest(1, tn) >= 0.9"""
+x as (select (select avg(regexp_matches(c_name, '^Customer#[0-9]{9}$')::int) from customer) as pc, (select count(*) from a) as sd, (select count(distinct v) from b) as td, (select count(*) from b) as tn, (select count(*) from (select v from a intersect select v from b)) as ov)
+select 'c_name' as from_field, 'cust_key' as to_field, 1 as component, sd as source_distinct, td as target_distinct, ov as overlap, pc as pattern_coverage, ov / greatest(1, sd) as source_coverage, td / greatest(1, tn) as target_uniqueness,
+round(least(0.95, 0.15 + 0.25 * pc + 0.3 * (ov / greatest(1, sd)) + 0.2 * (td / greatest(1, tn)) + least(0.1, ov / 100)), 4) as confidence from x where ov >= 2 and ov / greatest(1, sd) >= 0.6 and td / greatest(1, tn) >= 0.9"""
+    out["transformed_join_partial"] = out["transformed_join_name_segment"].replace("with a as", "with customer as (select case when c_custkey % 10 = 0 then 'legacy-key' else c_name end as c_name, c_custkey from main.customer), a as")
     out["tokenize_documents"] = f"select doc_id, len(ts)::bigint as n_tokens, md5(array_to_string(ts, ' ')) as digest from (select doc_id, {_tokens_sql('text')} as ts from documents)"
     out["bm25_documents"] = _bm25_sql("documents", "doc_id", BM25_DOCS, 20)
     out["bm25_benchmark"] = _bm25_sql("benchmark", "item_id", BM25_BENCH, 20)
@@ -443,14 +472,14 @@ union all select 'reference_target_known', namespace || '.' || object || '.' ||
     diff = lambda c, kind, sev: f"select reference, '{kind}' as kind, '{sev}' as severity, b_{c}::varchar as before, a_{c}::varchar as after from {{src}} where a_is and b_is and b_{c} is distinct from a_{c}"
     seen = lambda src, r, rs, a, s: f"select reference, case when a_is is null then '{r}' else '{a}' end, case when a_is is null then '{rs}' else '{s}' end, null, null from {src} where a_is is null or b_is is null"
     changes = f"""ob as (select coalesce(x.namespace, y.namespace) || '.' || coalesce(x.object, y.object) as reference, x.kind as b_kind, y.kind as a_kind, x.primary_key as b_pk, y.primary_key as a_pk, x.description as b_d, y.description as a_d, x.object is not null or null as b_is, y.object is not null or null as a_is from o1 x full join o2 y on x.namespace = y.namespace and x.object = y.object),
-fb as (select coalesce(x.namespace, y.namespace) || '.' || coalesce(x.object, y.object) || '.' || coalesce(x.field, y.field) as reference, x.data_type as b_t, y.data_type as a_t, x.nullable as b_n, y.nullable as a_n, x.is_primary_key as b_k, y.is_primary_key as a_k, x.position as b_p, y.position as a_p, x.field is not null or null as b_is, y.field is not null or null as a_is, x.namespace as ns, coalesce(x.object, y.object) as ob, x.field as bf, y.field as af from f1 x full join f2 y on x.namespace = y.namespace and x.object = y.object and x.field = y.field),
+fb as (select coalesce(x.namespace, y.namespace) || '.' || coalesce(x.object, y.object) || '.' || coalesce(x.field, y.field) as reference, x.data_type as b_t, y.data_type as a_t, x.nullable as b_n, y.nullable as a_n, x.is_primary_key as b_k, y.is_primary_key as a_k, x.position as b_p, y.position as a_p, x.description as b_d, y.description as a_d, x.field is not null or null as b_is, y.field is not null or null as a_is, x.namespace as ns, coalesce(x.object, y.object) as ob, x.field as bf, y.field as af from f1 x full join f2 y on x.namespace = y.namespace and x.object = y.object and x.field = y.field),
 rb as (select coalesce(x.name, y.name) as reference, x.sh as b_s, y.sh as a_s, x.name is not null or null as b_is, y.name is not null or null as a_is from (select *, array_to_string(from_fields, ',') || '|' || to_namespace || '|' || to_object || '|' || array_to_string(to_fields, ',') as sh from r1) x full join (select *, array_to_string(from_fields, ',') || '|' || to_namespace || '|' || to_object || '|' || array_to_string(to_fields, ',') as sh from r2) y on x.object = y.object and x.name = y.name),
 g1 as (select ob, b_p, b_t, b_n, b_k, max(bf) as bf from fb where a_is is null group by all having count(*) = 1), g2 as (select ob, a_p, a_t, a_n, a_k, max(af) as af from fb where b_is is null group by all having count(*) = 1),
 rn as (select 'main.' || g1.ob || '.' || bf as reference, bf as before, af as after from g1 join g2 on g1.ob = g2.ob and b_p = a_p and b_t = a_t and b_n = a_n and b_k = a_k),
 ch as (select * from (select null as reference, null as kind, null as severity, null as before, null as after where false) union all {seen('ob', 'object_removed', 'breaking', 'object_added', 'info')}
  union all {diff('kind', 'object_kind_changed', 'review_required').format(src='ob')} union all {diff('pk', 'primary_key_changed', 'breaking').format(src='ob')} union all {diff('d', 'technical_description_changed', 'info').format(src='ob')}
  union all {seen('fb', 'field_removed', 'breaking', 'field_added', 'info')} union all {diff('t', 'field_type_changed', 'review_required').format(src='fb')} union all {diff('n', 'field_nullability_changed', 'review_required').format(src='fb')}
- union all {diff('k', 'field_key_status_changed', 'breaking').format(src='fb')} union all {diff('p', 'field_position_changed', 'info').format(src='fb')}
+ union all {diff('k', 'field_key_status_changed', 'breaking').format(src='fb')} union all {diff('p', 'field_position_changed', 'info').format(src='fb')} union all {diff('d', 'technical_description_changed', 'info').format(src='fb')}
  union all select reference, 'possible_field_rename', 'review_required', before, after from rn
  union all {seen('rb', 'relationship_removed', 'breaking', 'relationship_added', 'info')} union all {diff('s', 'relationship_changed', 'breaking').format(src='rb')})"""
     out["schema_changes"] = f"with {retail}, {changes} select * from ch"
@@ -491,14 +520,14 @@ select step, row_number() over (order by layer, position, step)::int as place, l
     out["runtime_closure"] = f"""with recursive {fx.RUNTIME.sql('v')}, r as (select 'p1' as call_id union select u from (select call_id, unnest(consumes) as u from v) x join r using (call_id))
 select 'call' as kind, call_id as name from r union all select distinct 'origin', i from (select call_id, kind, unnest(inputs) as i from v) x join r using (call_id) where x.kind in ('sql', 'mongo')"""
     out["runtime_violations"] = f"""with {fx.BROKEN.sql('v')}, u as (select call_id, sequence, unnest(consumes) as used from v), g as (select call_id as used, min(sequence) as pos, max(case when status = 'succeeded' then 1 else 0 end) as ok from v group by 1)
-select 'sequence_contiguous' as rule, call_id || ':' || sequence as key from (select *, row_number() over (order by sequence, call_id) as p from v) where p <> sequence union all select 'call_unique', call_id from v group by 2 having count(*) > 1
+select 'sequence_contiguous' as rule, call_id || ':' || sequence as key from v where sequence not between 1 and (select count(*) from v) or sequence in (select sequence from v group by 1 having count(*) > 1) union all select 'call_unique', call_id from v group by 2 having count(*) > 1
 union all select case when pos is null then 'consumes_unknown' when pos >= sequence then 'consumes_later' else 'consumes_failed' end, call_id || '>' || used from u left join g using (used) where pos is null or pos >= sequence or ok = 0"""
     scope = ", ".join([fx.SCOPE_OBJECTS.sql("o"), fx.ZONES.sql("z"), fx.CHANGED.sql("ch")])
     out["workspace_scope"] = f"""with {scope} select system, graph, area, schema_name, object, (select string_agg(distinct zone, ',' order by zone) from z where z.graph = o.graph and z.object = o.object) as zones from o
 where schema_name in ('dbo', 'crm') and exists (select 1 from z where z.graph = o.graph and z.object = o.object)"""
     out["workspace_impact"] = f"""with {scope} select 'area' as kind, area as name, count(*) as changes from ch join (select distinct graph, schema_name, area from o where area is not null) using (graph, schema_name) group by 2
 union all select 'zone', zone, count(*) from ch join z using (graph, object) group by 2"""
-    out["knowledge_budget"] = """with k as (select format('k{:06d}', doc_id) as id, doc_id % 5 as rank, doc_id % 97 = 3 as explicit, length(text) as n from documents), b as (select *, coalesce(sum(n) over (order by explicit desc, rank desc, id rows between unbounded preceding and 1 preceding), 0) as before from k)
+    out["knowledge_budget"] = """with k as (select format('k{:06d}', doc_id) as id, doc_id % 5 as rank, doc_id % 97 = 3 as explicit, length(text) as n from documents where length(text) > 0), b as (select *, coalesce(sum(n) over (order by explicit desc, rank desc, id rows between unbounded preceding and 1 preceding), 0) as before from k)
 select id, least(n, 24000 - before)::bigint as characters, 24000 - before < n as truncated from b where before < 24000"""
     out["context_fields_topn"] = f"""with {catalog}, h as (select *, case when field like '%name%' or field like '%price%' then length(field) else 0 end as score from fields)
 select object, field, place::int as place from (select *, row_number() over (partition by object order by score > 0 desc, score desc, is_primary_key desc, position, field) as place from h) where place <= 3"""

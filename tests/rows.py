@@ -6,7 +6,7 @@ def rows_of(pdf):
     import pandas as pd
 
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return "null"
         if hasattr(v, "__len__") and not isinstance(v, (str, bytes)):
             return str(list(v))

@@ -27,7 +27,7 @@ def folded(v):
 
 
 def test_tokens_follow_the_order_of_folding(spark):
-    values = ["éA SalesOrderID", "a–b", "Straße für die Öl", "Łódź ñandú", "x1Y2", "", None, "THE Cats"]
+    values = ["éA SalesOrderID", "a–b", "Straße für die Öl", "Łódź ñandú", "x1Y2", "", None, "THE Cats", "Tiếng Việt ﬁle Ａbc ĳs", "№5 ½ ㎏ ™", "a\u00a0b 𝐀𝟗 Ǆungla", "日本 Ελλάδα x"]
     want = [[t for t in re.split("[^a-z0-9]+", folded(v or "")) if t and t not in X.BM25_STOP] for v in values]
     assert column(spark, values, X.bm25_tokens) == want
 
@@ -154,3 +154,18 @@ def test_unknown_rules_and_modes_are_refused(spark):
         scopes.apply_rule(F.lit("x"), ["soundex"])
     with pytest.raises(ValueError):
         scopes.find_candidates(fx.CANDIDATES.df(spark), "r2", "all")
+
+
+def test_profiles_of_mixed_columns(spark):
+    df = spark.sql("select * from values (1, 'abc', timestamp'2024-01-02', 2.5d), (10, 'b', null, -1d), (9, null, timestamp'2024-01-01', 2.5d) as t(i, s, t, d)")
+    got = {r.column_name: r for r in profile.profile_columns(df, ["i", "s", "t", "d"]).collect()}
+    assert [(got[c].min_value, got[c].max_value, got[c].distinct_count, got[c].min_length) for c in "istd"] == [("1.0", "10.0", 3, None), ("abc", "b", 2, 1), ("2024-01-01 00:00:00", "2024-01-02 00:00:00", 2, None), ("-1.0", "2.5", 2, None)]
+
+
+def test_all_pairs_equal_single_probes(spark, sf_dir):
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
+    pairs = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_totalprice", "customer", "c_custkey"), ("customer", "c_custkey", "orders", "o_custkey")]
+    got = {r.position: r for r in profile.probe_all(tables, pairs).collect()}
+    for i, (a, x, b, y) in enumerate(pairs):
+        want = profile.probe_pair(tables[a], x, tables[b], y).first().asDict()
+        assert {k: got[i][k] for k in want} == want
