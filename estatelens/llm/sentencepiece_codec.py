@@ -72,17 +72,18 @@ class TrieEncoder:
             known = self.fits[key] = self.merge(left + right) == [left, right]
         return known
 
-    def encode(self, distinct: list[str]) -> list[list[int]]:
-        """The ids of each word; shared prefixes are worked out once."""
-        order = sorted(range(len(distinct)), key=distinct.__getitem__)
-        out: list[list[int]] = [[] for _ in distinct]
+    def encode(self, words: list[str], flat: array) -> list[int]:
+        """Append the ids of sorted distinct words to flat and give their number for each; shared prefixes are worked out once."""
+        sizes = []
+        find = self.ids.get
         # state[d]: the last piece of the encoding of the current path's first d characters
         state: list[str] = [""]
         path, end_of, fits, follows = "", self.ends.get, self.fits.get, self.follows
-        for w in order:
-            word = distinct[w]
-            shared, most = 0, min(len(path), len(word))
-            while shared < most and path[shared] == word[shared]:
+        for word in words:
+            shared = 0
+            for x, y in zip(path, word, strict=False):
+                if x != y:
+                    break
                 shared += 1
             del state[shared + 1 :]
             for d in range(shared + 1, len(word) + 1):
@@ -109,14 +110,15 @@ class TrieEncoder:
             while d:
                 pieces.append(state[d])
                 d -= len(state[d])
-            ids = out[w]
+            before = len(flat)
             for piece in reversed(pieces):
-                i = self.ids.get(piece)
+                i = find(piece)
                 if i is None:
-                    ids.extend(self.bytes[x] for x in piece.encode("utf-8", "surrogatepass"))
+                    flat.extend([self.bytes[x] for x in piece.encode("utf-8", "surrogatepass")])
                 else:
-                    ids.append(i)
-        return out
+                    flat.append(i)
+            sizes.append(len(flat) - before)
+        return sizes
 
     def cut(self, text: str) -> list[str]:
         return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -129,20 +131,35 @@ class _Memory:
     """Ids of words seen before by this Python worker; the older half of them is forgotten when there are too many."""
 
     def __init__(self, path: str):
-        self.coder, self.known, self.size = TrieEncoder(path), {}, 0
-
-    def of(self, distinct: list[str]) -> list[array]:
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        found = {w: array("i", ids) for w, ids in zip(new, self.coder.encode(new), strict=True)}
-        out = [known.get(w) or found[w] for w in distinct]
-        known |= found
-        self.size += sum(map(len, new))
-        if len(known) > WORDS or self.size > CHARACTERS:
-            for w in list(known)[: len(known) // 2 + 1]:
-                self.size -= len(w)
-                del known[w]
-        return out
+        self.coder, self.known, self.characters = TrieEncoder(path), {}, 0
+        # ids of all known words one after the other, and where each word's lie
+        self.flat, self.start, self.size = array("i"), array("q"), array("q")
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The place in start and size of each word."""
+        if len(self.known) > WORDS or self.characters > CHARACTERS:
+            self.forget()
+        new = sorted(set(words).difference(self.known))
+        at = len(self.flat)
+        for w, n in zip(new, self.coder.encode(new, self.flat), strict=True):
+            self.known[w] = len(self.size)
+            self.start.append(at)
+            self.size.append(n)
+            self.characters += len(w)
+            at += n
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def forget(self) -> None:
+        kept = list(self.known)[len(self.known) // 2 + 1 :]
+        old, start = self.flat, self.start
+        places = [self.known[w] for w in kept]
+        self.size = array("q", [self.size[i] for i in places])
+        self.flat, self.start = array("i"), array("q")
+        for i, n in zip(places, self.size, strict=True):
+            self.start.append(len(self.flat))
+            self.flat.extend(old[start[i] : start[i] + n])
+        self.known = {w: i for i, w in enumerate(kept)}
+        self.characters = sum(map(len, kept))
 
 
 _MEMORY: dict[str, _Memory] = {}
@@ -163,19 +180,16 @@ def _encoded(path: str):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 cut = [coder.cut(x) for x in texts]
                 counts = np.array([len(x) for x in cut], np.int64)
-                flat = pa.array([w for x in cut for w in x], pa.large_string()).dictionary_encode()
+                codes = memory.of([w for x in cut for w in x])
                 del cut
-                found = memory.of(flat.dictionary.to_pylist())
-                size = np.array([len(x) for x in found], np.int64)
-                pool = np.frombuffer(b"".join(found), np.int32)
-                start = np.cumsum(size) - size
-                codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                n = size[codes] if len(codes) else np.zeros(0, np.int64)
+                pool, start = (np.frombuffer(x, k) if len(x) else np.zeros(0, k) for x, k in ((memory.flat, np.int32), (memory.start, np.int64)))
+                n = np.frombuffer(memory.size, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
                 total = np.concatenate([[0], np.cumsum(n)])
                 # position of each token in the pool of ids of distinct words
-                where = np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(start[codes] if len(codes) else np.zeros(0, np.int64), n)
+                where = np.arange(total[-1]) - np.repeat(total[:-1] - start[codes], n)
                 edges = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                ids = pool[where] if len(where) else np.zeros(0, np.int32)
+                ids = pool[where]
+                del pool, start  # the memory's arrays can grow again
                 back = decoded(coder.model, edges, ids)
                 same = [a == b for a, b in zip(back, texts, strict=True)]
                 digest = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]

@@ -36,8 +36,10 @@ def test_forgotten_words_are_worked_out_again(monkeypatch):
     words = [f"▁word{i % 13}{'x' * (i % 7)}" for i in range(200)]
     for at in range(0, 200, 9):
         part = words[at : at + 9]
-        assert [list(x) for x in memory.of(part)] == [lib.encode(w.replace("▁", " ").strip()) for w in part]
-        assert len(memory.known) <= 14 and memory.size == sum(map(len, memory.known))
+        places = memory.of(part)
+        got = [list(memory.flat[memory.start[i] : memory.start[i] + memory.size[i]]) for i in places]
+        assert got == [lib.encode(w.replace("▁", " ").strip()) for w in part]
+        assert len(memory.known) <= 16 and memory.characters == sum(map(len, memory.known))
 
 
 def test_forgotten_pieces_are_merged_again(monkeypatch):
