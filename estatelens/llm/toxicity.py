@@ -90,8 +90,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             around = (mix64(left + np.uint64(7)) ^ right).view(np.int64)
             toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int8), counts)
             doc = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), counts)
-            seen = pa.table({"bucket": _bucket(hashes)[codes].astype(np.int32), "around": around, "toxic": toxic, "doc_id": doc}).group_by(["bucket", "around", "toxic", "doc_id"]).aggregate([])
-            yield from seen.select(["bucket", "around", "toxic", "doc_id"]).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(hashes)[codes].astype(np.int32)), pa.array(around), pa.array(toxic), pa.array(doc)], ["bucket", "around", "toxic", "doc_id"])
 
 
 def evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[float]]]:
