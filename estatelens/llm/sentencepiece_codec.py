@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 MARK = "▁"
+#: Bytes of text that are cut at once: a word takes some twenty times its bytes as a Python text.
+SLICE = 2 << 20
 #: Bounds of what a worker remembers: pairs of pieces, words, and their characters.
 MEMORY, WORDS, CHARACTERS = 1_000_000, 400_000, 16_000_000
 
@@ -176,7 +178,7 @@ def _encoded(path: str):
         memory = _MEMORY.get(path) or _MEMORY.setdefault(path, _Memory(path))
         coder = memory.coder
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 cut = [coder.cut(x) for x in texts]
                 counts = np.array([len(x) for x in cut], np.int64)
