@@ -102,3 +102,80 @@ def segment_overlap(source: DataFrame, field: str, pattern: str, index: int, tar
     out = out.crossJoin(share)
     score = F.lit(0.15) + 0.25 * F.col("pattern_coverage") + 0.3 * F.col("source_coverage") + 0.2 * F.col("target_uniqueness") + F.least(F.lit(0.1), F.col("overlap") / 100)
     return out.select(F.lit(field).alias("from_field"), F.lit(target_field).alias("to_field"), F.lit(index).alias("component"), "source_distinct", "target_distinct", "overlap", "pattern_coverage", "source_coverage", "target_uniqueness", F.round(F.least(F.lit(0.95), score), 4).alias("confidence"))
+
+
+#: Fixed patterns and values: names of key fields, pattern parts, literals that may be a cue, textual native types.
+KEY_FIELD = r"(?i)(?:^|_)(?:cd|code|id|identifier|key|ky|no|nr|number)(?:_|$)"
+COMPONENT, LITERAL = r"\{digits_\d+:\d+\}", "[A-Za-z]{2,}"
+TEXTUAL = ("char", "nchar", "nvarchar", "text", "varchar", "string")
+
+
+def is_key_pattern(data_type: Column, is_key: Column, label: Column, pattern: Column) -> Column:
+    """Whether a text field's pattern is taken for a key: by its role or name, or by two components between two literals."""
+    textual = F.trim(F.substring_index(F.lower(data_type), "(", 1)).isin(*TEXTUAL)
+    literals = F.regexp_count(F.regexp_replace(pattern, COMPONENT, ""), F.lit(LITERAL))
+    return textual & (is_key | label.rlike(KEY_FIELD) | ((F.regexp_count(pattern, F.lit(COMPONENT)) >= 2) & (literals >= 2)))
+
+
+def matches_target(pattern: Column, index: Column, target_object: Column, target_field: Column) -> Column:
+    """Whether the last literal before a pattern's index-th digit run is a word, or the initials, of the target's names."""
+    before = F.element_at(F.split(pattern, COMPONENT), index)
+    cue = F.upper(F.try_element_at(F.regexp_extract_all(before, F.lit(LITERAL), F.lit(0)), F.lit(-1)))
+
+    def words(label: Column) -> Column:
+        return F.filter(F.transform(F.regexp_extract_all(label, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.upper), lambda w: ~w.isin(*X.GENERIC_KEY_TOKENS))
+
+    groups = [words(target_object), words(target_field)]
+    initials = [F.array_join(F.transform(g, lambda w: F.substring(w, 1, 1)), "") for g in groups]
+    has = F.regexp_count(before, F.lit(LITERAL)) > 0
+    return has & F.coalesce(F.array_contains(F.concat(*groups), cue) | F.array_contains(F.array_remove(F.array(*initials), ""), cue), F.lit(False))
+
+
+def dominant_patterns(values: DataFrame) -> DataFrame:
+    """(object, field, pattern, sample_count, match_count, pattern_coverage, components) of values(object, field, value): the most
+    frequent shape of each field, if it passes the gates; one aggregation for all fields.
+    """
+    shaped = values.where("value is not null").select("object", "field", X.key_shape(F.col("value")).alias("s"))
+    counted = shaped.groupBy("object", "field", F.col("s.pattern").alias("pattern")).agg(F.count("*").alias("match_count"), F.max(F.size("s.parts")).alias("components"))
+    whole = Window.partitionBy("object", "field")
+    ranked = counted.withColumn("sample_count", F.sum("match_count").over(whole)).where("pattern is not null")
+    best = ranked.withColumn("r", F.row_number().over(whole.orderBy(F.desc("match_count"), "pattern"))).where("r = 1").drop("r")
+    out = best.withColumn("pattern_coverage", F.col("match_count") / F.col("sample_count"))
+    return out.where(f"sample_count >= {PATTERN_MATCHES} and match_count >= {PATTERN_MATCHES} and pattern_coverage >= {PATTERN_COVERAGE}").select("object", "field", "pattern", "sample_count", "match_count", "pattern_coverage", "components")
+
+
+def transformed_candidates(values: DataFrame, fields: DataFrame, targets: DataFrame) -> DataFrame:
+    """Joins through segments of keys: values(object, field, value) of text fields, fields(object, field, data_type, is_key) and
+    targets(object, field, numeric, value) of other objects' keys and first fields.
+
+    Every component of every key pattern meets every target whose names its cue fits, by value; per source field and component the
+    best target stays: coverage, uniqueness, overlap, then names.
+    """
+    patterns = dominant_patterns(values).join(fields, ["object", "field"])
+    patterns = patterns.where(is_key_pattern(F.col("data_type"), F.col("is_key"), F.col("field"), F.col("pattern"))).select("object", "field", "pattern", "pattern_coverage", "match_count")
+    shaped = values.where("value is not null").select("object", "field", X.key_shape(F.col("value")).alias("s")).withColumn("pattern", F.col("s.pattern"))
+    parts = shaped.join(patterns, ["object", "field", "pattern"]).select("object", "field", "pattern", "pattern_coverage", F.explode("s.parts").alias("p"))
+    segments = parts.select("object", "field", "pattern", "pattern_coverage", F.col("p.index").alias("component"), F.col("p.text").alias("text"))
+    names = segments.select("object", "field", "pattern", "component").distinct()
+    places = targets.select(F.col("object").alias("to_object"), F.col("field").alias("to_field"), "numeric").distinct()
+    pairs = names.join(places, (F.col("object") != F.col("to_object")) & matches_target(F.col("pattern"), F.col("component"), F.col("to_object"), F.col("to_field")))
+    key = ["object", "field", "component", "to_object", "to_field"]
+    a = segments.join(pairs, ["object", "field", "pattern", "component"]).select(*key, "pattern", "pattern_coverage", F.when(F.col("numeric"), X.normalized_value(F.col("text"), True)).otherwise(X.normalized_value(F.col("text"), False)).alias("v")).where("v is not null").distinct()
+    t = targets.where("value is not null").select(F.col("object").alias("to_object"), F.col("field").alias("to_field"), F.when(F.col("numeric"), X.normalized_value(F.col("value"), True)).otherwise(X.normalized_value(F.col("value"), False)).alias("v"))
+    counted = t.groupBy("to_object", "to_field", "v").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("to_object", "to_field").agg(F.count("v").alias("target_distinct"), F.sum("n").alias("target_non_null"))
+    met = a.join(counted.where("v is not null").withColumn("hit", F.lit(1)), ["to_object", "to_field", "v"], "left").groupBy(*key, "pattern", "pattern_coverage").agg(F.count("*").alias("source_distinct"), F.count("hit").alias("overlap"))
+    out = met.join(sizes, ["to_object", "to_field"]).withColumn("source_coverage", F.col("overlap") / F.greatest(F.lit(1), "source_distinct")).withColumn("target_uniqueness", F.col("target_distinct") / F.greatest(F.lit(1), "target_non_null"))
+    out = out.where(f"overlap >= {SEGMENT_OVERLAP} and source_coverage >= {SEGMENT_COVERAGE} and target_uniqueness >= {SEGMENT_UNIQUENESS}")
+    best = Window.partitionBy("object", "field", "component").orderBy(F.desc("source_coverage"), F.desc("target_uniqueness"), F.desc("overlap"), "to_object", "to_field")
+    out = out.withColumn("r", F.row_number().over(best)).where("r = 1")
+    score = F.lit(0.15) + 0.25 * F.col("pattern_coverage") + 0.3 * F.col("source_coverage") + 0.2 * F.col("target_uniqueness") + F.least(F.lit(0.1), F.col("overlap") / 100)
+    return out.select(F.col("object").alias("from_object"), F.col("field").alias("from_field"), "component", "pattern", "to_object", "to_field", "overlap", F.round("source_coverage", 6).alias("source_coverage"), F.round(F.least(F.lit(0.95), score), 4).alias("confidence"))
+
+
+def add_candidates(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """edges(id, from_object, from_field, to_object, to_field, state, origin) and found ones, as drafts, whose pair has no edge yet."""
+    pair = ["from_object", "from_field", "to_object", "to_field"]
+    digest = F.substring(F.sha2(F.concat_ws("\n", F.concat_ws("/", "from_object", "from_field"), F.concat_ws("/", "to_object", "to_field")), 256), 1, 20)
+    new = found.select(*pair).distinct().join(edges.select(*pair), pair, "left_anti")
+    return edges.unionByName(new.select(F.concat(F.lit("relationship_candidate:"), digest).alias("id"), *pair, F.lit("draft").alias("state"), F.lit("profile").alias("origin")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import queries_estate
+from . import queries_catalog, queries_estate
 from .functions import text as X
 from .operators import drift, graph, lineage, profile, relationships, retrieval, scopes
 
@@ -341,7 +341,7 @@ def entity_rule_overlap(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in ("queries", "oracle_sql")}
-    return {f"probe_{a}_{b}": _probe(i) for i, (a, _, b, _) in enumerate(PAIRS)} | names | queries_estate.queries()
+    return {f"probe_{a}_{b}": _probe(i) for i, (a, _, b, _) in enumerate(PAIRS)} | names | queries_estate.queries() | queries_catalog.queries()
 
 
 def _profile_sql(table, columns, text, source=None, complete="true"):
@@ -396,6 +396,23 @@ _TRACE_SQL = """walk as (select 'rep.best' as node, 0 as depth union select e.so
 seen as (select node, min(depth) as depth from walk group by 1)"""
 
 
+def _changes_sql() -> str:
+    """Changes between catalogs o1, f1, r1 and o2, f2, r2."""
+    diff = lambda c, kind, sev: f"select reference, '{kind}' as kind, '{sev}' as severity, b_{c}::varchar as before, a_{c}::varchar as after from {{src}} where a_is and b_is and b_{c} is distinct from a_{c}"
+    seen = lambda src, r, rs, a, s: f"select reference, case when a_is is null then '{r}' else '{a}' end, case when a_is is null then '{rs}' else '{s}' end, null, null from {src} where a_is is null or b_is is null"
+    return f"""ob as (select coalesce(x.namespace, y.namespace) || '.' || coalesce(x.object, y.object) as reference, x.kind as b_kind, y.kind as a_kind, x.primary_key as b_pk, y.primary_key as a_pk, x.description as b_d, y.description as a_d, x.object is not null or null as b_is, y.object is not null or null as a_is from o1 x full join o2 y on x.namespace = y.namespace and x.object = y.object),
+fb as (select coalesce(x.namespace, y.namespace) || '.' || coalesce(x.object, y.object) || '.' || coalesce(x.field, y.field) as reference, x.data_type as b_t, y.data_type as a_t, x.nullable as b_n, y.nullable as a_n, x.is_primary_key as b_k, y.is_primary_key as a_k, x.position as b_p, y.position as a_p, x.description as b_d, y.description as a_d, x.field is not null or null as b_is, y.field is not null or null as a_is, x.namespace as ns, coalesce(x.object, y.object) as ob, x.field as bf, y.field as af from f1 x full join f2 y on x.namespace = y.namespace and x.object = y.object and x.field = y.field),
+rb as (select coalesce(x.name, y.name) as reference, x.sh as b_s, y.sh as a_s, x.name is not null or null as b_is, y.name is not null or null as a_is from (select *, array_to_string(from_fields, ',') || '|' || to_namespace || '|' || to_object || '|' || array_to_string(to_fields, ',') as sh from r1) x full join (select *, array_to_string(from_fields, ',') || '|' || to_namespace || '|' || to_object || '|' || array_to_string(to_fields, ',') as sh from r2) y on x.object = y.object and x.name = y.name),
+g1 as (select ob, b_p, b_t, b_n, b_k, max(bf) as bf from fb where a_is is null group by all having count(*) = 1), g2 as (select ob, a_p, a_t, a_n, a_k, max(af) as af from fb where b_is is null group by all having count(*) = 1),
+rn as (select 'main.' || g1.ob || '.' || bf as reference, bf as before, af as after from g1 join g2 on g1.ob = g2.ob and b_p = a_p and b_t = a_t and b_n = a_n and b_k = a_k),
+ch as (select * from (select null as reference, null as kind, null as severity, null as before, null as after where false) union all {seen('ob', 'object_removed', 'breaking', 'object_added', 'info')}
+ union all {diff('kind', 'object_kind_changed', 'review_required').format(src='ob')} union all {diff('pk', 'primary_key_changed', 'breaking').format(src='ob')} union all {diff('d', 'technical_description_changed', 'info').format(src='ob')}
+ union all {seen('fb', 'field_removed', 'breaking', 'field_added', 'info')} union all {diff('t', 'field_type_changed', 'review_required').format(src='fb')} union all {diff('n', 'field_nullability_changed', 'review_required').format(src='fb')}
+ union all {diff('k', 'field_key_status_changed', 'breaking').format(src='fb')} union all {diff('p', 'field_position_changed', 'info').format(src='fb')} union all {diff('d', 'technical_description_changed', 'info').format(src='fb')}
+ union all select reference, 'possible_field_rename', 'review_required', before, after from rn
+ union all {seen('rb', 'relationship_removed', 'breaking', 'relationship_added', 'info')} union all {diff('s', 'relationship_changed', 'breaking').format(src='rb')})"""
+
+
 def oracle_sql() -> dict[str, str]:
     catalog = ", ".join([fx.OBJECTS.sql("objects"), fx.FIELDS.sql("fields"), fx.RELATIONSHIPS.sql("rels")])
     retail = ", ".join([r.sql(n) for v, k in ((fx.RETAIL_1, "1"), (fx.RETAIL_2, "2")) for r, n in zip(v, (f"o{k}", f"f{k}", f"r{k}"), strict=True)])
@@ -470,19 +487,7 @@ union all select 'primary_key_flagged', namespace || '.' || object || '.' || fie
 union all select 'primary_key_listed', namespace || '.' || object || '.' || field from f where pk and not exists (select 1 from k where f.object = k.object and f.field = k.field)
 union all select 'reference_fields_equal', namespace || '.' || object || '.' || name from rels where len(from_fields) <> len(to_fields)
 union all select 'reference_target_known', namespace || '.' || object || '.' || name from rels where to_object not in (select object from o)"""
-    diff = lambda c, kind, sev: f"select reference, '{kind}' as kind, '{sev}' as severity, b_{c}::varchar as before, a_{c}::varchar as after from {{src}} where a_is and b_is and b_{c} is distinct from a_{c}"
-    seen = lambda src, r, rs, a, s: f"select reference, case when a_is is null then '{r}' else '{a}' end, case when a_is is null then '{rs}' else '{s}' end, null, null from {src} where a_is is null or b_is is null"
-    changes = f"""ob as (select coalesce(x.namespace, y.namespace) || '.' || coalesce(x.object, y.object) as reference, x.kind as b_kind, y.kind as a_kind, x.primary_key as b_pk, y.primary_key as a_pk, x.description as b_d, y.description as a_d, x.object is not null or null as b_is, y.object is not null or null as a_is from o1 x full join o2 y on x.namespace = y.namespace and x.object = y.object),
-fb as (select coalesce(x.namespace, y.namespace) || '.' || coalesce(x.object, y.object) || '.' || coalesce(x.field, y.field) as reference, x.data_type as b_t, y.data_type as a_t, x.nullable as b_n, y.nullable as a_n, x.is_primary_key as b_k, y.is_primary_key as a_k, x.position as b_p, y.position as a_p, x.description as b_d, y.description as a_d, x.field is not null or null as b_is, y.field is not null or null as a_is, x.namespace as ns, coalesce(x.object, y.object) as ob, x.field as bf, y.field as af from f1 x full join f2 y on x.namespace = y.namespace and x.object = y.object and x.field = y.field),
-rb as (select coalesce(x.name, y.name) as reference, x.sh as b_s, y.sh as a_s, x.name is not null or null as b_is, y.name is not null or null as a_is from (select *, array_to_string(from_fields, ',') || '|' || to_namespace || '|' || to_object || '|' || array_to_string(to_fields, ',') as sh from r1) x full join (select *, array_to_string(from_fields, ',') || '|' || to_namespace || '|' || to_object || '|' || array_to_string(to_fields, ',') as sh from r2) y on x.object = y.object and x.name = y.name),
-g1 as (select ob, b_p, b_t, b_n, b_k, max(bf) as bf from fb where a_is is null group by all having count(*) = 1), g2 as (select ob, a_p, a_t, a_n, a_k, max(af) as af from fb where b_is is null group by all having count(*) = 1),
-rn as (select 'main.' || g1.ob || '.' || bf as reference, bf as before, af as after from g1 join g2 on g1.ob = g2.ob and b_p = a_p and b_t = a_t and b_n = a_n and b_k = a_k),
-ch as (select * from (select null as reference, null as kind, null as severity, null as before, null as after where false) union all {seen('ob', 'object_removed', 'breaking', 'object_added', 'info')}
- union all {diff('kind', 'object_kind_changed', 'review_required').format(src='ob')} union all {diff('pk', 'primary_key_changed', 'breaking').format(src='ob')} union all {diff('d', 'technical_description_changed', 'info').format(src='ob')}
- union all {seen('fb', 'field_removed', 'breaking', 'field_added', 'info')} union all {diff('t', 'field_type_changed', 'review_required').format(src='fb')} union all {diff('n', 'field_nullability_changed', 'review_required').format(src='fb')}
- union all {diff('k', 'field_key_status_changed', 'breaking').format(src='fb')} union all {diff('p', 'field_position_changed', 'info').format(src='fb')} union all {diff('d', 'technical_description_changed', 'info').format(src='fb')}
- union all select reference, 'possible_field_rename', 'review_required', before, after from rn
- union all {seen('rb', 'relationship_removed', 'breaking', 'relationship_added', 'info')} union all {diff('s', 'relationship_changed', 'breaking').format(src='rb')})"""
+    changes = _changes_sql()
     out["schema_changes"] = f"with {retail}, {changes} select * from ch"
     out["field_renames"] = f"with {retail}, {changes} select * from rn"
     stale = ", ".join(f"'{k}'" for k in drift.STALE)
@@ -544,4 +549,4 @@ union all select 'confirmed_then_candidates', candidate, 'exploratory_only' from
     out["er_evidence"] = f"with {er} select candidate, round(matched / evaluated, 6) as coverage, round(collisions / matched, 6) as collision_rate, matched <= evaluated and collisions <= matched and counterexamples <= evaluated as valid from c"
     out["entity_rule_overlap"] = """with a as (select distinct lower(p_name) as k, p_name from part), b as (select lower(p_name) as k, count(distinct p_name) as n from part group by 1)
 select count(*) as evaluated, count(n) as matched, count(case when n > 1 then 1 end) as collisions from (select distinct upper(p_name) as l from part) x left join b on lower(x.l) = b.k"""
-    return out | queries_estate.oracle_sql()
+    return out | queries_estate.oracle_sql() | queries_catalog.oracle_sql(_changes_sql())
