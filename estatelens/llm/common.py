@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text an Arrow mapper handles at once, so that memory follows this and not the batch.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch at most; texts of some KB each make the usual 10,000 take tens of MB in each task and worker.
+BATCH_ROWS = 2000
 #: ASCII white space of the word definition used across the operators.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -61,6 +63,14 @@ class Workspace:
             files.delete(path, True)
 
 
+def arrow_mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(function, schema) over batches of BATCH_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows of about `limit` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, words
+from .common import Workspace, arrow_mapped, slices, words
 
 ORDER = 5
 #: The end of a document, as a token; no word can be a line feed.
@@ -199,10 +199,10 @@ def score_texts(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
     spark, space = docs.sparkSession, Workspace(docs.sparkSession)
     left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(left != held, F.lit(False)).alias("train"))
-    vocabulary = rows.mapInArrow(_vocabulary, "word string, c long, uses long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
+    vocabulary = arrow_mapped(rows, _vocabulary, "word string, c long, uses long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
     vocabulary = space.keep(vocabulary)
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
-    counts = rows.mapInArrow(_text_contexts, "key long, n long, uses long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+    counts = arrow_mapped(rows, _text_contexts, "key long, n long, uses long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
     counts = space.keep(counts)
     coded = space.keep(code_lengths(counts, space))
     # FREQUENT_KEYS rows of two numbers and FREQUENT_WORDS rows at most
@@ -212,7 +212,7 @@ def score_texts(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
         keys, lp = np.array([-1], np.int64), np.zeros(1)
     top = vocabulary.where(F.col("word") != END).orderBy(F.desc("uses"), "word").limit(FREQUENT_WORDS).toArrow()
     frequent, c = pa.array(top["word"].to_pylist(), pa.string()), top["c"].to_numpy()
-    scored = rows.select("doc_id", "text").mapInArrow(_scored(frequent, c, keys, lp), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, rare_keys array<long>")
+    scored = arrow_mapped(rows.select("doc_id", "text"), _scored(frequent, c, keys, lp), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, rare_keys array<long>")
     scored = space.keep(scored)
     zero = F.lit(0.0)
     words_left = scored.select("row", F.explode("rare").alias("word")).join(vocabulary.select("word", "c"), "word")

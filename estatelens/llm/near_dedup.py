@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, mix64, shingle_sets, slices
+from .common import Workspace, arrow_mapped, components, mix64, shingle_sets, slices
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     space = Workspace(docs.sparkSession)
     base = docs.select("doc_id", "text")
-    sig = space.keep(base.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_name binary, bands array<long>"))
+    sig = space.keep(arrow_mapped(base, _signatures(k), "doc_id long, n_shingles long, set_name binary, bands array<long>"))
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = space.keep(live.groupBy("set_name").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     banded = classes.select("rep", F.explode("bands").alias("key"))
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     member = space.keep(member.select("key", "rep").join(hubs, "key"))
     first = space.keep(member.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
     ids = space.keep(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct())
-    needed = base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, s array<long>")
+    needed = arrow_mapped(base.join(ids, "doc_id", "left_semi"), _sets(k), "doc_id long, s array<long>")
     sets = space.keep(needed)
 
     def confirmed(pairs: DataFrame) -> DataFrame:

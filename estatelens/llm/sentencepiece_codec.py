@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import arrow_mapped, slices
 
 MARK = "▁"
 #: Bytes of text that are cut at once: a word takes some twenty times its bytes as a Python text.
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     has no tokens; repeated rows and null ids are returned as they come; very long texts and words are read whole; other columns are
     ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean, decoded_sha256 string")
+    return arrow_mapped(docs.select("doc_id", "text"), _encoded(path), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean, decoded_sha256 string")
 
 
 def _decoded(path: str):
@@ -229,4 +229,4 @@ def _decoded(path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of every row of encoded(doc_id, token_ids); null and empty lists give an empty text, an empty table no rows."""
-    return encoded.select("doc_id", "token_ids").mapInArrow(_decoded(path), "doc_id long, text string")
+    return arrow_mapped(encoded.select("doc_id", "token_ids"), _decoded(path), "doc_id long, text string")

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import slices
+from .common import arrow_mapped, slices
 
 #: The pre-token pattern of byte-level vocabularies that name none of their own; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -112,4 +112,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     strings inside a text count as the one special token, as the library does by default; repeated rows and
     null ids are returned as they come; very long texts are read whole; other columns are ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_counted(path), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_mapped(docs.select("doc_id", "text"), _counted(path), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix64, slices, word_hashes, words
+from .common import Workspace, arrow_mapped, mix64, slices, word_hashes, words
 
 #: Documented bounds of the fit: labelled documents, and places of the table of scores.
 SAMPLE, BITS = 8000, 20
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     rows = space.keep(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
     train = space.keep(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
-    seen = train.mapInArrow(_contexts, "bucket int, around long, toxic byte, doc_id long").where(F.col("bucket") < BUCKETS)
+    seen = arrow_mapped(train, _contexts, "bucket int, around long, toxic byte, doc_id long").where(F.col("bucket") < BUCKETS)
     first = seen.groupBy("bucket", "around").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), F.min("doc_id").alias("doc_id")).where("toxic = most")
     held = first.groupBy("bucket", "doc_id", "toxic").agg(F.count("*").alias("n"))
     # BUCKETS rows of four numbers at most
@@ -177,9 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
         return model
     model.scores, model.decay = scores, decay
     least = math.log(10) / model.decay
-    clean = train.where("toxic = 0").select("text").mapInArrow(_above(model, least), "n long, above long").agg(F.sum("n").alias("n"), F.sum("above").alias("above")).first()
+    clean = arrow_mapped(train.where("toxic = 0").select("text"), _above(model, least), "n long, above long").agg(F.sum("n").alias("n"), F.sum("above").alias("above")).first()
     model.k = max(clean.above or 0, 0.5) / max(clean.n or 0, 1) * math.exp(model.decay * least)
-    got = train.select("toxic", "text").mapInArrow(_training(model), "toxic int, x double").toArrow()  # SAMPLE rows at most
+    got = arrow_mapped(train.select("toxic", "text"), _training(model), "toxic int, x double").toArrow()  # SAMPLE rows at most
     order = np.lexsort([got["x"].to_numpy(), got["toxic"].to_numpy()])
     model.bias, model.slope = _logistic(got["x"].to_numpy()[order], got["toxic"].to_numpy()[order])
     return model
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     n_segments counts the significant segments only.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_scored(model), "doc_id long, score double, n_segments int")
+    return arrow_mapped(rows, _scored(model), "doc_id long, score double, n_segments int")
 
 
 def remainder(doc_id: str, by: int) -> Column:
@@ -259,7 +259,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts get the base score and stay, null ids and repeated rows are judged as all others, an empty table gives no rows.
     """
     model = fit(docs, labels, remainder("doc_id", 3) != 1)
-    return docs.mapInArrow(_filtered(model), docs.schema)
+    return arrow_mapped(docs, _filtered(model), docs.schema)
 
 
 def _filtered(model: Model):
