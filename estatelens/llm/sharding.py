@@ -17,8 +17,8 @@ from .common import Workspace
 
 #: Multiplier of the jump generator; a fixed value.
 STEP = np.uint64(2862933555777941757)
-#: Parts a shard is numbered in; slots need no task that holds a whole shard.
-PARTS = 64
+#: Parts a shard is numbered in, or more where one would have over PART_ROWS rows; slots need no task that holds a whole shard.
+PARTS, PART_ROWS = 64, 200_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -48,14 +48,17 @@ def shards(docs: DataFrame, n: int = 16) -> DataFrame:
     size is the text's UTF-8 bytes plus 1 and text_crc32 its unsigned CRC-32; null counts as an empty text.
     law is always "key": doc_id and n decide the shard, equal ids (repeated rows) share it, a null id has
     key 0. slot numbers each shard's rows from 0 without gaps, in the order of (part, doc_id, text_crc32, size),
-    the part being a hash of those; equal rows take their slots in any order. Other columns are ignored.
+    the part being a hash of those; equal rows take their slots in any order. Other columns are ignored; an empty
+    table gives no rows.
     """
     space = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = sized.mapInArrow(_placed(n), "doc_id long, size long, text_crc32 long, shard int, grown_shard int")
-    placed = space.keep(placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int")))
-    # n * PARTS rows at most
+    placed = space.keep(placed)
+    parts = max(PARTS, placed.count() // (n * PART_ROWS))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(parts)).cast("int"))
+    # n * PARTS rows, or one for PART_ROWS rows of the table
     filled = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = filled.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
