@@ -2,7 +2,7 @@
 
 Pages are grouped by host. For each host and line the pages that hold the line are counted and divided by
 the host's pages; lines above RATIO are boilerplate of the site and leave all its pages. Hosts with fewer than MIN_PAGES
-pages keep all lines, since there every line is on a large share of the pages.
+pages keep all lines, since there every line is on a large share of the pages; min_pages=1 judges them as all others.
 Only DataFrame operations are used. A page's lines travel as hashes; hot hosts and lines are counted from partial
 counts, and pages meet the boilerplate of their host by host, line and a salt of the page.
 """
@@ -38,8 +38,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     """(page_id, host, n_lines, n_dropped, text) of every row of pages(page_id, url, html).
 
     text holds the lines that stay, joined by line feeds. A line counts once a page; each row is a page, also
-    repeated ones. Null or empty html has no lines; pages without a host are one group; other columns are ignored; an empty
-    table gives no rows. Lines are told apart by two 64-bit hashes.
+    repeated ones. Null or empty html has no lines; pages without a host are one group; very long pages are read whole;
+    other columns are ignored; an empty table gives no rows. Lines are told apart by two 64-bit hashes.
     """
     space = Workspace(pages.sparkSession)
     cut = pages.select("page_id", host("url").alias("host"), lines("html").alias("lines"))

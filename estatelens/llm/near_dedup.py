@@ -107,7 +107,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of k-word shingles.
     component_id is the smallest doc_id reachable over links. Null or blank texts have an empty set and no
     links; fewer than k words make one shingle; rows with one doc_id are one node (each row is returned);
-    a null doc_id takes no part in links and has a null component; an empty table gives an empty result.
+    a null doc_id takes no part in links and has a null component; very long texts are read whole; an empty table gives an
+    empty result.
     Columns besides doc_id and text are ignored.
 
     Documents with equal sets form classes whose least doc_id stands for them. In each bucket of a band
@@ -165,7 +166,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; columns are kept as they are, rows with a null doc_id stay."""
+    """docs without the rows whose component has a smaller doc_id; columns are kept as they are, rows with a null doc_id stay.
+
+    Texts without words are linked with nothing and stay, rows repeated with one doc_id stay or go together, an empty table
+    gives no rows.
+    """
     found = near_duplicates(docs, k, percent)
     gone = Workspace(docs.sparkSession).keep(found.where("not kept").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
