@@ -30,9 +30,9 @@ from .common import arrow_mapped, slices
 
 MARK = "▁"
 #: Bytes of text that are cut at once: a word takes some twenty times its bytes as a Python text.
-SLICE = 2 << 20
-#: Bounds of what a worker remembers: pairs of pieces, words, and their characters.
-MEMORY, WORDS, CHARACTERS = 1_000_000, 400_000, 16_000_000
+SLICE = 4 << 20
+#: Bounds of what is remembered: pairs of pieces by a worker; words and their characters by a task.
+MEMORY, WORDS, CHARACTERS = 1_000_000, 800_000, 16_000_000
 
 
 class TrieEncoder:
@@ -130,10 +130,15 @@ _CUT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 class _Memory:
-    """Ids of words seen before by this Python worker; the older half of them is forgotten when there are too many."""
+    """Ids of words that a task has seen before; the older half of them is forgotten when there are too many."""
 
     def __init__(self, path: str):
-        self.coder, self.known, self.characters = TrieEncoder(path), {}, 0
+        self.coder = TrieEncoder(path)
+        self.clear()
+
+    def clear(self) -> None:
+        """Nothing is known; a worker that waits for tasks holds no words."""
+        self.known, self.characters = {}, 0
         # ids of all known words one after the other, and where each word's lie
         self.flat, self.start, self.size = array("i"), array("q"), array("q")
 
@@ -177,6 +182,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _MEMORY.get(path) or _MEMORY.setdefault(path, _Memory(path))
         coder = memory.coder
+        memory.clear()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = [x or "" for x in part.column("text").to_pylist()]
@@ -200,6 +206,7 @@ def _encoded(path: str):
                     [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges).astype(np.int64)), tokens, pa.array(same, pa.bool_()), pa.array(digest, pa.string())],
                     ["doc_id", "n_tokens", "token_ids", "round_trip", "decoded_sha256"],
                 )
+        memory.clear()
 
     return run
 
