@@ -94,9 +94,9 @@ def one_hop(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def trace_upstream(edges: DataFrame, start: str, max_hops: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Hops (depth, source, target, relation, state), origins (node) and facts (truncated, cycle) upstream of a node.
+    """Hops (depth, source, target, relation, state), origins (node) and one row (truncated) upstream of a node.
 
-    edges(source, target, relation, state). Every incoming edge of each node is recorded at the node's first depth + 1.
+    Nodes are names as they are; `network.trace_upstream` resolves references and warns. edges(source, target, relation, state). Every incoming edge of each node is recorded at the node's first depth + 1.
     """
     if not 1 <= max_hops <= 100:
         raise ValueError("a trace has 1 to 100 hops")

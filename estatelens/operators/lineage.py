@@ -52,8 +52,12 @@ def lineage_status(definitions: DataFrame, claims: DataFrame, writes: DataFrame,
 
 
 def network(definitions: DataFrame, claims: DataFrame, writes: DataFrame, materializations: DataFrame, states: tuple[str, ...] = ("draft", "review_required", "validated")) -> DataFrame:
-    """Edges (source, target, relation, state): a reference becomes the definition it names, else an external node."""
-    aliases = definitions.select(F.col("definition").alias("node"), F.explode(F.array("definition", X.normalized_reference(F.col("name")))).alias("alias"))
+    """Edges (source, target, relation, state): a reference becomes the definition it names, else an external node; an ambiguous one raises."""
+    aliases = definitions.select(F.col("definition").alias("node"), F.explode(F.array("definition", X.normalized_reference(F.col("name")))).alias("alias")).distinct()
+    used = claims.where("operation = 'read'").select("target").union(materializations.select("target")).union(writes.select(F.explode(F.array("target", "source")))).select(X.normalized_reference(F.col("target")).alias("alias")).distinct()
+    several = aliases.groupBy("alias").agg(F.count("*").alias("n")).where("n > 1").join(used, "alias", "left_semi").limit(1).collect()
+    if several:
+        raise ValueError(f"the reference {several[0].alias} names several definitions")
 
     def resolved(df: DataFrame, c: str) -> DataFrame:
         named = df.withColumn("__a", X.normalized_reference(F.col(c))).join(aliases, F.col("__a") == F.col("alias"), "left")
@@ -144,8 +148,3 @@ def definition_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     rows = [gone, new, *[F.when(here & ~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for c, k, s in checks]]
     return both.select(key.alias("reference"), F.explode(F.array_compact(F.array(*rows))).alias("x")).select("reference", "x.*")
 
-
-def contiguous(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """(key) of groups whose positions are not 1..n."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(position))
-    return rows.withColumn("__p", place).where(F.col("__p") != F.col(position)).select(key).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Scopes from broad to narrow, and the operations of entity rules.
 SCOPE_RANK = {"global": 0, "system": 1, "graph": 2, "schema": 3, "object": 4}
-RULES = ("trim", "casefold", "collapse_whitespace", "strip_punctuation")
+RULES = ("trim", "casefold", "collapse_whitespace", "strip_punctuation", "unicode_nfkc")
 
 
 def resolve_scope(objects: DataFrame, zones: DataFrame, systems: Sequence[str] = (), graphs: Sequence[str] = (), areas: Sequence[str] = (), schemas: Sequence[str] = (), in_zones: Sequence[str] = ()) -> DataFrame:
@@ -110,13 +110,26 @@ def candidate_evidence(candidates: DataFrame) -> DataFrame:
     return candidates.select("candidate", rate("matched", "evaluated").alias("coverage"), rate("collisions", "matched").alias("collision_rate"), sound.alias("valid"))
 
 
+def _nfkc(value):
+    """Compatibility composition; the one rule without a built-in function, in Arrow batches."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def composed(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return composed(value)
+
+
 def apply_rule(value, operations: Sequence[str]):
     """A matching rule's operations, in order, as one Column; an extension, rules being declared only."""
     if len(operations) > 8 or not set(operations) <= set(RULES):
         raise ValueError("a rule has at most eight known operations")
     out = value
     for o in operations:
-        out = {"trim": lambda v: F.trim(v), "casefold": lambda v: F.lower(F.replace(v, F.lit("ß"), F.lit("ss"))), "collapse_whitespace": lambda v: F.regexp_replace(v, r"\s+", " "), "strip_punctuation": lambda v: F.regexp_replace(v, r"[^\p{L}\p{N}\s]", "")}[o](out)
+        out = {"trim": lambda v: F.trim(v), "casefold": lambda v: F.lower(F.replace(v, F.lit("ß"), F.lit("ss"))), "collapse_whitespace": lambda v: F.regexp_replace(v, r"\s+", " "), "strip_punctuation": lambda v: F.regexp_replace(v, r"[^\p{L}\p{N}\s]", ""), "unicode_nfkc": _nfkc}[o](out)
     return out
 
 

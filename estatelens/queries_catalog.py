@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from . import generated as g
-from .operators import refresh, relationships, search, semantics, workspaces
+from .operators import refresh, relationships, search, semantics, views, workspaces
 from .queries_estate import _ANN, _annotated
 from .sources import semantic
 
@@ -441,6 +441,54 @@ def relationships_discovered(spark, sf_dir):
     return relationships.add_candidates(spark.sql(_OLD, part=part), found).select("id", "from_field", "state", "origin")
 
 
+# views
+
+_TL = "select distinct 'raw.t' || l_suppkey as source, case when l_partkey % 3 = 0 then 'ns0 . [sup_0]' else 'dw.w' || (l_partkey % 20) end as target, 'job' || (l_partkey % 7) as via from {lineitem}"
+_ST = "select 's' || n_nationkey as step, 'job' || (n_nationkey % 7) as via, case when n_nationkey > 0 then 's' || (n_nationkey - 1) end as dependency from {nation}"
+_FLOWS = f"""{g.sql('objects')}, tl as ({_TL.format(lineitem='lineitem')}), st as ({_ST.format(nation='nation')}), rf as (select distinct reference, lower(trim(regexp_replace(translate(reference, '[]\"`', ''), '\\s*\\.\\s*', '.', 'g'))) as n from (select unnest([source, target]) as reference from tl)),
+nm as (select reference, coalesce(o.id, 'lineage-ref::' || substr(sha256(n), 1, 20)) as node, o.id is null as new from rf left join (select lower(label) as l, max(id) as id from objects group by 1 having count(*) = 1) o on l = n)"""
+
+
+def _flows(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return views.lineage_flows(spark.sql(_TL, lineitem=read("lineitem")), spark.sql(_ST, nation=read("nation")), g.table(spark, sf_dir, "objects").select("id", F.col("label").alias("reference")))
+
+
+@_query(f"with {_FLOWS} select node as id, 'asset' as kind, min(reference) as label from nm where new group by 1 union all select distinct 'job::' || via, 'job', via from (select via from tl union all select via from st)")
+def lineage_flow_nodes(spark, sf_dir):
+    return _flows(spark, sf_dir)[0]
+
+
+@_query(f"""with {_FLOWS} select distinct * from (select a.node as source, 'job::' || via as target, 'reads' as relation from tl join nm a on a.reference = source union all select 'job::' || via, b.node, 'writes' from tl join nm b on b.reference = target
+union all select 'job::' || p.via, 'job::' || st.via, 'precedes' from st join st p on p.step = st.dependency)""")
+def lineage_flow_edges(spark, sf_dir):
+    return _flows(spark, sf_dir)[1]
+
+
+@_query(f"with {_ANN} select case coalesce(state, 'missing') when 'draft' then 0 when 'review_required' then 1 when 'deferred' then 2 when 'missing' then 3 when 'validated' then 4 else 5 end as place, id, label, coalesce(state, 'missing') as state from nn where type <> 'field'")
+def annotation_queue(spark, sf_dir):
+    return views.review_queue(_annotated(spark, sf_dir).where("type <> 'field'"))
+
+
+@_query("with e as (select 'p' || l_partkey as a, 's' || l_suppkey as b from lineitem), d as (select unnest([a, b]) as id from e) select id, count(*) as degree from d group by 1")
+def graph_degrees(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return views.degrees(l.select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id")))
+
+
+@_query("with e as (select 'p' || l_partkey as a, 's' || l_suppkey as b from lineitem), d as (select unnest([a, b]) as id from e) select id, count(*) as degree from d group by 1 order by 2 desc, 1 limit 1")
+def most_connected(spark, sf_dir):
+    return graph_degrees(spark, sf_dir).orderBy(F.desc("degree"), "id").limit(1)
+
+
+@_query(f"with {g.sql('objects', 'fields')} select o.id, o.label, o.type, (select string_agg(label, ',' order by position, label) from fields where parent_id = 'object:1') as fields, coalesce((select string_agg(distinct 'e' || id, ',' order by 'e' || id) from fields where parent_id = 'object:1' and is_primary_key), '') as joins from objects o where id = 'object:1'")
+def asset_described(spark, sf_dir):
+    fields = g.table(spark, sf_dir, "fields")
+    nodes = fields.select("id", "type", "label", "parent_id", "position").unionByName(g.table(spark, sf_dir, "objects").select("id", "type", "label", "parent_id"), allowMissingColumns=True)
+    edges = fields.where("is_primary_key").select(F.concat(F.lit("e"), "id").alias("id"), F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"))
+    return views.asset(nodes, edges, "object:1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -68,6 +68,7 @@ def test_references(spark):
 
 def test_type_families(spark):
     assert column(spark, ["VARCHAR(10)", "timestamp", "double", "datetime2(3)", "bit", "int"], X.type_family) == ["text", "binary", "unknown", "date", "bool", "number"]
+    assert column(spark, ["DECIMAL(9,2)", "varchar(3)", " int identity"], X.is_numeric_type) == [True, False, True]
 
 
 def test_bm25_counts_repeated_query_terms(spark):
@@ -169,3 +170,14 @@ def test_all_pairs_equal_single_probes(spark, sf_dir):
     for i, (a, x, b, y) in enumerate(pairs):
         want = profile.probe_pair(tables[a], x, tables[b], y).first().asDict()
         assert {k: got[i][k] for k in want} == want
+
+
+def test_names_that_two_definitions_share_are_refused(spark):
+    d, c, w, m = (t.df(spark) for t in (fx.DEFINITIONS, fx.CLAIMS, fx.WRITES, fx.MATERIALIZATIONS))
+    twin = d.where("definition = 'd3'").withColumn("definition", F.lit("d9")).withColumn("name", F.lit("[RAW] . orders"))
+    with pytest.raises(ValueError, match="several"):
+        lineage.network(d.union(twin).union(twin.withColumn("definition", F.lit("d10"))), c, w, m)
+
+
+def test_rules_of_compatibility(spark):
+    assert column(spark, [" ﬁle Ａ", None], lambda v: scopes.apply_rule(v, ["unicode_nfkc", "trim", "casefold"])) == ["file a", None]

@@ -89,7 +89,7 @@ def test_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "state"))
     e.build_graph("one", *(t.df(spark) for t in fx.RETAIL_1))
     e.build_graph("two", *(t.df(spark) for t in fx.RETAIL_2))
-    assert e.changes("one", "two").count() == 12 and e.nodes("one").count() == 70
+    assert e.changes("one", "two").count() == 13 and e.nodes("one").count() == 70
     packet = e.context("one", "sls", objects=4, hops=1)
     assert 1 <= len(packet.objects) <= 4 and all(o["fields"] for o in packet.objects)
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
