@@ -55,11 +55,12 @@ def folded(value: Column) -> Column:
     cut = F.regexp_replace(value, "([a-z0-9])(?=[A-Z])", "$1 ")
     texts = F.map_from_arrays(F.split(F.lit("\x01".join(longer)), "\x01"), F.split(F.lit("\x01".join(longer.values())), "\x01"))
     spelt = F.replace(cut, F.lit("ß"), F.lit("ss"))
-    # characters that become several are rare: one pass over the characters, in texts that have such
+    # characters that become several are rare: one pass over the characters, in texts that have such; what is asked is asked of
+    # the value itself, so that the text is cut and spelt once
     several = F.array_join(F.transform(F.split(spelt, ""), lambda c: F.coalesce(F.when(c > "\x7f", F.element_at(texts, c)), c)), "")
-    spelt = F.when(spelt.rlike("[" + "".join(longer) + "]"), several).otherwise(spelt)
+    spelt = F.when(value.rlike("[" + "".join(longer) + "]"), several).otherwise(spelt)
     plain = F.regexp_replace(F.translate(spelt, source, target), r"[^\x00-\x7F]", "")
-    return F.lower(F.when(cut.rlike(r"[^\x00-\x7F]"), plain).otherwise(cut))
+    return F.when(value.rlike(r"[^\x00-\x7F]"), F.lower(plain)).otherwise(F.lower(cut))
 
 
 def raw_tokens(value: Column) -> Column:

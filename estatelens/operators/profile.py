@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .graph import cut
+
 #: Fixed bounds of bounded probes.
 SAMPLE_ROWS, SAMPLE_FIELDS, VALUE_CHARS, SAMPLE_CHARS, PROFILE_ROWS, PAIRS = 10, 32, 256, 20_000, 100_000, 50
 
@@ -101,14 +103,17 @@ def histogram(df: DataFrame, column: str, domain: int = 20) -> DataFrame:
     return few.where(F.col("n") <= domain).select(F.lit(column).alias("column_name"), "value", "count").orderBy(F.desc("count"), "value")
 
 
-def key_text(kind: T.DataType, value: Column) -> Column:
-    """A value as it is compared between columns: whole numbers alike whatever their type."""
-    if isinstance(kind, T.IntegralType):
-        return value.cast("string")
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        wide = value.cast("double")
-        return F.when((wide == F.floor(wide)) & (F.abs(wide) < 1e15), wide.cast("long").cast("string")).otherwise(wide.cast("string"))
-    return value.cast("string")
+def cell(kind: T.DataType, value: Column) -> Column:
+    """A value as struct(l, d, s): a whole number, another number, or text."""
+    whole, part = isinstance(kind, T.IntegralType), isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
+    none = F.lit(None)
+    return F.struct((value if whole else none).cast("long").alias("l"), (value if part else none).cast("double").alias("d"), (none if whole or part else value).cast("string").alias("s"))
+
+
+def cell_text() -> Column:
+    """How the cells l, d and s are compared between columns: whole numbers alike whatever their type."""
+    even = F.when((F.col("d") == F.floor("d")) & (F.abs("d") < 1e15), F.col("d").cast("long").cast("string")).otherwise(F.col("d").cast("string"))
+    return F.coalesce(F.col("l").cast("string"), even, F.col("s"))
 
 
 def probe_all(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
@@ -123,15 +128,18 @@ def probe_all(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str,
     for table in dict.fromkeys(t for t, _ in wanted):
         df, own = tables[table], [f for t, f in wanted if t == table]
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        cells = F.explode(F.array(*[F.struct(F.lit(number[table, c]).alias("f"), key_text(kinds[c], F.col(c)).alias("v")) for c in own])).alias("cell")
-        parts.append(df.select(cells).select("cell.*").where("v is not null").groupBy("f", "v").agg(F.count("*").alias("n")))
+        cells = F.explode(F.array(*[F.struct(F.lit(number[table, c]).alias("f"), cell(kinds[c], F.col(c)).alias("c")) for c in own])).alias("x")
+        counted = spread(df.select(*own)).select(cells).select("x.f", "x.c.*").where("l is not null or d is not null or s is not null").groupBy("f", "l", "d", "s").agg(F.count("*").alias("n"))
+        parts.append(counted.select("f", cell_text().alias("v"), "n"))
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
-    held = values.groupBy("v").agg(F.collect_list("f").alias("fs"), F.collect_list("n").alias("ns"))
-    # (f, f) carries the field's own counts, (f, g) the overlap; both are sums over values
-    both = held.select(F.explode(F.flatten(F.transform("fs", lambda a, i: F.transform("fs", lambda b: F.struct(a.alias("a"), b.alias("b"), F.element_at("ns", i + 1).alias("n")))))).alias("p")).select("p.*")
-    met = both.groupBy("a", "b").agg(F.count("*").alias("values"), F.sum("n").alias("rows"))
+    fields = values.groupBy("f").agg(F.count("*").alias("values"), F.sum("n").alias("rows"))
+    shared = values.groupBy("v").agg(F.collect_list("f").alias("fs")).where(F.size("fs") > 1)
+    both = shared.select("fs", F.explode("fs").alias("a")).select("a", F.explode("fs").alias("b")).where("a <> b")
+    # (f, f) has the field's own counts, (f, g) the overlap; a row for each two fields at most, read three times
+    met = fields.select(F.col("f").alias("a"), F.col("f").alias("b"), "values", "rows").union(both.groupBy("a", "b").agg(F.count("*").alias("values"), F.lit(None).cast("long").alias("rows")))
+    met = cut(met)
     known = spark.createDataFrame([(i, *p, number[p[0], p[1]], number[p[2], p[3]]) for i, p in enumerate(pairs)], "position int, from_object string, source_field string, to_object string, target_field string, s int, t int")
     own = met.where("a = b")
     out = known.join(own.select(F.col("a").alias("s"), F.col("rows").alias("source_non_null"), F.col("values").alias("source_distinct")), "s", "left")

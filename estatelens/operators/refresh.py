@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import drift
+from .graph import cut
 
 #: Field changes that send a validated candidate at one of its ends back to review.
 END_CHANGES = ["field_key_status_changed", "field_nullability_changed", "field_removed", "field_type_changed"]
@@ -42,12 +43,12 @@ def refresh_graph(before: tuple[DataFrame, DataFrame, DataFrame], after: tuple[D
     Validated annotations of changed nodes and validated candidates of changed fields need review again; annotations of
     removed nodes, candidates without ends and candidates that the source now declares become stale claims.
     """
-    changes = drift.schema_changes(before, after)
+    changes = cut(drift.schema_changes(before, after))
     old, new = _references(*before[:2]), _references(*after[:2])
     reasons = changes.where(F.col("kind").isin(*drift.STALE)).groupBy("reference").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("reasons"))
     met = annotations.join(new.withColumn("here", F.lit(True)), "reference", "left").join(reasons, "reference", "left")
     again = F.col("here") & F.col("reasons").isNotNull() & (F.col("state") == "validated")
-    met = met.withColumn("again", F.coalesce(again, F.lit(False)))
+    met = cut(met.withColumn("again", F.coalesce(again, F.lit(False))))
     carried = met.where("here").select("reference", F.when(F.col("again"), "review_required").otherwise(F.col("state")).alias("state"))
     stale = met.where("again or here is null").select(
         F.lit("annotation").alias("claim_type"), "reference", F.col("state").alias("previous_state"), F.coalesce("here", F.lit(False)).alias("present"), F.coalesce("reasons", F.lit("node_removed")).alias("reasons"),
@@ -65,7 +66,7 @@ def refresh_graph(before: tuple[DataFrame, DataFrame, DataFrame], after: tuple[D
         F.when(F.col("from_here").isNull() | F.col("to_here").isNull(), "endpoint_removed").when(F.col("declared"), "superseded_by_declared_relationship")
         .when((F.col("state") == "validated") & (F.col("from_changed") | F.col("to_changed")), "relationship_endpoint_changed")
     )
-    c = c.withColumn("fate", fate)
+    c = cut(c.withColumn("fate", fate))
     kept = c.where("fate is null or fate = 'relationship_endpoint_changed'").select("id", "from_object", "from_field", "to_object", "to_field", F.when(F.col("fate").isNotNull(), "review_required").otherwise(F.col("state")).alias("state"))
     stale = stale.union(c.where("fate is not null").select(F.lit("relationship"), "id", "state", F.col("fate") == "relationship_endpoint_changed", "fate"))
     counts = _counted([
@@ -112,7 +113,7 @@ def refresh_lineage(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame,
         F.when(F.col("fate") == "definition_removed", "removed").when(gone, "undeclared").when(hidden, "hidden").when((F.col("fate") != "") & analysis, "dropped")
         .when(F.col("fate") != "", "again").when(F.coalesce(moved, F.lit(False)), "moved").otherwise("same")
     )
-    c = c.withColumn("step", step)
+    c = cut(c.withColumn("step", step))
     state = F.when(F.col("step") == "again", "review_required").when((F.col("step") == "moved") & (F.col("state") == "validated"), "review_required").otherwise(F.col("state"))
     out = ["definition", "item_type", "id", "key", "state", "declared", "evidence", "target", "mode"]
     kept = c.where("step in ('again', 'moved', 'same')").select("definition", "item_type", "id", "key", state.alias("state"), "declared", F.coalesce(F.when(F.col("declared"), F.col("now")), F.col("evidence")).alias("evidence"), "target", "mode")
@@ -126,7 +127,7 @@ def refresh_lineage(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame,
     stale = c.select("item_type", "definition", F.col("state").alias("previous_state"), (F.col("step") != "removed").alias("present"), reason.alias("reasons")).where("reasons is not null")
     lost = F.when(F.col("fate") == "definition_removed", "definition_removed").when(F.col("now_is").isNull(), "materialization_removed").when(other, "materialization_changed")
     stale = stale.union(mats.where("was").select(F.lit("materialization"), "definition", "b_state", F.col("fate") != "definition_removed", lost.alias("r")).where("r is not null"))
-    carried = kept.unionByName(added).unionByName(made)
+    carried = cut(kept.unionByName(added).unionByName(made))
     of = lambda t: carried.where(F.col("item_type") == t)
     review = c.where("step = 'again' or (step = 'moved' and state = 'validated')")
     counts = _counted([

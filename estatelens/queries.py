@@ -85,7 +85,7 @@ def _probe_sql(a, x, b, y):
 def discover_relationships(spark, sf_dir):
     pairs = relationships.eligible_pairs(fx.FIELDS.df(spark), _existing(spark), _family())
     pairs = [tuple(r) for r in pairs.collect()]  # as many as fields of the catalog, squared at most
-    tables = {t: _t(spark, sf_dir, t) for p in pairs for t in (p[0], p[2])}
+    tables = {t: _t(spark, sf_dir, t) for t in sorted({t for p in pairs for t in (p[0], p[2])})}
     found = profile.probe_all(tables, pairs)
     return relationships.best_candidates(found.withColumnRenamed("source_field", "from_field").withColumnRenamed("target_field", "to_field"))
 
