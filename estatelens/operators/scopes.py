@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,9 +114,6 @@ def candidate_evidence(candidates: DataFrame) -> DataFrame:
 
 def _nfkc(value):
     """Compatibility composition; the one rule without a built-in function, in Arrow batches."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
