@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, token_counts, toxicity
+from . import exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, source_divergence, token_counts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +66,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_docs(spark, sf_dir), 16)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -151,4 +155,23 @@ b as (select h.host, line from h join t on h.host = t.host group by h.host, line
 g as (select host, list(line) as gone from b group by 1),
 s as (select page_id, c.host, ls, list_filter(ls, lambda x: not list_contains(coalesce(gone, []), x)) as st from c left join g on c.host = g.host)
 select page_id, host, len(ls)::bigint as n_lines, (len(ls) - len(st))::bigint as n_dropped, array_to_string(st, chr(10)) as text from s"""
-    return {"op1_near_dedup": op1, "op5_mixing": op5, "op5_mixing_blocks": op5_blocks, "op7_line_dedup": op7, "op9_exact_dedup": op9}
+    op11 = rf"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+g as (select distinct lang, source from d),
+o as (select i, lang, source, unnest(w) as term from d),
+k as (select lang, term from o group by 1, 2 having count(distinct i) >= {source_divergence.MIN_DOCS}),
+v as (select lang, count(*) as v from k group by 1),
+n as (select lang, source, term, count(*) as n from o semi join k using (lang, term) group by 1, 2, 3),
+t as (select lang, source, sum(n) as t from n group by 1, 2),
+c as (select g.lang, g.source, k.term, coalesce(n.n, 0) as n, coalesce(t.t, 0) as t, v.v from g join k using (lang) join v using (lang)
+  left join n using (lang, source, term) left join t using (lang, source)),
+p as (select *, 1 + {source_divergence.SCALE}::hugeint * (n + 5) // (t + 5 * v) as p,
+  1 + {source_divergence.SCALE}::hugeint * (sum(n) over u + 5) // (sum(t) over u + 5 * v) as q from c window u as (partition by lang, term)),
+a as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join a x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+f as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where n > 0 and p > q),
+s as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from r union all select * from f))
+select * from s where part = 'pair' or rank <= {source_divergence.TOP}"""
+    return {"op1_near_dedup": op1, "op5_mixing": op5, "op5_mixing_blocks": op5_blocks, "op7_line_dedup": op7, "op9_exact_dedup": op9, "op11_source_divergence": op11}
