@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, source_divergence, token_counts, toxicity
+from . import conversation_repair, exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, source_divergence, token_counts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,6 +70,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(_docs(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_repair.repair(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return found.withColumn("repaired_sha256", conversation_repair.repaired_sha256("repaired")).drop("repaired")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -116,6 +121,47 @@ l as (select doc_id, source, size, number, ss, target, coalesce(sum(size) over (
 b as (select *, unnest(range(first // {block}, (first + size - 1) // {block} + 1)) as block from l where size > 0)"""
 
 
+def _repair_sql() -> str:
+    """A fold over turns as a recursion: e, s, u, a are (cost, audit) after nothing, system, user, assistant."""
+
+    def edit(state: str, cost: str | int, initial: str) -> str:
+        return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{initial}')"
+
+    def reached(state: str, initial: str, before: str) -> str:
+        ways = [edit(state, 2, "D")]
+        for b in before:
+            ways.append(f"case when free and i = '{initial}' then {edit(b, 'extra', 'K')} end")
+            if initial != "s":
+                ways.append(f"case when free then {edit(b, 'extra + 1', 'R')} end")
+        return f"list_min([{', '.join(ways)}])"
+
+    inserted = f"list_min([u, {edit('e', 5, 'I')}, {edit('s', 5, 'I')}, {edit('a', 5, 'I')}])"
+    closed = f"(select c, pos, e, s, u, list_min([a, {edit('u', 5, 'I')}]) as a from (select c, pos, e, s, {inserted} as u, a from r))"
+    never = "struct_pack(c := 1000000000000::bigint, a := '')"
+    return rf"""
+with recursive z as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, i)) as t),
+d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+  lambda x: ascii(x)::bigint), lambda v, b: xor(v >> 8, t[xor(v & 255, b) + 1]), 4294967295), 4294967295) % 20 as draw from conversations, z),
+m as (select conv_id, turn, case when draw = 4 then 'user' else role end as role, case draw when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(range(case draw when 3 then 2 else 1 end)) as copy from d where draw <> 0),
+p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from m),
+f as (select *, left(role, 1) as i, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'd'
+  when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 't' else '' end as fault, lag(left(role, 1)) over (partition by conv_id order by pos) || left(role, 1) as pair from p),
+g as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+x as (select c, f.*, fault in ('', 't') as free, case when fault = 't' then 5 else 0 end as extra from f join g on f.conv_id is not distinct from g.conv_id),
+r as (select c, 0::bigint as pos, struct_pack(c := 0::bigint, a := '') as e, {never} as s, {never} as u, {never} as a from g
+  union all select k.c, x.pos, {edit('e', 2, 'D')}, {reached('s', 's', 'e')}, {reached('u', 'u', 'esa')}, {reached('a', 'a', 'u')} from {closed} k join x on x.c = k.c and x.pos = k.pos + 1),
+b as (select c, arg_max(list_min([e, a]), pos) as best from {closed} group by 1),
+n as (select c, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate,
+  count(*) filter (where fault = 't') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from x group by 1),
+s as (select c, k - 1 as k, segs[k] as seg from (select c, unnest(range(1, len(segs) + 1)) as k, segs from (select c, regexp_extract_all(best.a, 'I*[DKR]|I+$') as segs from b))),
+o as (select c, k, e, j, row_number() over (partition by c order by k, j) - 1 as place from (select c, k, unnest(es) as e, unnest(range(len(es))) as j from (select c, k, regexp_extract_all(seg, '[IKR]') as es from s))),
+l as (select o.*, x.role, x.text, max(case when place = 0 and e = 'K' and i = 's' then 1 else 0 end) over (partition by o.c) as led from o left join x on x.c = o.c and x.pos = o.k + 1),
+w as (select c, string_agg(case when e = 'K' then role when (place - led) % 2 = 0 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end, chr(10) order by place) as t from l group by 1)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, best.c as cost, best.a as audit, sha256(coalesce(t, '')) as repaired_sha256 from g join b using (c) left join n using (c) left join w using (c)"""
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -174,4 +220,4 @@ r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value,
 f as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where n > 0 and p > q),
 s as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from r union all select * from f))
 select * from s where part = 'pair' or rank <= {source_divergence.TOP}"""
-    return {"op1_near_dedup": op1, "op5_mixing": op5, "op5_mixing_blocks": op5_blocks, "op7_line_dedup": op7, "op9_exact_dedup": op9, "op11_source_divergence": op11}
+    return {"op1_near_dedup": op1, "op5_mixing": op5, "op5_mixing_blocks": op5_blocks, "op7_line_dedup": op7, "op9_exact_dedup": op9, "op11_source_divergence": op11, "op13_conversation_repair": _repair_sql()}
