@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import conversation_repair, exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, source_divergence, token_counts, toxicity
+from . import conversation_repair, exact_dedup, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, sentencepiece_codec, sharding, source_divergence, token_counts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,6 +71,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(_docs(spark, sf_dir))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = toxicity.remainder("doc_id", 3)
+    return language_id.languages(_docs(spark, sf_dir), rest != 1, F.coalesce(rest == 1, F.lit(False)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversation_repair.repair(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return found.withColumn("repaired_sha256", conversation_repair.repaired_sha256("repaired")).drop("repaired")
