@@ -63,6 +63,17 @@ class Workspace:
             files.delete(path, True)
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed c0, c1, ... by place, and the new name of each old one; names then clash with nothing."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of positional() under their old names again; others go."""
+    return df.select(*names.values()).toDF(*names)
+
+
 def arrow_mapped(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow(function, schema) over batches of BATCH_ROWS rows at most."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Workspace
+from .common import SPACE, Workspace, named, positional
 
 BLOCK = 512
 #: Stands for the missing right neighbour of an odd last number.
@@ -100,16 +100,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, the one with the least doc_id; texts and columns stay as they are.
+    """docs with one row of each group of equal texts, the one with the least doc_id; texts stay as they are.
 
-    Null ids come last and null texts count as empty; of rows repeated with one doc_id and text one stays; an empty table
-    gives no rows.
+    Columns are kept with their values whatever their names. Null ids come last and null texts count as empty; of rows
+    repeated with one doc_id and text one stays; an empty table gives no rows.
     """
-    gone = Workspace(docs.sparkSession).keep(exact_duplicates(docs).where("not kept").select("doc_id", "text_sha256").distinct())
-    sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    marked = docs.withColumn("__sha", sha)
-    rest = marked.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.__sha = g.text_sha256"), "left_anti")
-    once = rest.groupBy("doc_id", "__sha").agg(F.count("*").alias("n")).where("n > 1")
-    if once.isEmpty():
-        return rest.select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    return rest.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha")).distinct()
+    gone = Workspace(docs.sparkSession).keep(gone)
+    plain, names = positional(docs)
+    doc_id = names["doc_id"]
+    marked = plain.withColumn("sha", F.sha2(normalised(names["text"]).cast("binary"), 256))
+    rest = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("gone")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    if not rest.groupBy(doc_id, "sha").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        rest = rest.dropDuplicates([doc_id, "sha"])
+    return named(rest, names)

@@ -5,8 +5,9 @@ follow the weights, no source beyond REPEATS times its size. The slots of the mi
 slots of a shard each source gets is drawn first: a multinomial draw conditioned on the targets (the tickets of all
 sources' slots are dealt to the places of all shards by a pseudorandom permutation and counted). The shards' counts
 then number a source's slots from the first shard to the last: the q-th takes the block that the source's own
-pseudorandom permutation gives for q, and starts over once all are used. A source's last slot may be filled in part, so
-that its words meet the target to one word. Within a shard slots are permuted once more. Permutations are
+pseudorandom permutation gives for q, and starts over once all are used. So the draw decides which shard holds which of a source's blocks;
+how often a document is taken in all depends on the source's slots alone, whatever shards they fall into. A source's last
+slot may be filled in part, so that its words meet the target to one word. Within a shard slots are permuted once more. Permutations are
 swap-or-not networks over exactly the index range: no table, no rejection, the same in each run. Slots meet
 documents by joining on (source, block). `mixed_blocks` gives the shards, slot by slot; `mix` sums what they hold of each
 document, and `mixed_documents` gives the documents' own view of the same takes, without shards. Only DataFrame
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, positional
 
 BLOCK, REPEATS = 64, 3
 #: Rounds of a permutation; slots of an output shard; tickets that a task deals at a time.
@@ -136,6 +137,13 @@ def slots_of(counts: DataFrame, sources: DataFrame, total: int, space: Workspace
     return drawn.select("number", block.alias("block"), "shard", slot.alias("slot"), words.cast("long").alias("words"))
 
 
+def part_of(x: Column, parts: int) -> Column:
+    """The part of an id (of a size where the id is null): mixed, so that ids of any stride spread over all parts."""
+    x = F.pmod(x, F.lit(PRIME)) * A % PRIME
+    x = x.bitwiseXOR(F.shiftright(x, 13)) * B % PRIME
+    return F.pmod(x.bitwiseXOR(F.shiftright(x, 11)), F.lit(parts))
+
+
 def plan(rows: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Laid-out documents, sources and slots of a mix of rows(row, doc_id, key, source, size).
 
@@ -148,7 +156,7 @@ def plan(rows: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame, DataF
     counted = sources.agg(F.sum("slots").alias("slots"), F.sum("rows").alias("rows")).first()
     total, parts = int(counted.slots or 0), max(PARTS, (counted.rows or 0) // PART_ROWS)
     docs = rows.join(sources.select(F.col("source").alias("s"), "number"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    docs = docs.withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(parts)), F.lit(0)))
+    docs = docs.withColumn("part", part_of(F.coalesce("doc_id", "size"), parts))
     filled = docs.groupBy("number", "part").agg(F.sum("size").alias("total"))
     ahead = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = space.keep(filled.select("number", "part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("start")))
@@ -217,9 +225,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     own; an empty table gives no rows.
     """
     space = Workspace(docs.sparkSession)
-    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain, named = positional(docs)
     # written, so that rows keep their numbers
-    held = space.keep(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(n) for c, n in named.items()]))
+    held = space.keep(plain.withColumn("row", F.monotonically_increasing_id()))
     text, source, doc_id = (F.col(named[c]) for c in ("text", "source", "doc_id"))
     sized = space.keep(held.select("row", doc_id.cast("long").alias("doc_id"), source.alias("source"), word_count(named["text"]).alias("size"), F.xxhash64(text).alias("key")))
     laid, _, slots = plan(sized, space)

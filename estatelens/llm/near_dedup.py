@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_mapped, components, mix64, shingle_sets, slices
+from .common import Workspace, arrow_mapped, components, mix64, named, positional, shingle_sets, slices
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -166,11 +166,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; columns are kept as they are, rows with a null doc_id stay.
+    """docs without the rows whose component has a smaller doc_id; rows with a null doc_id stay.
 
-    Texts without words are linked with nothing and stay, rows repeated with one doc_id stay or go together, an empty table
-    gives no rows.
+    Columns are kept with their values whatever their names. Texts without words are linked with nothing and stay, rows
+    repeated with one doc_id stay or go together, an empty table gives no rows.
     """
     found = near_duplicates(docs, k, percent)
-    gone = Workspace(docs.sparkSession).keep(found.where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    plain, names = positional(docs)
+    gone = Workspace(docs.sparkSession).keep(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    return named(plain.join(gone, F.col(names["doc_id"]) == F.col("gone"), "left_anti"), names)

@@ -122,8 +122,8 @@ z as (select *, coalesce(sum(n) over (partition by number order by shard rows be
 q as (select z.*, unnest(range(n)) as k from z),
 c as (select number, shard, {_permuted_sql("at0 + k", "places", "(shard + 1)")} as slot, {_permuted_sql("(q0 + k) % blocks", "blocks", "(number + 1)")} as block,
       case when q0 + k = slots - 1 and part > 0 then part else {block} end as words from q join j using (number)),
-l as (select doc_id, source, size, number, ss, target, coalesce(sum(size) over (partition by number order by doc_id % (select greatest({mixing.PARTS}, count(*) // {mixing.PART_ROWS}) from documents), doc_id
-      rows between unbounded preceding and 1 preceding), 0)::bigint as first from d join (select number, source as s, ss, target from j) on source is not distinct from s),
+l as (select doc_id, source, size, number, ss, target, coalesce(sum(size) over (partition by number order by xor(mixed, mixed >> 11) % (select greatest({mixing.PARTS}, count(*) // {mixing.PART_ROWS}) from documents), doc_id
+      rows between unbounded preceding and 1 preceding), 0)::bigint as first from (select *, xor(once, once >> 13) * {mixing.B} % {mixing.PRIME} as mixed from (select *, (coalesce(doc_id, size) % {mixing.PRIME} + {mixing.PRIME}) % {mixing.PRIME} * {mixing.A} % {mixing.PRIME} as once from d)) join (select number, source as s, ss, target from j) on source is not distinct from s),
 b as (select *, unnest(range(first // {block}, (first + size - 1) // {block} + 1)) as block from l where size > 0)"""
 
 

@@ -3,15 +3,15 @@
 Fitting: a token's score is its log-odds between toxic and clean training documents under a Dirichlet prior (an even part
 plus one in proportion to the token's frequency), brought ERRORS standard errors nearer to zero, less a drift. Clean
 evidence is negative and counts as much as toxic evidence; tokens never seen cost the drift. Tokens are counted
-once a document, and a three-word context only in the first document that has it, so that copies do not vote twice. Scores are
-kept in a table of BUCKETS hashed tokens, whatever the vocabulary; tokens that share a bucket share a score.
+once a document, and a three-word context only in one document that has it, so that copies do not vote twice. A document's
+identity is the hash of its text: how documents are numbered changes nothing. Scores are looked up by a token's whole 64-bit hash.
 Scoring: one linear scan finds all maximal scoring segments of a document. With random clean tokens the segments
 above a score s would number K * n * exp(-decay * s); decay comes from the clean tokens' scores, K from clean training
 documents, and a segment is significant as far as its score goes beyond that. The summed significance of a document is mapped to
 0..1 by a logistic curve.
 
-The classifier is fitted on SAMPLE labelled documents at most (those least in hash order); every row is scored over
-its whole text.
+The classifier is fitted on SAMPLE labelled texts at most (those whose hash is least) and keeps the TOKENS tokens of the most of them;
+every row is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_mapped, mix64, slices, word_hashes, words
+from .common import Workspace, arrow_mapped, mix64, named, positional, slices, word_hashes, words
 
-#: Documented bounds of the fit: labelled documents, and places of the table of scores.
-SAMPLE, BITS = 8000, 20
-BUCKETS = 1 << BITS
+#: Documented bounds of the fit: labelled texts, and tokens that have a score of their own.
+SAMPLE, TOKENS = 8000, 1 << 20
 EVEN, BY_FREQUENCY = 0.5, 100.0
 ERRORS, DRIFT, MARGIN = 1.5, 1.0, 0.05
 THRESHOLD = 0.7
@@ -39,8 +38,11 @@ _EDGE = ".,;:!?\"'()[]{}<>*#%&$@^~|/\\-_+=`«»¿¡…“”‘’"
 
 @dataclass
 class Model:
-    #: Score of each bucket, and last that of a token without letters; empty if nothing is learnt.
+    #: Hashes of the fitted tokens in ascending order and their scores; empty if nothing is learnt.
+    tokens: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: What every other token costs.
+    drift: float = DRIFT
     decay: float = 1.0
     k: float = 1.0
     bias: float = math.log(0.1 / 0.9)
@@ -74,8 +76,10 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.where(pc.equal(names, "").to_numpy(zero_copy_only=False), np.uint64(0), word_hashes(names)), counts
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return np.where(hashes == 0, BUCKETS, hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def scores_of(hashes: np.ndarray, model: Model) -> np.ndarray:
+    """The score of each token."""
+    at = np.minimum(np.searchsorted(model.tokens, hashes), len(model.tokens) - 1)
+    return np.where(model.tokens[at] == hashes, model.scores[at], -model.drift)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +93,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left[ends - counts[counts > 0]], right[ends - 1] = np.uint64(1), np.uint64(1)
             around = (mix64(left + np.uint64(7)) ^ right).view(np.int64)
             toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int8), counts)
-            doc = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(hashes)[codes].astype(np.int32)), pa.array(around), pa.array(toxic), pa.array(doc)], ["bucket", "around", "toxic", "doc_id"])
+            doc = np.repeat(part.column("h").to_numpy(zero_copy_only=False), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around), pa.array(toxic), pa.array(doc)], ["token", "around", "toxic", "h"])
 
 
 def evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[float]]]:
@@ -98,7 +102,7 @@ def evidence(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[float
     codes, hashes, counts = _tokens(texts)
     if not len(model.scores):
         return counts, [[] for _ in counts]
-    scored = model.scores[_bucket(hashes)].astype(np.float64)[codes] if len(codes) else np.zeros(0)
+    scored = scores_of(hashes, model)[codes]
     ends = np.cumsum(counts)
     return counts, [segments(scored[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
@@ -136,8 +140,8 @@ def _training(model: Model):
     return run
 
 
-def token_scores(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, float]:
-    """The table of scores and its decay, of buckets seen in a toxic and b clean documents and at `uses` clean places."""
+def token_scores(a: np.ndarray, b: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Scores of tokens seen in a toxic and b clean texts and at `uses` clean places, the drift in them, and their decay."""
     prior = EVEN + BY_FREQUENCY * (a + b) / (a.sum() + b.sum())
     odds = np.log((a + prior) / (a.sum() + BY_FREQUENCY - a)) - np.log((b + prior) / (b.sum() + BY_FREQUENCY - b))
     error = np.sqrt(1 / (a + prior) + 1 / (b + prior))
@@ -145,37 +149,40 @@ def token_scores(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, uses: np.ndar
     p = uses / max(uses.sum(), 1.0)
     # the mean of clean tokens must be negative, or segments would grow with the text
     drift = max(DRIFT, float((p * nearer).sum()) + MARGIN)
-    table = np.full(BUCKETS + 1, -drift, np.float32)
-    table[bucket] = nearer - drift
-    return table, _decay(p, nearer - drift)
+    return nearer - drift, drift, _decay(p, nearer - drift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """A model from labels(doc_id, toxic) where `usable` holds for the doc_id. Nothing but texts and labels is used.
 
-    Null labels and unlabelled texts are left out, of several texts of one id the least is read, an id labelled both ways is
-    toxic; without both classes every score is the base rate.
+    Null labels and unlabelled texts are left out, an id labelled both ways is toxic, a text that is both under different ids
+    teaches nothing; without both classes every score is the base rate.
     """
     space = Workspace(docs.sparkSession)
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    # SAMPLE rows of two numbers at most
-    rows = space.keep(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
-    train = space.keep(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
-    seen = arrow_mapped(train, _contexts, "bucket int, around long, toxic byte, doc_id long").where(F.col("bucket") < BUCKETS)
-    first = seen.groupBy("bucket", "around").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), F.min("doc_id").alias("doc_id")).where("toxic = most")
-    held = first.groupBy("bucket", "doc_id", "toxic").agg(F.count("*").alias("n"))
-    # BUCKETS rows of four numbers at most
+    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"))
+    # hashes alone travel; SAMPLE rows of two numbers at most are left
+    least = space.keep(rows.join(marks, "doc_id").select("h", "toxic").distinct().orderBy("h", "toxic").limit(SAMPLE))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(least.select("h").distinct()), "h")
+    train = space.keep(texts.groupBy("h").agg(F.min("text").alias("text")).join(F.broadcast(least), "h"))
+    seen = arrow_mapped(train, _contexts, "token long, around long, toxic byte, h long").where(F.col("token") != 0)
+    first = seen.groupBy("token", "around").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), F.min("h").alias("h")).where("toxic = most")
+    held = first.groupBy("token", "h", "toxic").agg(F.count("*").alias("n"))
     toxic = F.col("toxic").cast("long")
-    table = held.groupBy("bucket").agg(F.sum(toxic).alias("a"), F.sum(1 - toxic).alias("b"), F.sum((1 - toxic) * F.col("n")).alias("uses")).toArrow()
-    bucket, a, b, uses = (table[c].to_numpy().astype(np.float64) for c in ("bucket", "a", "b", "uses"))
+    counts = held.groupBy("token").agg(F.sum(toxic).alias("a"), F.sum(1 - toxic).alias("b"), F.sum((1 - toxic) * F.col("n")).alias("uses"))
+    # TOKENS rows of four numbers at most
+    table = counts.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(TOKENS).toArrow()
+    a, b, uses = (table[c].to_numpy().astype(np.float64) for c in ("a", "b", "uses"))
     model = Model()
     if not a.sum() or not b.sum():
         return model
-    scores, decay = token_scores(bucket.astype(np.int64), a, b, uses)
+    scores, drift, decay = token_scores(a, b, uses)
     if not (scores > 0).any():
         return model
-    model.scores, model.decay = scores, decay
+    tokens = table["token"].to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    model.tokens, model.scores, model.drift, model.decay = tokens[order], scores[order], drift, decay
     least = math.log(10) / model.decay
     clean = arrow_mapped(train.where("toxic = 0").select("text"), _above(model, least), "n long, above long").agg(F.sum("n").alias("n"), F.sum("above").alias("above")).first()
     model.k = max(clean.above or 0, 0.5) / max(clean.n or 0, 1) * math.exp(model.decay * least)
@@ -254,19 +261,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those scored THRESHOLD or more; each row is judged by its own whole text and columns are kept.
+    """docs without those scored THRESHOLD or more; each row is judged by its own whole text.
 
-    Null and empty texts get the base score and stay, null ids and repeated rows are judged as all others, an empty table gives no rows.
+    Columns are kept with their values whatever their names. Null and empty texts get the base score and stay, null ids and
+    repeated rows are judged as all others, an empty table gives no rows.
     """
     model = fit(docs, labels, remainder("doc_id", 3) != 1)
-    return arrow_mapped(docs, _filtered(model), docs.schema)
+    plain, names = positional(docs)
+    return named(arrow_mapped(plain, _filtered(model, names["text"]), plain.schema), names)
 
 
-def _filtered(model: Model):
+def _filtered(model: Model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                n, found = evidence(part.column("text"), model)
+            for part in slices(batch, text):
+                n, found = evidence(part.column(text), model)
                 z = [model.bias + model.slope * significance(int(c), f, model) for c, f in zip(n, found, strict=True)]
                 yield part.filter(pa.array([x < math.log(THRESHOLD / (1 - THRESHOLD)) for x in z], pa.bool_()))
 

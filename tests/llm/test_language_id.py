@@ -55,7 +55,7 @@ def learnt(docs):
 
 
 def test_odd_rows(spark, odd):
-    docs = odd.unionByName(spark.createDataFrame([(100 + i, t, "de" if i % 2 else None, None, 1, 1, "k", 1, i) for i, t in enumerate(TEXTS)], odd.schema))
+    docs = odd.unionByName(spark.createDataFrame([(100 + i, t, "de" if i % 2 else None, *[None] * 11) for i, t in enumerate(TEXTS)], odd.schema))
     got = learnt(docs).collect()
     assert len(got) == docs.count()
     by = {(r.doc_id, r.lang_pred, r.score) for r in got}

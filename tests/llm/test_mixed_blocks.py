@@ -68,10 +68,33 @@ def test_takes_follow_the_draw(spark, three):
     counts = mixing.shard_counts(sources, total)
     assert {r.number: r.n for r in counts.groupBy("number").agg(F.sum("n").alias("n")).collect()} == {r.number: r.slots for r in sources.collect()}
     assert {r.n for r in counts.where(f"shard < {total // 50}").groupBy("shard").agg(F.sum("n").alias("n")).collect()} == {50}
-    # another draw in which source 0 gives two slots of the first shard to source 1
-    other = counts.withColumn("n", F.expr("n + case when shard = 0 and number = 0 then -2 when shard = 0 and number = 1 then 2 else 0 end"))
-    taken = [Counter({r.row: r.n for r in mixing._packed(laid, mixing.slots_of(c, sources, total, space)).groupBy("row").agg(F.sum("n").alias("n")).collect()}) for c in (counts, other)]
-    assert taken[0] != taken[1]
+    held = [mixing.slots_of(c, sources, total, space) for c in (counts, _swapped(counts))]
+    shards = [Counter((r.shard, r.number, r.block) for r in h.collect()) for h in held]
+    assert shards[0] != shards[1]
+    # which shard holds a block follows the draw, how often a document is taken doesn't
+    taken = [Counter({r.row: r.n for r in mixing._packed(laid, h).groupBy("row").agg(F.sum("n").alias("n")).collect()}) for h in held]
+    assert taken[0] == taken[1]
+
+
+def _swapped(counts):
+    """Another draw of the same totals: two slots of source 0 and of source 1 change shards 0 and 1."""
+    move = F.expr("case when shard > 1 or number > 1 then 0 when (shard = 0) = (number = 0) then -2 else 2 end")
+    return counts.withColumn("n", F.col("n") + move)
+
+
+def test_parts_are_even_for_ids_of_a_stride(spark):
+    for step in (1, 64, 4096, -640, 2**31, 12345678):
+        parts = spark.range(6400).groupBy(mixing.part_of(F.col("id") * step, 64)).count()
+        assert parts.agg(F.max("count")).first()[0] < 200
+
+
+def test_odd_rows_are_packed_whole(odd):
+    held, taken = Counter(), Counter()
+    for r in mixing.mixed_blocks(odd).collect():
+        held[r.doc_id] += r.n
+    for r in mixing.mix(odd).collect():
+        taken[r.doc_id] += r.taken
+    assert held == Counter({k: v for k, v in taken.items() if v})
 
 
 def test_sources_meet_their_targets_to_a_word(spark):

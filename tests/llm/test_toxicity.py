@@ -41,12 +41,13 @@ def tokens(text):
     return [xxhash.xxh3_64_intdigest(w) if w else 0 for w in out]
 
 
-def bucket(h):
-    return h >> (64 - T.BITS) if h else None
+def identity(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
 
 
 class Plain:
-    """The model of {doc_id: (text, toxic)}, by loops."""
+    """The model of {text's hash: (text, toxic)}, by loops."""
 
     def __init__(self, docs):
         first = {}
@@ -54,7 +55,7 @@ class Plain:
             t = [1, 1, *tokens(docs[d][0]), 1, 1]
             for i in range(2, len(t) - 2):
                 if t[i]:
-                    first.setdefault((bucket(t[i]), t[i - 1], t[i + 1]), []).append((docs[d][1], d))
+                    first.setdefault((t[i], t[i - 1], t[i + 1]), []).append((docs[d][1], d))
         held, uses = defaultdict(set), defaultdict(int)
         for (b, _, _), seen in first.items():
             if len({y for y, _ in seen}) == 1:
@@ -82,7 +83,7 @@ class Plain:
         self.k = max(above, 0.5) / sum(len(tokens(t)) for t in clean) * 10
 
     def found(self, text):
-        return T.segments(np.array([self.table.get(bucket(h), 0.0) - self.drift for h in tokens(text)]))
+        return T.segments(np.array([self.table.get(h, 0.0) - self.drift for h in tokens(text)]))
 
     def over(self, text):
         n = len(tokens(text))
@@ -95,13 +96,19 @@ def test_fit_and_score_equal_loops(spark):
     docs, labels = read("documents"), read("labels")
     marked = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
     texts = {r.doc_id: r.text for r in docs.collect()}
-    plain = Plain({d: (texts[d], y) for d, y in marked.items()})
+    assert len({(identity(texts[d]), y) for d, y in marked.items()}) == len({identity(texts[d]) for d in marked})
+    plain = Plain({identity(texts[d]): (texts[d], y) for d, y in marked.items()})
     model = T.fit(docs, labels, T.remainder("doc_id", 3) != 1)
-    assert {b: pytest.approx(s - plain.drift, abs=1e-5) for b, s in plain.table.items()} == {b: model.scores[b] for b in plain.table}
+    known = np.array(sorted(plain.table), np.uint64)
+    assert (model.tokens == known).all() and model.drift == pytest.approx(plain.drift)
+    assert model.scores == pytest.approx([plain.table[int(h)] - plain.drift for h in known])
+    unseen = np.array([known[0] - 1, known[-1] + 1, 0], np.uint64)
+    assert (T.scores_of(unseen, model) == -model.drift).all()
     assert (model.decay, model.k) == (pytest.approx(plain.decay, rel=1e-4), pytest.approx(plain.k, rel=1e-3))
     # the curve is the maximum of the likelihood with a slight ridge
-    x = np.array([math.log1p(sum(plain.over(texts[d]))) for d in marked])
-    y = np.array(list(marked.values()))
+    one = {identity(texts[d]): (texts[d], y) for d, y in marked.items()}
+    x = np.array([math.log1p(sum(plain.over(t))) for t, _ in one.values()])
+    y = np.array([y for _, y in one.values()])
 
     def loss(bias, slope):
         z = bias + slope * x
@@ -121,14 +128,30 @@ def test_clean_evidence_counts(spark):
     rows = [(i, " ".join([*rng.choices(fill, k=20), "vile" if i % 2 else "kind", *rng.choices(fill, k=20)]), i % 2) for i in range(300)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     model = T.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), F.lit(True))
-    vile, kind, unseen = (model.scores[bucket(xxhash.xxh3_64_intdigest(w))] for w in ("vile", "kind", "unheard"))
+    vile, kind, unseen = T.scores_of(np.array([xxhash.xxh3_64_intdigest(w) for w in ("vile", "kind", "unheard")], np.uint64), model)
     assert vile > 0 > unseen > kind
 
 
 def test_a_mean_above_zero_is_lowered():
     n = np.ones(40)
-    table, decay = T.token_scores(np.arange(40), 5000 * n, n, n)
-    assert table[:40].mean() < 0 and 1e-6 < decay < 1e4
+    table, _, decay = T.token_scores(5000 * n, n, n)
+    assert table.mean() < 0 and 1e-6 < decay < 1e4
+
+
+def test_numbering_changes_no_score(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    plain = T.fit(docs, labels, F.lit(True))
+    turned = lambda df: df.withColumn("doc_id", 10**6 - 7 * F.col("doc_id"))
+    other = T.fit(turned(docs).repartition(5, "source"), turned(labels), F.lit(True))
+    assert (plain.tokens == other.tokens).all() and (plain.scores == other.scores).all()
+    assert (plain.bias, plain.slope, plain.k, plain.decay) == (other.bias, other.slope, other.k, other.decay)
+
+
+def test_tokens_beyond_the_bound_cost_the_drift(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(T, "TOKENS", 500)
+    model = T.fit(docs, labels, F.lit(True))
+    assert len(model.tokens) == 500 == len(model.scores)
 
 
 def test_odd_rows(odd, spark):
