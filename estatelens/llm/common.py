@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text an Arrow mapper handles at once, so that memory follows this and not the batch.
@@ -74,6 +74,11 @@ def named(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*names.values()).toDF(*names)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def arrow_mapped(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow(function, schema) over batches of BATCH_ROWS rows at most."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -17,11 +17,11 @@ One conversation is one row: its turns, and by contract its repaired text, meet
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 DELETE, REROLE, INSERT, TRUNCATED = 2, 1, 5, 5
 LEGAL = ("su", "ua", "au")
 STATES = ("empty", "system", "user", "assistant")
@@ -45,11 +45,6 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return damaged_rows.drop("copy")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _edit(state: Column, cost: Column | int, initial: str) -> Column:
     return F.struct((state["cost"] + cost).cast("long").alias("cost"), F.concat(state["audit"], F.lit(initial)).alias("audit"))
 
@@ -61,7 +56,7 @@ def _four(*states: Column) -> Column:
 def _inserted(four: Column) -> Column:
     """The states after any insertions; more than two in a row never pay."""
     user = F.least(four["user"], *[_edit(four[s], INSERT, "I") for s in ("empty", "system", "assistant")])
-    return _let(user, lambda u: _four(four["empty"], four["system"], u, F.least(four["assistant"], _edit(u, INSERT, "I"))))
+    return let(user, lambda u: _four(four["empty"], four["system"], u, F.least(four["assistant"], _edit(u, INSERT, "I"))))
 
 
 def _turned(four: Column, turn: Column) -> Column:
@@ -81,7 +76,7 @@ def _cheapest(turns: Column) -> Column:
     """(cost, audit) of the cheapest edits of an array of turns."""
     never = F.struct(F.lit(_NEVER).cast("long").alias("cost"), F.lit("").alias("audit"))
     start = _four(F.struct(F.lit(0).cast("long").alias("cost"), F.lit("").alias("audit")), never, never, never)
-    return F.aggregate(turns, start, lambda four, turn: _let(_inserted(four), lambda x: _turned(x, turn)), lambda four: _let(_inserted(four), lambda x: F.least(x["empty"], x["assistant"])))
+    return F.aggregate(turns, start, lambda four, turn: let(_inserted(four), lambda x: _turned(x, turn)), lambda four: let(_inserted(four), lambda x: F.least(x["empty"], x["assistant"])))
 
 
 def _replayed(turns: Column, audit: Column) -> Column:
@@ -99,7 +94,7 @@ def _replayed(turns: Column, audit: Column) -> Column:
 
         return F.transform(found["edits"], one)
 
-    return _let(F.struct(edits.alias("edits"), led.alias("led")), replayed)
+    return let(F.struct(edits.alias("edits"), led.alias("led")), replayed)
 
 
 def repair(rows: DataFrame) -> DataFrame:

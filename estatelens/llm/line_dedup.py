@@ -12,12 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, let
 
 RATIO, MIN_PAGES, SALTS = 0.3, 4, 16
+#: What opens a hidden part, and what closes it.
+PARTS = {"script": "</script>", "style": "</style>", "!--": "-->"}
+#: A noncharacter that no page should hold; it is left out of pages and breaks openers that nothing closes.
+BROKEN = "\uffff"
 #: Elements whose tags end a line; other tags vanish. Content of script and style and comments go.
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
-HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+HIDDEN = r"(?is)<script[^<>]*>.*?</script>|<style[^<>]*>.*?</style>|<!--.*?-->"
 BREAKS = rf"(?i)</?({BLOCKS})([\s/][^>]*)?>"
 TAGS = r"<[^>]+>"
 
@@ -27,9 +31,36 @@ def host(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/:?#]+)", 2)), F.lit(""))
 
 
+def _before_last(text: Column, end: str, pattern: str, to: str) -> Column:
+    """text with the pattern replaced up to the last `end`: behind it no match can end, and the search for one would start anew again and again."""
+
+    def cut(parts: Column) -> Column:
+        head = F.left(parts["text"], F.length(parts["text"]) - F.length(parts["tail"]))
+        return F.concat(F.regexp_replace(head, pattern, to), parts["tail"])
+
+    return let(let(text, lambda t: F.struct(t.alias("text"), F.substring_index(t, end, -1).alias("tail"))), cut)
+
+
+def _breakable(text: Column, opener: str, closer: str) -> Column:
+    """text with openers behind the last closer broken, so that every opener left finds a closer."""
+
+    def cut(parts: Column) -> Column:
+        rest = F.substring(parts["text"], F.length(parts["head"]) + 1, F.length(parts["text"]))
+        return F.concat(parts["head"], F.regexp_replace(rest, f"(?i)<({opener})", f"<{BROKEN}$1"))
+
+    return let(let(text, lambda t: F.struct(t.alias("text"), F.regexp_extract(t, f"(?is)^.*{closer}", 0).alias("head"))), cut)
+
+
 def lines(html: str) -> Column:
-    """The text lines of a page, trimmed, white space squeezed, empty ones left out; entities stay as written."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "\n"), BREAKS, "\n"), TAGS, "")
+    """The text lines of a page, trimmed, white space squeezed, empty ones left out; entities stay as written.
+
+    Scripts, styles and comments that nothing closes are no hidden parts. Linear in the page, whatever it holds.
+    """
+    text = F.translate(F.coalesce(F.col(html), F.lit("")), BROKEN, "")
+    for opener, closer in PARTS.items():
+        text = _breakable(text, opener, closer)
+    text = F.translate(F.regexp_replace(text, HIDDEN, "\n"), BROKEN, "")
+    text = _before_last(_before_last(text, ">", BREAKS, "\n"), ">", TAGS, "")
     cut = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
     return F.filter(cut, lambda x: x != "")
 

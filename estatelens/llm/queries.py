@@ -127,6 +127,14 @@ l as (select doc_id, source, size, number, ss, target, coalesce(sum(size) over (
 b as (select *, unnest(range(first // {block}, (first + size - 1) // {block} + 1)) as block from l where size > 0)"""
 
 
+def _breakable_sql() -> str:
+    steps = []
+    for i, (opener, closer) in enumerate(line_dedup.PARTS.items()):
+        head = f"regexp_extract(t, '(?is)^.*{closer}')"
+        steps.append(f"v{i + 1} as (select page_id, url, {head} || regexp_replace(t[len({head}) + 1:], '(?i)<({opener})', '<' || chr(65535) || '\\1', 'g') as t from v{i}),")
+    return "\n".join(steps)
+
+
 def _repair_sql() -> str:
     """A fold over turns as a recursion: e, s, u, a are (cost, audit) after nothing, system, user, assistant."""
 
@@ -198,9 +206,13 @@ select doc_id, size, ss as source_size, target, coalesce(taken, 0)::bigint as ta
 k as (select shard, slot, source, block, doc_id, greatest(first, block * {mixing.BLOCK}) - first as "at", least(first + size, block * {mixing.BLOCK} + words) - greatest(first, block * {mixing.BLOCK}) as n from b l join c using (number, block))
 select * from k where n > 0"""
     op7 = rf"""
-with c as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/:?#]+)', 2)) as host,
-  list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', chr(10), 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), chr(10)),
-    lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') as ls from pages),
+with v0 as (select page_id, url, replace(coalesce(html, ''), chr(65535), '') as t from pages),
+{_breakable_sql()}
+v4 as (select page_id, url, replace(regexp_replace(t, '{line_dedup.HIDDEN}', chr(10), 'g'), chr(65535), '') as t from v3),
+v5 as (select page_id, url, regexp_replace(left(t, len(t) - len(regexp_extract(t, '[^>]*$'))), '{line_dedup.BREAKS}', chr(10), 'g') || regexp_extract(t, '[^>]*$') as t from v4),
+v6 as (select page_id, url, regexp_replace(left(t, len(t) - len(regexp_extract(t, '[^>]*$'))), '{line_dedup.TAGS}', '', 'g') || regexp_extract(t, '[^>]*$') as t from v5),
+c as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/:?#]+)', 2)) as host,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') as ls from v6),
 h as (select page_id, host, unnest(list_distinct(ls)) as line from c),
 t as (select host, count(*) as pages from c group by 1 having count(*) >= {line_dedup.MIN_PAGES}),
 b as (select h.host, line from h join t on h.host = t.host group by h.host, line, pages having count(*) > {line_dedup.RATIO} * pages),

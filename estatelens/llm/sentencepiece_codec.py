@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from sentencepiece import sentencepiece_model_pb2
 
 from .common import arrow_mapped, slices
 
@@ -134,6 +135,7 @@ class _Memory:
 
     def __init__(self, path: str):
         self.coder = TrieEncoder(path)
+        self.decoder = Decoder(self.coder.model)
         self.clear()
 
     def clear(self) -> None:
@@ -172,21 +174,50 @@ class _Memory:
 _MEMORY: dict[str, _Memory] = {}
 
 
-def decoded(model: sentencepiece.SentencePieceProcessor, edges: np.ndarray, ids: np.ndarray) -> list[str]:
-    """The texts of runs of ids; run i goes from edges[i] to edges[i + 1]."""
-    flat, at = ids.tolist(), edges.tolist()
-    return [model.decode(flat[a:b]) for a, b in zip(at, at[1:], strict=False)]
+class Decoder:
+    """Texts of runs of ids. Pieces are joined; the library is asked for runs with bytes, unknown or control pieces only."""
+
+    def __init__(self, model: sentencepiece.SentencePieceProcessor):
+        self.model = model
+        n = model.get_piece_size()
+        self.pieces = pa.array([model.id_to_piece(i).replace(MARK, " ") for i in range(n)], pa.string())
+        self.odd = np.array([model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)], bool)
+
+    def texts(self, edges: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """Run i goes from edges[i] to edges[i + 1]; one blank at a run's start is the leading mark."""
+        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), self.pieces.take(pa.array(ids)))
+        joined = pc.binary_join(lists, "")
+        joined = pc.if_else(pc.starts_with(joined, " "), pc.utf8_slice_codeunits(joined, 1), joined)
+        seen = np.concatenate([[0], np.cumsum(self.odd[ids])])
+        asked = np.flatnonzero(seen[edges[1:]] > seen[edges[:-1]])
+        if len(asked):
+            mask = np.zeros(len(joined), bool)
+            mask[asked] = True
+            said = [self.model.decode(ids[edges[i] : edges[i + 1]].tolist()) for i in asked]
+            joined = pc.replace_with_mask(joined, pa.array(mask), pa.array(said, pa.string()))
+        return joined
+
+
+def known_model(path: str) -> None:
+    """Refuse models whose ids this does not give: only merging ones without a normaliser, with leading mark and bytes."""
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    train, norm = model.trainer_spec, model.normalizer_spec
+    merging = train.model_type == train.BPE and train.byte_fallback and not train.treat_whitespace_as_suffix
+    plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+    if not merging or not plain or any(p.type == p.USER_DEFINED for p in model.pieces):
+        raise ValueError(f"{path}: not a merging model with byte fallback and the identity as normaliser")
 
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _MEMORY.get(path) or _MEMORY.setdefault(path, _Memory(path))
-        coder = memory.coder
+        coder, decoder = memory.coder, memory.decoder
         memory.clear()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                cut = [coder.cut(x) for x in texts]
+                cut = [coder.cut(x or "") for x in part.column("text").to_pylist()]
                 counts = np.array([len(x) for x in cut], np.int64)
                 codes = memory.of([w for x in cut for w in x])
                 del cut
@@ -198,12 +229,12 @@ def _encoded(path: str):
                 edges = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
                 ids = pool[where]
                 del pool, start  # the memory's arrays can grow again
-                back = decoded(coder.model, edges, ids)
-                same = [a == b for a, b in zip(back, texts, strict=True)]
-                digest = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]
+                back = decoder.texts(edges, ids)
+                same = pc.equal(back, pc.fill_null(part.column("text").cast(pa.string()), ""))
+                digest = [hashlib.sha256(x).hexdigest() for x in back.cast(pa.binary()).to_pylist()]
                 tokens = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges).astype(np.int64)), tokens, pa.array(same, pa.bool_()), pa.array(digest, pa.string())],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges).astype(np.int64)), tokens, same, pa.array(digest, pa.string())],
                     ["doc_id", "n_tokens", "token_ids", "round_trip", "decoded_sha256"],
                 )
         memory.clear()
@@ -214,22 +245,23 @@ def _encoded(path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip, decoded_sha256) of every row of docs(doc_id, text).
 
-    path is a SentencePiece model file on every machine. token_ids are the library's ids without begin and end. Each row's ids
+    path is a SentencePiece model file on every machine, of the kind that known_model() takes. token_ids are the library's ids without begin and end. Each row's ids
     are decoded again: round_trip tells whether that gives the text, decoded_sha256 is its digest. Null counts as empty and
     has no tokens; repeated rows and null ids are returned as they come; very long texts and words are read whole; other columns are
     ignored; an empty table gives no rows.
     """
+    known_model(path)
     return arrow_mapped(docs.select("doc_id", "text"), _encoded(path), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean, decoded_sha256 string")
 
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        decoder = Decoder(sentencepiece.SentencePieceProcessor(model_file=path))
         for b in batches:
             sizes = pc.fill_null(pc.list_value_length(b.column("token_ids")), 0).to_numpy(zero_copy_only=False)
             ids = b.column("token_ids").flatten().to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(decoded(model, edges, ids), pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), decoder.texts(edges, ids)], ["doc_id", "text"])
 
     return run
 

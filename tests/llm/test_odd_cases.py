@@ -231,3 +231,29 @@ def test_small_hosts_are_spared_unless_asked(spark):
     assert {(r.n_dropped, r.text[:3]) for r in line_dedup.drop_boilerplate(pages, ratio=0.4, min_pages=3).collect()} == {(1, "own")}
     # a lone page holds each of its lines on all pages of its host
     assert {r.text for r in line_dedup.drop_boilerplate(pages.where("page_id in (0, 3)"), min_pages=1).collect()} == {""}
+
+
+def test_long_broken_pages_take_seconds(spark):
+    import time
+
+    n = 1_200_000
+    pages = ["<!-- a " * (n // 6), "<script <script <script " * (n // 20) + "</script>", "<script>" * (n // 8), "<" * n, "<p " * (n // 3), "</p" * (n // 3), "x" * n + "<style>" * 1000, "<b" * (n // 2) + "<p>", "<" * n + "<br>", "<script>x</script>" * (n // 18)]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", t * 4) for i, t in enumerate(pages)], "page_id long, url string, html string").repartition(len(pages))
+    began = time.time()
+    got = {r.page_id: r for r in line_dedup.drop_boilerplate(df).select("page_id", "n_lines").collect()}
+    assert time.time() - began < 90 and len(got) == len(pages)
+    assert got[9].n_lines == 0 and got[0].n_lines == 1
+
+
+def test_hidden_parts(spark, duck):
+    pages = ["<SCRIPT a='1'>x</Script >y</script>z", "a<!-- <script> -->b<script>c", "<style>q</style><style>r", "<!-- never", "x <!-- a -- > b --> c <!-- d", "a < b > c", "p<q", "\uffff<\uffffscript>k</script>", "<br/>one<br />two<BR>three</p\n>four", "<script><!-- </script> --> after", "tail <p"]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in line_dedup.drop_boilerplate(df, min_pages=99).collect()}
+    assert got == {0: "z", 1: "a\nbc", 2: "r", 3: "<!-- never", 4: got[4], 5: "a c", 6: "p<q", 7: "", 8: "one\ntwo\nthree\nfour", 9: "--> after", 10: "tail <p"}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [(i, None, t) for i, t in enumerate(pages)])
+    sql = queries.oracle_sql()["op7_line_dedup"].replace(f">= {line_dedup.MIN_PAGES})", ">= 99)")
+    assert {r[0]: r[1] for r in con.execute(f"select page_id, text from ({sql})").fetchall()} == got

@@ -69,3 +69,32 @@ def test_words_of_many_characters(spark):
     assert {r.doc_id: list(r.token_ids) for r in sentencepiece_codec.encode(df, queries.tokenizer(MODEL)).collect()} == {r.doc_id: lib.encode(r.text) for r in df.collect()}
     tok = Tokenizer.from_file(queries.tokenizer(VOCABULARY))
     assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, queries.tokenizer(VOCABULARY)).collect()} == {r.doc_id: len(tok.encode(r.text).ids) for r in df.collect()}
+
+
+def test_joined_pieces_equal_the_library():
+    import random
+
+    import numpy as np
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer(MODEL))
+    decoder = sentencepiece_codec.Decoder(model)
+    rng = random.Random(2)
+    runs = [[rng.randrange(model.get_piece_size()) for _ in range(rng.randrange(6))] for _ in range(3000)]
+    runs += [model.encode(t) for t in ("", " ", "  two", "▁ mark", "日本 語\n", "\x00 é", "a" * 9, "   ", "\n x")]
+    edges = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+    assert decoder.texts(edges, np.array([i for r in runs for i in r], np.int32)).to_pylist() == [model.decode(r) for r in runs]
+
+
+@pytest.mark.parametrize("change", [{"model_type": 1}, {"byte_fallback": False}, {"add_dummy_prefix": False}, {"remove_extra_whitespaces": True}, {"precompiled_charsmap": b"x"}])
+def test_other_models_are_refused(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(queries.tokenizer(MODEL), "rb") as f:
+        model.ParseFromString(f.read())
+    for key, value in change.items():
+        setattr(model.trainer_spec if hasattr(model.trainer_spec, key) else model.normalizer_spec, key, value)
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    sentencepiece_codec.known_model(queries.tokenizer(MODEL))
+    with pytest.raises(ValueError, match="merging"):
+        sentencepiece_codec.known_model(str(tmp_path / "m.model"))
