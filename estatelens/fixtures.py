@@ -136,5 +136,3 @@ PACKETS = Rows("side string, section string, id string, payload string", (("left
 #: An imported semantic model's datasets and fields.
 DATASETS = Rows("dataset string, source string", (("Orders", "hive.main.orders"), ("Clients", "MAIN.customer"), ("Goods", "part"), ("Ghost", "nowhere.thing")))
 MODEL_FIELDS = Rows("dataset string, field string, expression string", (("Orders", "key", "o_orderkey"), ("Orders", "price", "o_totalprice * 2"), ("Clients", "name", "C_NAME"), ("Goods", "brand", '"p_brand"'), ("Ghost", "x", "x")))
-SCRIPTS = Rows("definition string, source string", (("a", "-- INSERT INTO no\nINSERT INTO dw.t\nSELECT 'DELETE FROM x'\nFROM s"), ("b", "/* UPDATE x\n set */ UPDATE dw.u SET a = 1;\n  delete from dw.v\nSELECT a INTO tmp FROM dw.u\n"), ("c", "select 1"), ("d", "MERGE dw.t USING s ON 1=1\nTRUNCATE TABLE dw.q")))
-COVERAGE = Rows("definition string, operation string, line_start int, line_end int", (("a", "insert", 1, 2), ("b", "update", 2, 2), ("b", "delete", 9, 9), ("d", "merge", 1, 1)))

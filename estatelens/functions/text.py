@@ -58,7 +58,8 @@ def folded(value: Column) -> Column:
     # characters that become several are rare: one pass over the characters, in texts that have such; what is asked is asked of
     # the value itself, so that the text is cut and spelt once
     several = F.array_join(F.transform(F.split(spelt, ""), lambda c: F.coalesce(F.when(c > "\x7f", F.element_at(texts, c)), c)), "")
-    spelt = F.when(value.rlike("[" + "".join(longer) + "]"), several).otherwise(spelt)
+    # translate looks letters up by hash, a class of hundreds of letters would be tried one by one
+    spelt = F.when(F.length(F.translate(value, "".join(longer), "")) < F.length(value), several).otherwise(spelt)
     plain = F.regexp_replace(F.translate(spelt, source, target), r"[^\x00-\x7F]", "")
     return F.when(value.rlike(r"[^\x00-\x7F]"), F.lower(plain)).otherwise(F.lower(cut))
 

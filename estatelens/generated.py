@@ -20,6 +20,22 @@ TABLES = {
       'raw.t' || l_suppkey as source, case when l_linenumber = 5 then 'upsert' else 'insert' end as operation, case when l_linenumber % 2 = 0 then 'lookup' else 'business_data' end as role, cast(max(l_orderkey) as int) as line from {{lineitem}} group by l_partkey, l_linenumber, l_suppkey""",
     "materializations": f"""select 'doc' || (p_partkey % 3) as document, 'm' || p_partkey as materialization, 'd' || p_partkey as definition, case when p_partkey % 10 = 0 then 'dw.w' || (p_partkey % 300) else 'mart.m' || p_partkey end as target,
       case p_partkey % 3 when 0 then 'table' when 1 then 'view' else 'incremental' end as mode, {_STATE.format('p_partkey')} as state from {{part}} where p_partkey % 5 = 0""",
+    # a script for each definition, and what an analysis proposes for its writes
+    "scripts": """select 'd' || p_partkey as definition, 'rev' || p_partkey as revision, p_partkey as k, '-- INSERT INTO nothing; load ' || p_name || chr(10) || 'INSERT INTO dw.w' || (p_partkey % 300) || chr(10) || 'SELECT a, ' || chr(39) || 'DELETE FROM x' || chr(39) || ' FROM [raw].[t' || (p_partkey % 500) || '] t' || chr(10)
+      || 'JOIN raw.u' || (p_partkey % 70) || ' u ON t.id = u.id /* UPDATE dw.none' || chr(10) || ' MERGE still a comment */ WHERE t.b > 1;' || chr(10) || case when p_partkey % 3 = 0 then 'update dw.w' || (p_partkey % 7) || ' SET a = 1;' else 'print 1;' end || chr(10)
+      || case when p_partkey % 4 = 0 then 'SELECT b INTO #tmp' || p_partkey || ' FROM raw.u' || (p_partkey % 70) || ';' else '  -- merge' end || chr(10) || case when p_partkey % 5 = 0 then '  DELETE FROM "stage"."s' || (p_partkey % 9) || '"' else 'SET @m = ' || chr(39) || 'it' || chr(39) || chr(39) || 's' end || chr(10)
+      || case when p_partkey % 5 = 0 then 'WHERE a = 2;' else 'TRUNCATE TABLE no' || chr(39) || ';' end || chr(10) || case when p_partkey % 6 = 0 then 'TRUNCATE TABLE dw.w' || (p_partkey % 11) else 'GO /* open' end as content from {part}""",
+    "write_proposals": "select definition, case when k % 43 = 9 then 'old' else revision end as revision from {scripts} where k % 8 <> 7",
+    "proposed_units": """select definition, k, 'insert' as operation, 'dw.w' || (k % 300) as target, 2 as line_start, 5 as line_end, 'loads' as reason from {scripts} where k % 17 <> 3
+      union all select definition, k, 'insert', '[DW] . "w' || (k % 300) || '"', 2, 2, 'again' from {scripts} where k % 41 = 7
+      union all select definition, k, case when k % 59 = 12 then 'upsert' else 'update' end, case when k % 19 = 4 then 'dw.z' else 'dw.w' || (k % 7) end, 6, 6, 'sets' from {scripts} where k % 3 = 0
+      union all select definition, k, 'delete', 'stage.s' || (k % 9), case when k % 29 = 5 then 9 else 8 end, 9, 'clears' from {scripts} where k % 5 = 0
+      union all select definition, k, 'truncate', 'dw.w' || (k % 11), 10, case when k % 61 = 18 then 11 else 10 end, case when k % 31 = 1 then ' ' else 'empties' end from {scripts} where k % 6 = 0
+      union all select definition, k, 'merge', 'still', 5, 5, 'guess' from {scripts} where k % 37 = 2""",
+    "proposed_sources": """select definition, k, 'insert' as operation, 'dw.w' || (k % 300) as target, 2 as line_start, 'RAW.t' || (k % 500) as source, case when k % 47 = 6 then 'guess' else 'business_data' end as role, cast(null as varchar(9)) as way, 3 as source_start, 3 as source_end, 'read' as reason from {scripts} where k % 17 <> 3
+      union all select definition, k, 'insert', 'dw.w' || (k % 300), 2, 'raw.u' || (k % 70), 'lookup', 'join', 4, 5, 'joined' from {scripts} where k % 17 <> 3 or k % 34 = 3""",
+    "proposed_exclusions": "select definition, k, 'select_into' as operation, '#tmp' || k as target, case when k % 23 = 5 then 'whatever' else 'local_intermediate' end as disposition, 7 as line_start, 7 as line_end, 'local' as reason from {scripts} where k % 4 = 0",
+    "standing_units": "select definition, 'validated' as state, case when k % 53 = 8 then 1 else 0 end as n_reviews from {scripts} union all select definition, 'review_required', 2 from {scripts} where k % 5 = 1",
     # a technical graph: an object for each supplier, its fields from its parts
     "objects": "select 'g' || (s_suppkey % 2) as graph, 'cat' as catalog, 'object:' || s_suppkey as id, case when s_suppkey % 5 = 0 then 'view' else 'table' end as type, 'ns' || (s_nationkey % 4) || '.sup_' || s_suppkey as label, cast(null as varchar(40)) as parent_id, 'ns' || (s_nationkey % 4) as namespace, 'sup_' || s_suppkey as name, s_name as description from {supplier}",
     "fields": """select 'g' || (s_suppkey % 2) as graph, 'cat' as catalog, 'field:' || s_suppkey || '/' || p_partkey as id, 'field' as type, 'f_' || p_partkey as label, 'object:' || s_suppkey as parent_id, 'ns' || (s_nationkey % 4) as namespace, 'f_' || p_partkey as name, p_type as description,

@@ -6,22 +6,31 @@ edges; how many steps there are follows the graph's depth, not its size.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatelens.functions.text import node_id
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context has; on one machine alone a new one."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local($|\[)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -157,6 +166,31 @@ def closure(events: DataFrame, call_id: str) -> tuple[DataFrame, DataFrame]:
     return seen, inputs
 
 
+def closures(events: DataFrame) -> DataFrame:
+    """(log, call_id, used) of every successful call of events(log, call_id, status, consumes): itself and all that it depends on.
+
+    Paths double in length each round, so that a chain of n calls takes log2(n) rounds. What a log doesn't hold is not followed.
+    """
+    known = events.select("log", F.col("call_id").alias("used")).distinct()
+    uses = events.select("log", "call_id", F.explode("consumes").alias("used")).distinct().join(known, ["log", "used"], "left_semi")
+    pairs = cut(uses.select("log", "call_id", "used"))
+    n = pairs.count()
+    while True:
+        further = pairs.alias("a").join(pairs.alias("b"), F.expr("a.log = b.log and a.used = b.call_id")).select("a.log", "a.call_id", "b.used")
+        pairs = cut(pairs.unionByName(further).distinct())
+        before, n = n, pairs.count()
+        if n == before:
+            break
+    good = events.where("status = 'succeeded'").select("log", "call_id").distinct()
+    return good.withColumn("used", F.col("call_id")).unionByName(pairs.join(good, ["log", "call_id"], "left_semi")).distinct()
+
+
+def closure_inputs(events: DataFrame, closed: DataFrame) -> DataFrame:
+    """(log, call_id, node): the physical inputs that the sql and mongo calls of each closure of closures(events) read."""
+    read = events.where("kind in ('sql', 'mongo')").select("log", F.col("call_id").alias("used"), F.explode("inputs").alias("node"))
+    return closed.join(read, ["log", "used"]).select("log", "call_id", "node").distinct()
+
+
 def runtime_violations(events: DataFrame) -> DataFrame:
     """(rule, key): sequences 1..n, unique calls, and only earlier successful calls consumed."""
     # n numbers are 1..n exactly if all lie there and none comes twice

@@ -1,10 +1,7 @@
-"""Static lineage: table and process views, review status, the traceable network, write markers and references."""
+"""Static lineage: table and process views, review status, the traceable network and references."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +9,8 @@ from estatelens.functions import text as X
 
 from .graph import topological_layers
 
-#: Review states, and the statements that write.
+#: Review states.
 STATES = ["draft", "rejected", "review_required", "validated"]
-_WRITES = r"(?i)^[ \t]*(INSERT|UPDATE|DELETE|MERGE|TRUNCATE)\b"
-_LOCAL_INTO = r"(?i)^[ \t]*INTO[ \t]+[#@]"
-_SELECT_INTO = r"(?i)^[ \t]*SELECT\b[^;]*\bINTO\b"
 
 
 def table_lineage(definitions: DataFrame, claims: DataFrame, writes: DataFrame, materializations: DataFrame) -> DataFrame:
@@ -70,59 +64,6 @@ def network(definitions: DataFrame, claims: DataFrame, writes: DataFrame, materi
     return reads.unionByName(made).unionByName(derived).distinct()
 
 
-def masked(source: str) -> str:
-    """SQL with comments and quoted text as blanks; line feeds stay."""
-    out, i, until = [], 0, None
-    pairs = {"--": "\n", "/*": "*/", "'": "'"}
-    while i < len(source):
-        if until is None:
-            opener = next((p for p in pairs if source.startswith(p, i)), None)
-            if opener is None:
-                out.append(source[i])
-                i += 1
-            else:
-                out.append(" " * len(opener))
-                i, until = i + len(opener), pairs[opener]
-        elif until == "\n" and source[i] == "\n":
-            out.append("\n")
-            i, until = i + 1, None
-        elif until == "'" and source.startswith("''", i):
-            out.append("  ")
-            i += 2
-        elif until != "\n" and source.startswith(until, i):
-            out.append(" " * len(until))
-            i, until = i + len(until), None
-        else:
-            out.append("\n" if source[i] == "\n" else " ")
-            i += 1
-    return "".join(out)
-
-
-def _masks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield f.assign(masked=[masked(x or "") for x in f["source"]])
-
-
-def write_markers(scripts: DataFrame) -> DataFrame:
-    """(definition, line, operation, text) of lines of scripts(definition, source) that may write; comments and strings do not count."""
-    m = scripts.select("definition", "source").mapInPandas(_masks, "definition string, source string, masked string")
-    lines = m.select("definition", F.posexplode(F.arrays_zip(F.split("masked", "\n").alias("m"), F.split("source", "\n").alias("s"))).alias("at", "x"))
-    found = lines.select("definition", (F.col("at") + 1).alias("line"), F.col("x.m").alias("m"), F.trim(F.regexp_replace("x.s", r"[\t\r]", " ")).alias("text"))
-    write = F.lower(F.regexp_extract("m", _WRITES, 1))
-    into = F.col("m").rlike(_LOCAL_INTO) | F.col("m").rlike(_SELECT_INTO)
-    operation = F.when(write != "", write).when(into, "select_into")
-    return found.select("definition", "line", operation.alias("operation"), "text").where("operation is not null")
-
-
-def uncovered_writes(markers: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(definition, operation, line, problem): markers without a claim, and claims without a marker in their lines."""
-    m, c = markers.alias("m"), coverage.alias("c")
-    on = (F.col("m.definition") == F.col("c.definition")) & (F.col("m.operation") == F.col("c.operation")) & F.col("m.line").between(F.col("c.line_start"), F.col("c.line_end"))
-    missing = m.join(c, on, "left_anti").select("definition", "operation", "line", F.lit("unclassified").alias("problem"))
-    extra = c.join(m, on, "left_anti").select("definition", "operation", F.col("line_start"), F.lit("no_marker"))
-    return missing.union(extra)
-
-
 def find_references(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """(id, rank_class, matched) of nodes(id, name, kind, reference) by how a query names them.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import queries_catalog, queries_estate
+from . import queries_catalog, queries_estate, queries_lineage, queries_search
 from .functions import text as X
 from .operators import drift, graph, lineage, profile, relationships, retrieval, scopes
 
@@ -273,14 +273,6 @@ def lineage_find(spark, sf_dir):
     return lineage.find_references(nodes, "[ETL] . build_sales")
 
 
-def write_markers(spark, sf_dir):
-    return lineage.write_markers(fx.SCRIPTS.df(spark))
-
-
-def uncovered_writes(spark, sf_dir):
-    return lineage.uncovered_writes(lineage.write_markers(fx.SCRIPTS.df(spark)), fx.COVERAGE.df(spark))
-
-
 def runtime_closure(spark, sf_dir):
     calls, inputs = graph.closure(fx.RUNTIME.df(spark), "p1")
     return calls.select(F.lit("call").alias("kind"), F.col("call_id").alias("name")).union(inputs.select(F.lit("origin"), "node"))
@@ -341,7 +333,7 @@ def entity_rule_overlap(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in ("queries", "oracle_sql")}
-    return {f"probe_{a}_{b}": _probe(i) for i, (a, _, b, _) in enumerate(PAIRS)} | names | queries_estate.queries() | queries_catalog.queries()
+    return {f"probe_{a}_{b}": _probe(i) for i, (a, _, b, _) in enumerate(PAIRS)} | names | queries_estate.queries() | queries_catalog.queries() | queries_lineage.QUERIES | queries_search.QUERIES
 
 
 def _profile_sql(table, columns, text, source=None, complete="true"):
@@ -549,4 +541,4 @@ union all select 'confirmed_then_candidates', candidate, 'exploratory_only' from
     out["er_evidence"] = f"with {er} select candidate, round(matched / evaluated, 6) as coverage, round(collisions / matched, 6) as collision_rate, matched <= evaluated and collisions <= matched and counterexamples <= evaluated as valid from c"
     out["entity_rule_overlap"] = """with a as (select distinct lower(p_name) as k, p_name from part), b as (select lower(p_name) as k, count(distinct p_name) as n from part group by 1)
 select count(*) as evaluated, count(n) as matched, count(case when n > 1 then 1 end) as collisions from (select distinct upper(p_name) as l from part) x left join b on lower(x.l) = b.k"""
-    return out | queries_estate.oracle_sql() | queries_catalog.oracle_sql(_changes_sql())
+    return out | queries_estate.oracle_sql() | queries_catalog.oracle_sql(_changes_sql()) | queries_lineage.SQL | queries_search.oracle_sql(_tokens_sql)

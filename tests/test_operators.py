@@ -132,20 +132,6 @@ def test_failed_calls_are_not_traced(spark):
         graph.closure(fx.RUNTIME.df(spark), "q3")
 
 
-def test_masking():
-    text = "a -- 'x\nb /* ' \n */ c 'it''s -- no' d"
-    out = lineage.masked(text)
-    assert len(out) == len(text) and out.count("\n") == 2
-    assert out.split() == ["a", "b", "c", "d"]
-
-
-def test_write_markers_and_coverage(spark):
-    got = {(r.definition, r.line, r.operation) for r in core.write_markers(spark, "").collect()}
-    assert got == {("a", 2, "insert"), ("b", 2, "update"), ("b", 3, "delete"), ("b", 4, "select_into"), ("d", 1, "merge"), ("d", 2, "truncate")}
-    problems = {(r.definition, r.operation, r.problem) for r in core.uncovered_writes(spark, "").collect()}
-    assert problems == {("b", "delete", "unclassified"), ("b", "select_into", "unclassified"), ("d", "truncate", "unclassified"), ("b", "delete", "no_marker")}
-
-
 def test_reference_search(spark):
     assert [r.id for r in core.lineage_find(spark, "").collect()] == ["d2", "d1"]
 

@@ -15,4 +15,4 @@ def test_query_equals_sql(name, spark, duck, sf_dir):
 
 
 def test_all_queries_but_script_scans_have_sql():
-    assert set(core.queries()) - set(ORACLES) == {"lineage_find", "network_find_hybrid", "search_bm25", "search_hybrid", "search_vector", "uncovered_writes", "write_markers"}
+    assert set(core.queries()) - set(ORACLES) == {"lineage_find", "network_find_hybrid", "search_bm25", "search_hybrid", "search_vector"}
