@@ -9,6 +9,9 @@ counts, and pages meet the boilerplate of their host by host, line and a salt of
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +54,25 @@ def _breakable(text: Column, opener: str, closer: str) -> Column:
     return let(let(text, lambda t: F.struct(t.alias("text"), F.regexp_extract(t, f"(?is)^.*{closer}", 0).alias("head"))), cut)
 
 
+def _open(text: Column) -> Column:
+    """Whether an opener stands behind the last closer of its kind; plain searches, so that few pages need _broken()."""
+    return let(F.lower(text), lambda low: reduce(or_, [F.contains(F.substring_index(low, c, -1), F.lit(f"<{o}")) for o, c in PARTS.items()]))
+
+
+def _broken(text: Column) -> Column:
+    for opener, closer in PARTS.items():
+        text = _breakable(text, opener, closer)
+    return text
+
+
 def lines(html: str) -> Column:
     """The text lines of a page, trimmed, white space squeezed, empty ones left out; entities stay as written.
 
     Scripts, styles and comments that nothing closes are no hidden parts. Linear in the page, whatever it holds.
     """
-    text = F.translate(F.coalesce(F.col(html), F.lit("")), BROKEN, "")
-    for opener, closer in PARTS.items():
-        text = _breakable(text, opener, closer)
-    text = F.translate(F.regexp_replace(text, HIDDEN, "\n"), BROKEN, "")
+    text = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), BROKEN, "")
+    text = let(text, lambda t: F.when(_open(t), _broken(t)).otherwise(t))
+    text = F.regexp_replace(F.regexp_replace(text, HIDDEN, "\n"), BROKEN, "")
     text = _before_last(_before_last(text, ">", BREAKS, "\n"), ">", TAGS, "")
     cut = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
     return F.filter(cut, lambda x: x != "")
@@ -73,7 +86,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     other columns are ignored; an empty table gives no rows. Lines are told apart by two 64-bit hashes.
     """
     space = Workspace(pages.sparkSession)
-    cut = pages.select("page_id", host("url").alias("host"), lines("html").alias("lines"))
+    # written, so that pages are cut once
+    cut = space.keep(pages.select("page_id", host("url").alias("host"), lines("html").alias("lines")))
     # rows are told apart by their content, so that equal rows get equal answers and still count each
     keyed = cut.withColumn("row", F.xxhash64("page_id", "host", "lines"))
     held = keyed.select("page_id", "row", "host", F.explode(F.array_distinct("lines")).alias("line"))
