@@ -7,8 +7,9 @@ Parquet; logs and reports are written once.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import drift, graph, lineage, network, profile, refresh, relationships, retrieval, review, scopes, search, semantics, workspaces
@@ -209,23 +210,60 @@ class Searches(_Group):
         indexed = self.engine.index(name).load() if docs is None or mode != "bm25" else docs
         return search.search(indexed, query, mode, limit, namespace)
 
-    def workspace(self, scope: DataFrame, query: str, limit: int = 20) -> DataFrame:
-        """The best hits of a scope's graphs together, 100 looked at in each."""
-        found = None
-        for (name,) in scope.select("graph").distinct().collect():
-            one = self.graph(name, query, 100).select(F.lit(name).alias("graph"), F.col("object").alias("object_id"), F.col("object").alias("label"), "score")
-            found = one if found is None else found.union(one)
-        if found is None:
+    def workspace(self, scope: DataFrame, query: str, limit: int = 20, mode: str = "lexical") -> DataFrame:
+        """The best hits of a scope(graph, object_id) over all its graphs in one pass; what is out of scope leaves before anything is ranked."""
+        names = [r.graph for r in scope.select("graph").distinct().orderBy("graph").collect()]  # what a workspace names
+        if not names:
             raise ValueError("the scope has no graphs")
-        return search.combine(found, scope, limit)
+
+        def every(load) -> DataFrame:
+            return reduce(DataFrame.unionByName, [load(n).withColumn("graph", F.lit(n)) for n in names])
+
+        if mode == "lexical":
+            objects = every(lambda n: self.engine.graphs.load(n)[0].select(F.col("object").alias("object_id"), F.col("object").alias("label"), F.col("object").alias("name"), F.col("description").alias("technical_description")))
+            fields = every(lambda n: self.engine.graphs.load(n)[1].select(F.col("object").alias("object_id"), F.col("field").alias("name")))
+            return search.workspace_lexical(objects, fields, scope, query, limit)
+        return search.workspace_search(every(lambda n: self.engine.index(n).load()), scope, query, limit, mode)
 
 
 class Contexts(_Group):
     """Context packets of a graph: by question, or as a prefix for all questions."""
 
-    def _joins(self, name: str) -> list[dict]:
-        rels = self.engine.graphs.load(name)[2].orderBy("name").limit(10_000).collect()
-        return [context.joined({"id": r["name"], "type": "foreign_key", "source": r["object"], "target": r.to_object, "from_fields": r.from_fields, "to_fields": r.to_fields}) for r in rels]
+    #: Joins of one object that an expansion looks at: those to other hits first, foreign keys before candidates, by object and id.
+    JOINS = 1000
+
+    def _edges(self, name: str, candidates: DataFrame | None) -> DataFrame:
+        """Foreign keys of a graph and validated candidates(id, source, target, from_fields, to_fields, state, origin) in one shape."""
+        rels = self.engine.graphs.load(name)[2]
+        edges = rels.select(F.col("name").alias("id"), F.lit("foreign_key").alias("type"), F.col("object").alias("source"), F.col("to_object").alias("target"), "from_fields", "to_fields", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("origin"))
+        if candidates is None:
+            return edges
+        return edges.unionByName(candidates.where("state = 'validated'").select("id", F.lit("relationship_candidate").alias("type"), "source", "target", "from_fields", "to_fields", "state", "origin"))
+
+    def _joins(self, name: str, around: list[str], hops: int, candidates: DataFrame | None = None) -> tuple[list[dict], int]:
+        """The joins within some hops of the objects around, JOINS at each object at most, and how many more there are."""
+        edges = graph.cut(self._edges(name, candidates))
+        ends = edges.select("*", F.explode(F.array_distinct(F.array("source", "target"))).alias("at"))
+        other = F.when(F.col("source") == F.col("at"), F.col("target")).otherwise(F.col("source"))
+        place = F.row_number().over(Window.partitionBy("at").orderBy(~other.isin(*around), F.col("type") != "foreign_key", other, "id"))
+        ends = graph.cut(ends.withColumn("other", other).withColumn("place", place))
+        seen, front, found, more = set(around), list(around), {}, 0
+        for _ in range(hops):
+            if not front:
+                break
+            near = ends.join(F.broadcast(self.spark.createDataFrame([(x,) for x in front], "at string")), "at")
+            for r in near.where(F.col("place") <= self.JOINS).collect():
+                found[r.id, r.type] = r
+            more += near.where(F.col("place") > self.JOINS).count()
+            front = sorted({x for r in found.values() for x in (r["at"], r.other)} - seen)
+            seen |= set(front)
+        rows = [found[k].asDict() for k in sorted(found)]
+        return [j for j in map(context.joined, rows) if j is not None], more
+
+    def _joins_between(self, name: str, objects: list[str], candidates: DataFrame | None = None) -> list[dict]:
+        among = F.col("source").isin(*objects) & F.col("target").isin(*objects)
+        rows = self._edges(name, candidates).where(among).orderBy("type", "id").collect()  # between PREFIX objects
+        return [j for j in (context.joined(r.asDict()) for r in rows) if j is not None]
 
     def _with_fields(self, name: str, packet: context.Packet, most: int) -> None:
         chosen = [o["object"] for o in packet.objects]
@@ -235,9 +273,12 @@ class Contexts(_Group):
         for o in packet.objects:
             o["fields"] = [r.field for r in top if r.object == o["object"]]
 
-    def graph(self, name: str, query: str, characters: int = 24_000, **budgets: int) -> context.Packet:
+    def graph(self, name: str, query: str, characters: int = 24_000, candidates: DataFrame | None = None, **budgets: int) -> context.Packet:
+        """A packet around the best hits, over foreign keys and validated candidates; what is left out is counted in it."""
         hits = self.engine.search(name, query, 50).collect()  # 50 rows at most
-        packet = context.expand({r.object: float(r.score) for r in hits}, self._joins(name), **budgets)
+        joins, more = self._joins(name, [r.object for r in hits], budgets.get("hops", 2), candidates)
+        packet = context.expand({r.object: float(r.score) for r in hits}, joins, **budgets)
+        packet.omitted["joins"] += more
         self._with_fields(name, packet, 12)
         return context.fit(packet, characters)
 
@@ -245,7 +286,7 @@ class Contexts(_Group):
         o = self.engine.graphs.load(name)[0]
         o = o if namespace is None else o.where(F.lower("namespace") == namespace.lower())
         rows = o.select("object").orderBy(F.lower("object"), "object").limit(context.PREFIX["objects"] + 1).collect()
-        packet = context.prefix([{"fields": [], "object": r.object} for r in rows], self._joins(name))
+        packet = context.prefix([{"fields": [], "object": r.object} for r in rows], self._joins_between(name, [r.object for r in rows]))
         self._with_fields(name, packet, context.PREFIX["fields"])
         return context.fit(packet, characters)
 
@@ -453,6 +494,10 @@ class Engine:
             matches = [r.id for r in self.lineages.find(lineage_name, query, 5).collect()]
             if reference:
                 t = self.lineages.upstream(lineage_name, reference)
-                hops = t.hops.orderBy("depth", "target", "source", "relation", "id").limit(1000).collect()
-                trace = {"origins": [r.node for r in t.origins.orderBy("node").limit(100).collect()], "hops": [h.asDict() for h in hops], "warnings": [r.warning for r in t.warnings.orderBy("warning").limit(100).collect()]}
+                hops = t.hops.orderBy("depth", "target", "source", "relation", "id").limit(1001).collect()
+                origins = [r.node for r in t.origins.orderBy("node").limit(101).collect()]
+                warnings = [r.warning for r in t.warnings.orderBy("warning").limit(101).collect()]
+                shown_of = ((hops, 1000, "hops"), (origins, 100, "origins"), (warnings, 100, "warnings"))
+                left_out = [f"Only the first {most} {what} are shown." for rows, most, what in shown_of if len(rows) > most]
+                trace = {"origins": origins[:100], "hops": [h.asDict() for h in hops[:1000]], "warnings": warnings[:100] + left_out}
         return context.stable_prompt(stable, shown), context.dynamic_prompt(dynamic, matches, trace)

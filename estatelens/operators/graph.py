@@ -52,7 +52,8 @@ def graph_edges(nodes: DataFrame, objects: DataFrame, relationships: DataFrame,
     fk = relationships.join(objects.select("namespace", "object"), ["namespace", "object"], "left_semi").join(known, ["to_namespace", "to_object"], "left_semi")
     fk = fk.withColumn("fk", node_id("foreign_key", c, F.col("namespace"), F.col("object"), F.col("name")))
     whole = fk.select("fk", node_id("object", c, F.col("namespace"), F.col("object")), node_id("object", c, F.col("to_namespace"), F.col("to_object")), F.lit("foreign_key"))
-    pairs = fk.select("*", F.posexplode(F.arrays_zip("from_fields", "to_fields")).alias("pos", "pair"))
+    # lists of different lengths are refused by catalog_violations(); here what has no partner has no edge
+    pairs = fk.select("*", F.posexplode(F.arrays_zip("from_fields", "to_fields")).alias("pos", "pair")).where("pair.from_fields is not null and pair.to_fields is not null")
     each = pairs.select(
         F.concat("fk", F.lit("/field/"), (F.col("pos") + 1).cast("string")), node_id("field", c, F.col("namespace"), F.col("object"), F.col("pair.from_fields")),
         node_id("field", c, F.col("to_namespace"), F.col("to_object"), F.col("pair.to_fields")), F.lit("foreign_key_field"),

@@ -65,25 +65,26 @@ def prefix(df: DataFrame, order: Sequence[str], limit: int | None) -> DataFrame:
 def profile_columns(df: DataFrame, columns: Sequence[str], order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """One row per column: non_null, null_count, distinct_count, min_value, max_value, min_length, max_length.
 
-    min and max are double if all columns are numbers, else text, numbers being compared as numbers and dates as ISO text; `complete` tells whether
-    all rows were read. Rows become (column, value) once, repeated values meet before the shuffle.
+    min and max are text: whole numbers are compared and shown as such (2^53 + 1 too), other numbers as doubles, dates as ISO text;
+    `complete` tells whether all rows were read. Rows become (column, value) once, repeated values meet before the shuffle.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     rows = prefix(df.select(*dict.fromkeys([*columns, *order])), order, limit)
-    words = [not isinstance(kinds[c], (T.NumericType, T.BooleanType)) for c in columns]
+    whole = [isinstance(kinds[c], (T.IntegralType, T.BooleanType)) for c in columns]
+    part = [isinstance(kinds[c], T.NumericType) and not w for c, w in zip(columns, whole, strict=True)]
+    only = lambda here, c: F.col(c) if here else F.lit(None)
     cells = [
-        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"), (F.lit(None) if words[i] else F.col(c)).cast("double").alias("number"), (F.length(c) if textual(kinds[c]) else F.lit(None)).cast("int").alias("size"))
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"), only(whole[i], c).cast("long").alias("whole"), only(part[i], c).cast("double").alias("number"), (F.length(c) if textual(kinds[c]) else F.lit(None)).cast("int").alias("size"))
         for i, c in enumerate(columns)
     ]
-    values = rows.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").groupBy("i", "v", "number", "size").agg(F.count("*").alias("n"))
+    values = rows.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").groupBy("i", "v", "whole", "number", "size").agg(F.count("*").alias("n"))
     one = values.groupBy("i").agg(
         F.sum("n").alias("all"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.count("v").alias("distinct_count"),
-        *[f(c).alias(f"{t}_{c}") for c in ("v", "number", "size") for t, f in (("min", F.min), ("max", F.max))],
+        *[f(c).alias(f"{t}_{c}") for c in ("v", "whole", "number", "size") for t, f in (("min", F.min), ("max", F.max))],
     )
     named = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column_name string")
     found = named.join(one, "i", "left")
-    value = "v" if any(words) else "number"
-    shown = lambda t: F.coalesce(F.col(f"{t}_number").cast("string"), f"{t}_v") if any(words) and not all(words) else F.col(f"{t}_{value}")
+    shown = lambda t: F.coalesce(F.col(f"{t}_whole").cast("string"), F.col(f"{t}_number").cast("string"), f"{t}_v")
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = found.select(
         "column_name", zero("all").alias("rows_profiled"), zero("non_null").alias("non_null"), (zero("all") - zero("non_null")).alias("null_count"), zero("distinct_count").alias("distinct_count"),

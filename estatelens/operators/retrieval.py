@@ -62,11 +62,15 @@ def normalized_vector(v: Column) -> Column:
     return F.when(fine, F.transform(wide, lambda x: x / length))
 
 
+def dot(column: str, query: list[float]) -> Column:
+    """The dot product with a query, to six places."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return F.round(F.aggregate(F.zip_with(F.col(column).cast("array<double>"), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
+
+
 def vector_topk(vectors: DataFrame, query: list[float], limit: int = 20, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(id, score, rank) by dot product with the query, exact over all vectors."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(F.col(column).cast("array<double>"), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = vectors.where(F.size(column) == len(query)).select(id_col, F.round(dot, 6).alias("score")).where(~F.isnan("score"))
+    scored = vectors.where(F.size(column) == len(query)).select(id_col, dot(column, query).alias("score")).where(~F.isnan("score"))
     best = scored.orderBy(F.desc("score"), id_col).limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
@@ -97,26 +101,55 @@ def _term_weights(items: DataFrame, weights: dict[str, int], keys: list[str], te
     return found.groupBy(*keys, "term").agg(F.max("weight").alias("weight"))
 
 
-def lexical_search(objects: DataFrame, fields: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """(object, score, matched, fields) of objects(object, name, ...) and fields(object, name, ...) by weighted terms.
+def _no_hits(objects: DataFrame, by: list[str]) -> DataFrame:
+    return objects.select(*by, F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("matched"), F.lit("").alias("fields")).limit(0)
+
+
+def lexical_scores(objects: DataFrame, fields: DataFrame, query: str, by: list[str]) -> DataFrame:
+    """(by, score, matched, fields) of every object, keyed by the columns `by`, that has a term of the query.
 
     A term takes its strongest place; 2 more for each term found, 10 if all are, 12 if all are in the object's name.
     """
-    if not 1 <= limit <= 100:
-        raise ValueError("a search gives 1 to 100 hits")
     spark = objects.sparkSession
     wanted = tokenized_query(spark, query, X.query_terms)
     if not wanted:
-        return objects.select("object", F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("matched"), F.lit("").alias("fields")).limit(0)
+        return _no_hits(objects, by)
     terms = spark.createDataFrame([(t,) for t in wanted], "term string")
-    own = _term_weights(objects, OBJECT_WEIGHTS, ["object"], terms)
-    by_field = _term_weights(fields, FIELD_WEIGHTS, ["object", "name"], terms)
-    best = own.unionByName(by_field.select("object", "term", "weight")).groupBy("object", "term").agg(F.max("weight").alias("weight"))
-    total = best.groupBy("object").agg(F.sum("weight").alias("sum"), F.count("*").alias("matched"))
-    named = objects.select("object", (F.size(F.array_except(F.array(*[F.lit(t) for t in wanted]), X.lexical_tokens(F.col("name")))) == 0).alias("named"))
+    own = _term_weights(objects, OBJECT_WEIGHTS, by, terms)
+    by_field = _term_weights(fields, FIELD_WEIGHTS, [*by, "name"], terms)
+    best = own.unionByName(by_field.select(*by, "term", "weight")).groupBy(*by, "term").agg(F.max("weight").alias("weight"))
+    total = best.groupBy(*by).agg(F.sum("weight").alias("sum"), F.count("*").alias("matched"))
+    named = objects.select(*by, (F.size(F.array_except(F.array(*[F.lit(t) for t in wanted]), X.lexical_tokens(F.col("name")))) == 0).alias("named"))
     score = F.col("sum") + 2 * F.col("matched") + F.when(F.col("matched") == len(wanted), 10).otherwise(0) + F.when(F.col("named"), 12).otherwise(0)
-    hits = by_field.groupBy("object", "name").agg(F.sum("weight").alias("w"))
-    shown = hits.withColumn("r", F.row_number().over(Window.partitionBy("object").orderBy(F.desc("w"), F.lower("name")))).where(f"r <= {FIELD_HITS}")
-    shown = shown.groupBy("object").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ",").alias("fields"))
-    out = total.join(named, "object").join(shown, "object", "left").select("object", score.cast("long").alias("score"), "matched", F.coalesce("fields", F.lit("")).alias("fields"))
-    return out.orderBy(F.desc("score"), F.lower("object")).limit(limit)
+    hits = by_field.groupBy(*by, "name").agg(F.sum("weight").alias("w"))
+    shown = hits.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("w"), F.lower("name")))).where(f"r <= {FIELD_HITS}")
+    shown = shown.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ",").alias("fields"))
+    return total.join(named, by).join(shown, by, "left").select(*by, score.cast("long").alias("score"), "matched", F.coalesce("fields", F.lit("")).alias("fields"))
+
+
+def lexical_search(objects: DataFrame, fields: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(object, score, matched, fields) of the best of objects(object, name, ...) and fields(object, name, ...) by weighted terms."""
+    if not 1 <= limit <= 100:
+        raise ValueError("a search gives 1 to 100 hits")
+    return lexical_scores(objects, fields, query, ["object"]).orderBy(F.desc("score"), F.lower("object")).limit(limit)
+
+
+def bm25_groups(docs: DataFrame, query: str, limit: int, by: str, id_col: str = "id", label: Column | None = None) -> DataFrame:
+    """(by, id, score, rank) of the best documents of each group: `bm25` with every group's own statistics, in one pass over all groups."""
+    terms = tokenized_query(docs.sparkSession, query)
+    label = F.lit("") if label is None else label
+    if not terms:
+        return docs.select(by, id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    distinct = list(dict.fromkeys(terms))
+    tokens = profile.spread(docs).select(by, id_col, label.alias("label"), X.bm25_tokens(F.concat_ws(" ", label, F.col("text"))).alias("t"))
+    counts = F.struct(F.size("t").alias("n"), *[F.size(F.filter("t", _equals(w))).alias(f"c{i}") for i, w in enumerate(distinct)])
+    counted = cut(tokens.select(by, id_col, "label", F.inline(F.array(counts))))
+    stats = counted.groupBy(by).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct))])
+    score = F.lit(0.0)
+    for w in terms:
+        i = distinct.index(w)
+        idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        score = score + idf * (F.col(f"c{i}") * (K1 + 1)) / (F.col(f"c{i}") + K1 * (1 - B + B * F.col("n") / F.greatest(F.col("mean"), F.lit(1.0))))
+    hit = counted.where(" or ".join(f"c{i} > 0" for i in range(len(distinct)))).join(stats, by).select(by, id_col, "label", F.round(score, 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.lower("label"), id_col))
+    return hit.withColumn("rank", rank).where(F.col("rank") <= limit).select(by, id_col, "score", "rank")

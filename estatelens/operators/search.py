@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatelens.functions import text as X
@@ -177,8 +177,65 @@ def search(docs: DataFrame, query: str, mode: str = "bm25", limit: int = 20, nam
     return best.join(more, "object_id").select("object_id", score.alias("score"), "fields", "sources", "matched").orderBy(F.desc("score"), "object_id").limit(limit)
 
 
-def combine(results: DataFrame, scope: DataFrame, limit: int = 20) -> DataFrame:
-    """(graph, object_id, label, score) of the best hits of results(graph, object_id, label, score) that scope(graph, object_id) allows."""
-    kept = results.join(scope.select("graph", "object_id").distinct(), ["graph", "object_id"], "left_semi")
+#: Hits of each graph that a workspace's search ranks together.
+GRAPH_HITS = 100
+
+
+def _in_scope(df: DataFrame, scope: DataFrame) -> DataFrame:
+    return df.join(scope.select("graph", "object_id").distinct(), ["graph", "object_id"], "left_semi")
+
+
+def workspace_lexical(objects: DataFrame, fields: DataFrame, scope: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(graph, object_id, label, score, matched, fields) of the best objects of a scope(graph, object_id) by weighted terms.
+
+    objects(graph, object_id, label, name, ...) and fields(graph, object_id, name, ...) are those of all graphs, searched in one
+    pass: what is out of scope leaves first, then every graph's best GRAPH_HITS are ranked together.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("a search gives 1 to 100 hits")
+    own = _in_scope(objects, scope)
+    hits = retrieval.lexical_scores(own, _in_scope(fields, scope), query, ["graph", "object_id"]).join(own.select("graph", "object_id", "label"), ["graph", "object_id"])
+    place = F.row_number().over(Window.partitionBy("graph").orderBy(F.desc("score"), F.lower("label"), "object_id"))
+    return _ranked_together(hits.withColumn("place", place).where(F.col("place") <= GRAPH_HITS), limit).select("graph", "object_id", "label", "score", "matched", "fields")
+
+
+def workspace_search(docs: DataFrame, scope: DataFrame, query: str, limit: int = 20, mode: str = "bm25", embed: Embedder = hashed_embedding) -> DataFrame:
+    """(graph, object_id, label, score, fields, sources) of the best objects of a scope(graph, object_id) by BM25, vectors or both.
+
+    docs(graph, id, object_id, field_id, label, text) are those of all graphs, with vector for the vector modes; every graph has
+    its own statistics and ranks over what the scope allows of it.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("a search gives 1 to 100 hits")
+    if mode not in MODES[1:]:
+        raise ValueError(f"unknown mode: {mode}")
+    own = _in_scope(docs, scope)
+    lists = {}
+    if mode in ("bm25", "hybrid"):
+        lists["bm25"] = retrieval.bm25_groups(own, query, 5 * GRAPH_HITS, "graph", "id", F.col("label"))
+    if mode in ("vector", "hybrid"):
+        if "vector" not in docs.columns:
+            raise ValueError("vector modes need an index")
+        asked = list(embed(docs.sparkSession.createDataFrame([(query,)], "text string")).first().vector)
+        rank = F.row_number().over(Window.partitionBy("graph").orderBy(F.desc("score"), "id"))
+        lists["vector"] = own.select("graph", "id", retrieval.dot("vector", asked).alias("score")).withColumn("rank", rank).where(F.col("rank") <= 5 * GRAPH_HITS)
+    if mode == "hybrid":
+        both = lists["bm25"].select("graph", "id", "rank", F.lit("bm25").alias("source")).unionByName(lists["vector"].select("graph", "id", "rank", F.lit("vector").alias("source")))
+        hits = both.groupBy("graph", "id").agg(F.round(F.sum(1 / (retrieval.RRF + F.col("rank"))), 9).alias("score"), F.sort_array(F.collect_set("source")).alias("sources"))
+    else:
+        hits = lists[mode].select("graph", "id", "score", F.array(F.lit(mode)).alias("sources"))
+    met = hits.join(own.select("graph", "id", "object_id", "field_id"), ["graph", "id"])
+    order = F.row_number().over(Window.partitionBy("graph", "object_id").orderBy(F.desc("score"), F.col("field_id").asc_nulls_first()))
+    met = met.withColumn("r", order)
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("r") <= retrieval.FIELD_HITS) & F.col("field_id").isNotNull(), F.struct("r", "field_id")))), lambda x: x["field_id"]), ",")
+    best = met.groupBy("graph", "object_id").agg(F.max("score").alias("best"), shown.alias("fields"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))), "+").alias("sources"))
+    best = best.withColumn("score", F.greatest(F.lit(1), F.round(F.col("best") * 1_000_000)).cast("long"))
+    names = own.where("field_id is null").select("graph", "object_id", "label")
+    place = F.row_number().over(Window.partitionBy("graph").orderBy(F.desc("score"), F.lower("label"), "object_id"))
+    first = best.join(names, ["graph", "object_id"]).withColumn("place", place).where(F.col("place") <= GRAPH_HITS)
+    return _ranked_together(first, limit).select("graph", "object_id", "label", "score", "fields", "sources")
+
+
+def _ranked_together(hits: DataFrame, limit: int) -> DataFrame:
     label = F.concat_ws(":", "graph", "label")
-    return kept.select("graph", "object_id", label.alias("label"), "score").orderBy(F.desc("score"), F.lower("label"), "object_id").limit(limit)
+    return hits.withColumn("label", label).orderBy(F.desc("score"), F.lower("label"), "object_id").limit(limit)

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import made as mk
 from . import queries_catalog, queries_estate, queries_lineage, queries_search
 from .functions import text as X
 from .operators import drift, graph, lineage, profile, relationships, retrieval, scopes
 
 #: Pairs whose overlap is probed: source table and field, target table and field.
 PAIRS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"), ("orders", "o_orderkey", "part", "p_partkey"), ("customer", "c_nationkey", "nation", "n_nationkey")]
-_UPSTREAM = [("raw.orders", "stage.orders", "derived_from", "validated"), ("stage.orders", "dw.sales", "derived_from", "validated"), ("dw.dates", "dw.sales", "derived_from", "draft"), ("dw.sales", "dw.sales", "derived_from", "draft"), ("dw.sales", "rep.months", "reads_from", "validated"), ("rep.months", "rep.best", "materializes_as", "validated"), ("rep.best", "dw.dates", "derived_from", "draft"), ("dw.other", "rep.other", "reads_from", "validated")]
-EDGES = fx.Rows("source string, target string, relation string, state string", tuple(_UPSTREAM))
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,15 +82,16 @@ def _probe_sql(a, x, b, y):
 
 
 def discover_relationships(spark, sf_dir):
-    pairs = relationships.eligible_pairs(fx.FIELDS.df(spark), _existing(spark), _family())
+    known = fx.RELATIONSHIPS.df(spark).select(F.col("object").alias("from_object"), F.col("from_fields")[0].alias("from_field"), "to_object", F.col("to_fields")[0].alias("to_field"))
+    pairs = relationships.eligible_pairs(fx.FIELDS.df(spark), known, _family())
     pairs = [tuple(r) for r in pairs.collect()]  # as many as fields of the catalog, squared at most
     tables = {t: _t(spark, sf_dir, t) for t in sorted({t for p in pairs for t in (p[0], p[2])})}
     found = profile.probe_all(tables, pairs)
     return relationships.best_candidates(found.withColumnRenamed("source_field", "from_field").withColumnRenamed("target_field", "to_field"))
 
 
-def _existing(spark):
-    return fx.RELATIONSHIPS.df(spark).select(F.col("object").alias("from_object"), F.col("from_fields")[0].alias("from_field"), "to_object", F.col("to_fields")[0].alias("to_field"))
+def _existing(spark, sf_dir):
+    return mk.RELATIONSHIPS.df(spark, sf_dir).select(F.col("object").alias("from_object"), F.col("from_fields")[0].alias("from_field"), "to_object", F.col("to_fields")[0].alias("to_field"))
 
 
 def _family():
@@ -102,7 +102,7 @@ def _family():
 
 
 def candidate_pairs_catalog(spark, sf_dir):
-    return relationships.candidate_pairs(fx.FIELDS.df(spark), _existing(spark), "orders", 20, _family())
+    return relationships.candidate_pairs(mk.FIELDS.df(spark, sf_dir), _existing(spark, sf_dir), "sup_1", 20, _family())
 
 
 def key_pattern_customer_name(spark, sf_dir):
@@ -160,50 +160,51 @@ LEXICAL = "orders keys of customer nations"
 
 
 def lexical_search_catalog(spark, sf_dir):
-    objects = fx.OBJECTS.df(spark).select("object", F.col("object").alias("name"), F.col("description").alias("technical_description"))
-    fields = fx.FIELDS.df(spark).select("object", F.col("field").alias("name"))
+    objects = mk.OBJECTS.df(spark, sf_dir).select("object", F.col("object").alias("name"), F.col("description").alias("technical_description"))
+    fields = mk.FIELDS.df(spark, sf_dir).select("object", F.col("field").alias("name"))
     return retrieval.lexical_search(objects, fields, LEXICAL, 20)
 
 
-def _nodes(spark):
-    return graph.graph_nodes(fx.OBJECTS.df(spark), fx.FIELDS.df(spark), "ware house")
+def _nodes(spark, sf_dir):
+    return graph.graph_nodes(mk.OBJECTS.df(spark, sf_dir), mk.FIELDS.df(spark, sf_dir), "ware house")
 
 
 def graph_nodes(spark, sf_dir):
-    return _nodes(spark)
+    return _nodes(spark, sf_dir)
 
 
 def graph_edges(spark, sf_dir):
-    return graph.graph_edges(_nodes(spark), fx.OBJECTS.df(spark), fx.RELATIONSHIPS.df(spark), "ware house")
+    return graph.graph_edges(_nodes(spark, sf_dir), mk.OBJECTS.df(spark, sf_dir), mk.RELATIONSHIPS.df(spark, sf_dir), "ware house")
 
 
 def graph_violations(spark, sf_dir):
-    nodes = _nodes(spark)
+    nodes = _nodes(spark, sf_dir)
     edges = graph_edges(spark, sf_dir)
-    return graph.graph_violations(nodes.union(nodes.where("label = 'part' or label = 'doc_id'")).where("label <> 'main.nation'"), edges)
+    return graph.graph_violations(nodes.union(nodes.where("label = 'name'")).where("label <> 'main.sup_2'"), edges)
 
 
 def catalog_violations(spark, sf_dir):
-    objects = fx.OBJECTS.df(spark).union(fx.OBJECTS.df(spark).where("object = 'part'")).withColumn("kind", F.when(F.col("object") == "nation", "cube").otherwise(F.col("kind"))).where("object <> 'region'")
-    fields = fx.FIELDS.df(spark).withColumn("position", F.when(F.col("field") == "p_size", 1).otherwise(F.col("position"))).withColumn("is_primary_key", F.col("is_primary_key") & (F.col("field") != "o_orderkey"))
-    return graph.catalog_violations(objects, fields, fx.RELATIONSHIPS.df(spark))
+    objects = mk.OBJECTS.df(spark, sf_dir)
+    objects = objects.union(objects.where("object like '%4'")).withColumn("kind", F.expr("case when object like '%15' then 'cube' else kind end")).where("object not like '%6'")
+    fields = mk.FIELDS.df(spark, sf_dir).withColumn("position", F.expr("case when field = 'name' and object like '%8' then 1 else position end")).withColumn("is_primary_key", F.expr("is_primary_key and object not like '%9'"))
+    return graph.catalog_violations(objects, fields, mk.RELATIONSHIPS.df(spark, sf_dir))
 
 
-def _retail(spark):
-    return [tuple(t.df(spark) for t in v) for v in (fx.RETAIL_1, fx.RETAIL_2)]
+def _retail(spark, sf_dir):
+    return [tuple(t.df(spark, sf_dir) for t in v) for v in ((mk.OBJECTS, mk.FIELDS, mk.RELATIONSHIPS), (mk.OBJECTS_AFTER, mk.FIELDS_AFTER, mk.RELATIONSHIPS_AFTER))]
 
 
 def schema_changes(spark, sf_dir):
-    return drift.schema_changes(*_retail(spark))
+    return drift.schema_changes(*_retail(spark, sf_dir))
 
 
 def field_renames(spark, sf_dir):
-    before, after = _retail(spark)
+    before, after = _retail(spark, sf_dir)
     return drift.field_renames(before[1], after[1])
 
 
 def refresh_annotations(spark, sf_dir):
-    return drift.refreshed_annotations(fx.ANNOTATIONS.df(spark), drift.schema_changes(*_retail(spark)))
+    return drift.refreshed_annotations(mk.ANNOTATIONS.df(spark, sf_dir), drift.schema_changes(*_retail(spark, sf_dir)))
 
 
 def refresh_counts(spark, sf_dir):
@@ -211,87 +212,87 @@ def refresh_counts(spark, sf_dir):
 
 
 def step_changes(spark, sf_dir):
-    after = fx.STEPS.df(spark).where("step <> 's4'").withColumn("depends_on", F.when(F.col("step") == "s3", F.array(F.lit("s2"), F.lit("s5"))).otherwise(F.col("depends_on"))).withColumn("definition", F.when(F.col("step") == "s1", "d9").otherwise(F.col("definition")))
-    return drift.step_changes(fx.STEPS.df(spark), after)
+    after = mk.STEPS.df(spark, sf_dir).where("step <> 's4'").withColumn("depends_on", F.when(F.col("step") == "s3", F.array(F.lit("s2"), F.lit("s5"))).otherwise(F.col("depends_on"))).withColumn("definition", F.when(F.col("step") == "s1", "d9").otherwise(F.col("definition")))
+    return drift.step_changes(mk.STEPS.df(spark, sf_dir), after)
 
 
 def definition_changes(spark, sf_dir):
-    d = fx.DEFINITIONS.df(spark).select("definition", "name", "kind", F.col("analysis").alias("content"))
+    d = mk.DEFINITIONS.df(spark, sf_dir).select("definition", "name", "kind", F.col("analysis").alias("content"))
     after = d.where("definition <> 'd4'").withColumn("content", F.when(F.col("definition") == "d1", "new").otherwise(F.col("content"))).withColumn("name", F.when(F.col("definition") == "d2", "etl.build").otherwise(F.col("name")))
     return lineage.definition_changes(d.where("definition <> 'd3'"), after)
 
 
 def packet_diff(spark, sf_dir):
-    return drift.packet_diff(fx.PACKETS.df(spark))
+    return drift.packet_diff(mk.PACKETS.df(spark, sf_dir))
 
 
 def packet_impact(spark, sf_dir):
-    p = fx.PACKETS.df(spark)
+    p = mk.PACKETS.df(spark, sf_dir)
     return drift.packet_impact(p.where("side = 'left'"), p.where("side = 'right' and id in ('o1', 'j2')"))
 
 
 def upstream_trace(spark, sf_dir):
-    return graph.trace_upstream(EDGES.df(spark), "rep.best")[0]
+    return graph.trace_upstream(mk.EDGES.df(spark, sf_dir), "rep.best")[0]
 
 
 def upstream_origins(spark, sf_dir):
-    return graph.trace_upstream(EDGES.df(spark), "rep.best")[1]
+    return graph.trace_upstream(mk.EDGES.df(spark, sf_dir), "rep.best")[1]
 
 
 def upstream_truncated(spark, sf_dir):
-    hops, _, cut = graph.trace_upstream(EDGES.df(spark), "rep.best", 2)
+    hops, _, cut = graph.trace_upstream(mk.EDGES.df(spark, sf_dir), "rep.best", 2)
     return hops.agg(F.count("*").alias("hops")).crossJoin(cut)
 
 
 def one_hop(spark, sf_dir):
-    fk = fx.RELATIONSHIPS.df(spark).select(F.col("object").alias("source"), F.col("to_object").alias("target"))
-    return graph.one_hop(fk, fx.OBJECTS.df(spark).where("object = 'nation'").select("object"))
+    fk = mk.RELATIONSHIPS.df(spark, sf_dir).select(F.col("object").alias("source"), F.col("to_object").alias("target"))
+    return graph.one_hop(fk, mk.OBJECTS.df(spark, sf_dir).where("object = 'sup_2'").select("object"))
 
 
-def _static(spark):
-    return [t.df(spark) for t in (fx.DEFINITIONS, fx.CLAIMS, fx.WRITES, fx.MATERIALIZATIONS)]
+def _static(spark, sf_dir):
+    return [t.df(spark, sf_dir) for t in (mk.DEFINITIONS, mk.CLAIMS, mk.WRITES, mk.MATERIALIZATIONS)]
 
 
 def table_lineage(spark, sf_dir):
-    return lineage.table_lineage(*_static(spark))
+    return lineage.table_lineage(*_static(spark, sf_dir))
 
 
 def lineage_network(spark, sf_dir):
-    return lineage.network(*_static(spark))
+    return lineage.network(*_static(spark, sf_dir))
 
 
 def process_order(spark, sf_dir):
-    return lineage.process_view(fx.DEFINITIONS.df(spark), fx.STEPS.df(spark), fx.CLAIMS.df(spark))
+    return lineage.process_view(mk.DEFINITIONS.df(spark, sf_dir), mk.STEPS.df(spark, sf_dir), mk.CLAIMS.df(spark, sf_dir))
 
 
 def lineage_status(spark, sf_dir):
-    return lineage.lineage_status(*_static(spark))
+    return lineage.lineage_status(*_static(spark, sf_dir))
 
 
 def lineage_find(spark, sf_dir):
-    nodes = fx.DEFINITIONS.df(spark).select(F.col("definition").alias("id"), F.substring_index("name", ".", -1).alias("name"), "kind", F.col("name").alias("reference"))
-    return lineage.find_references(nodes, "[ETL] . build_sales")
+    nodes = mk.DEFINITIONS.df(spark, sf_dir).select(F.col("definition").alias("id"), F.substring_index("name", ".", -1).alias("name"), "kind", F.col("name").alias("reference"))
+    return lineage.find_references(nodes, "[ETL] . load_7")
 
 
 def runtime_closure(spark, sf_dir):
-    calls, inputs = graph.closure(fx.RUNTIME.df(spark), "p1")
+    calls, inputs = graph.closure(mk.RUNTIME.df(spark, sf_dir), "p1")
     return calls.select(F.lit("call").alias("kind"), F.col("call_id").alias("name")).union(inputs.select(F.lit("origin"), "node"))
 
 
 def runtime_violations(spark, sf_dir):
-    return graph.runtime_violations(fx.BROKEN.df(spark))
+    return graph.runtime_violations(mk.BROKEN.df(spark, sf_dir))
 
 
 def workspace_scope(spark, sf_dir):
-    return scopes.resolve_scope(fx.SCOPE_OBJECTS.df(spark), fx.ZONES.df(spark), systems=["erp", "crm"], schemas=["dbo", "crm"], in_zones=["private", "revenue"])
+    return scopes.resolve_scope(mk.SCOPE_OBJECTS.df(spark, sf_dir), mk.ZONES.df(spark, sf_dir), systems=["erp", "crm"], schemas=["dbo", "crm"], in_zones=["private", "revenue"])
 
 
 def workspace_impact(spark, sf_dir):
-    return scopes.change_impacts(fx.CHANGED.df(spark), fx.SCOPE_OBJECTS.df(spark), fx.ZONES.df(spark))
+    return scopes.change_impacts(mk.CHANGED.df(spark, sf_dir), mk.SCOPE_OBJECTS.df(spark, sf_dir), mk.ZONES.df(spark, sf_dir))
 
 
 def focus_members(spark, sf_dir):
-    return scopes.focus_members(graph.trace_upstream(EDGES.df(spark), "rep.best")[0], "rep.best")
+    return scopes.focus_members(graph.trace_upstream(mk.EDGES.df(spark, sf_dir), "rep.best")[0], "rep.best")
 
 
 def knowledge_budget(spark, sf_dir):
@@ -301,19 +302,19 @@ def knowledge_budget(spark, sf_dir):
 
 
 def context_fields_topn(spark, sf_dir):
-    fields = fx.FIELDS.df(spark)
+    fields = mk.FIELDS.df(spark, sf_dir)
     hits = fields.where("field like '%name%' or field like '%price%'").select("object", "field", F.length("field").alias("score"))
     return scopes.context_fields(fields, hits, 3)
 
 
 def semantic_bindings(spark, sf_dir):
-    bound = scopes.dataset_bindings(fx.DATASETS.df(spark), fx.OBJECTS.df(spark), "hive")
-    each = scopes.field_bindings(fx.MODEL_FIELDS.df(spark), bound, fx.FIELDS.df(spark))
+    bound = scopes.dataset_bindings(mk.DATASETS.df(spark, sf_dir), mk.OBJECTS.df(spark, sf_dir), "hive")
+    each = scopes.field_bindings(mk.MODEL_FIELDS.df(spark, sf_dir), bound, mk.FIELDS.df(spark, sf_dir))
     return bound.select("dataset", F.lit("").alias("field"), F.col("object").alias("target"), "tier").union(each.select("dataset", "field", "column", F.lit(0)))
 
 
 def er_find_modes(spark, sf_dir):
-    c = fx.CANDIDATES.df(spark)
+    c = mk.CANDIDATES.df(spark, sf_dir)
     out = None
     for mode in ("confirmed", "candidates", "confirmed_then_candidates"):
         one = scopes.find_candidates(c, "r2", mode).select(F.lit(mode).alias("mode"), "candidate", "usage")
@@ -322,7 +323,7 @@ def er_find_modes(spark, sf_dir):
 
 
 def er_evidence(spark, sf_dir):
-    return scopes.candidate_evidence(fx.CANDIDATES.df(spark))
+    return scopes.candidate_evidence(mk.CANDIDATES.df(spark, sf_dir))
 
 
 def entity_rule_overlap(spark, sf_dir):
@@ -337,10 +338,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _profile_sql(table, columns, text, source=None, complete="true"):
-    kind = "double" if text is False else "varchar"
-    number = lambda x, c: x if text is not None or c.endswith("name") else f"({x})::double"
     sizes = ["{f}(length({c}))" if text or (text is None and c.endswith("name")) else "null" for c in columns]
-    rows = [f"select '{c}' as column_name, count(*) as rows_profiled, count({c}) as non_null, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count, {number(f'min({c})', c)}::{kind} as min_value, {number(f'max({c})', c)}::{kind} as max_value, {size.format(f='min', c=c)}::int as min_length, {size.format(f='max', c=c)}::int as max_length, {complete} as complete from {source or table}" for c, size in zip(columns, sizes, strict=True)]
+    rows = [f"select '{c}' as column_name, count(*) as rows_profiled, count({c}) as non_null, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count, min({c})::varchar as min_value, max({c})::varchar as max_value, {size.format(f='min', c=c)}::int as min_length, {size.format(f='max', c=c)}::int as max_length, {complete} as complete from {source or table}" for c, size in zip(columns, sizes, strict=True)]
     return " union all ".join(rows)
 
 
@@ -383,7 +382,7 @@ _NODES_SQL = f"""nodes as (select 'catalog:ware%20house' as id, 'catalog' as typ
  union all select 'field:ware%20house/' || namespace || '/' || object || '/' || field, 'field', field, 'object:ware%20house/' || namespace || '/' || object from fields)"""
 _EDGES_SQL = """edges as (select 'contains:' || parent_id || '->' || id as id, parent_id as source_id, id as target_id, 'contains' as type from nodes where parent_id is not null
  union all select 'foreign_key:ware%20house/' || namespace || '/' || object || '/' || name, 'object:ware%20house/' || namespace || '/' || object, 'object:ware%20house/' || to_namespace || '/' || to_object, 'foreign_key' from rels where to_object in (select object from objects)
- union all select 'foreign_key:ware%20house/' || namespace || '/' || object || '/' || name || '/field/' || i, 'field:ware%20house/' || namespace || '/' || object || '/' || from_fields[i], 'field:ware%20house/' || to_namespace || '/' || to_object || '/' || to_fields[i], 'foreign_key_field' from (select *, unnest(range(1, len(from_fields) + 1)) as i from rels) where to_object in (select object from objects))"""
+ union all select 'foreign_key:ware%20house/' || namespace || '/' || object || '/' || name || '/field/' || i, 'field:ware%20house/' || namespace || '/' || object || '/' || from_fields[i], 'field:ware%20house/' || to_namespace || '/' || to_object || '/' || to_fields[i], 'foreign_key_field' from (select *, unnest(range(1, least(len(from_fields), len(to_fields)) + 1)) as i from rels) where to_object in (select object from objects))"""
 _TRACE_SQL = """walk as (select 'rep.best' as node, 0 as depth union select e.source, w.depth + 1 from walk w join e on e.target = w.node where w.depth < {most}),
 seen as (select node, min(depth) as depth from walk group by 1)"""
 
@@ -406,10 +405,11 @@ ch as (select * from (select null as reference, null as kind, null as severity,
 
 
 def oracle_sql() -> dict[str, str]:
-    catalog = ", ".join([fx.OBJECTS.sql("objects"), fx.FIELDS.sql("fields"), fx.RELATIONSHIPS.sql("rels")])
-    retail = ", ".join([r.sql(n) for v, k in ((fx.RETAIL_1, "1"), (fx.RETAIL_2, "2")) for r, n in zip(v, (f"o{k}", f"f{k}", f"r{k}"), strict=True)])
-    e = EDGES.sql("e")
-    static = ", ".join([fx.DEFINITIONS.sql("d"), fx.CLAIMS.sql("c"), fx.WRITES.sql("w"), fx.MATERIALIZATIONS.sql("m"), fx.STEPS.sql("s")])
+    given = ", ".join([fx.OBJECTS.sql("objects"), fx.FIELDS.sql("fields"), fx.RELATIONSHIPS.sql("rels")])
+    catalog = ", ".join([mk.OBJECTS.sql("objects"), mk.FIELDS.sql("fields"), mk.RELATIONSHIPS.sql("rels")])
+    retail = ", ".join([r.sql(n) for v, k in (((mk.OBJECTS, mk.FIELDS, mk.RELATIONSHIPS), "1"), ((mk.OBJECTS_AFTER, mk.FIELDS_AFTER, mk.RELATIONSHIPS_AFTER), "2")) for r, n in zip(v, (f"o{k}", f"f{k}", f"r{k}"), strict=True)])
+    e = mk.EDGES.sql("e")
+    static = ", ".join([mk.DEFINITIONS.sql("d"), mk.CLAIMS.sql("c"), mk.WRITES.sql("w"), mk.MATERIALIZATIONS.sql("m"), mk.STEPS.sql("s")])
     out = {f"probe_{a}_{b}": _probe_sql(a, x, b, y) for a, x, b, y in PAIRS}
     out["sample_rows_customer"] = "select * from customer order by c_custkey limit 10"
     out["profile_columns_orders"] = _profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], False)
@@ -424,7 +424,7 @@ def oracle_sql() -> dict[str, str]:
         columns.setdefault(o, []).append(f)
     numbers = [(o, f) for _, o, f, _, t, *_ in fx.FIELDS.rows if X.SPARK_FAMILIES.get(t) == "number"]
     domains = " union all ".join(f"select '{o}' as object, '{f}' as field, {f}::double as v from {o} where {f} is not null" for o, f in numbers)
-    out["discover_relationships"] = f"""with {catalog}, dom as ({domains}), st as (select object, field, count(*) as nn, count(distinct v) as d from dom group by 1, 2), u as (select distinct object, field, v from dom),
+    out["discover_relationships"] = f"""with {given}, dom as ({domains}), st as (select object, field, count(*) as nn, count(distinct v) as d from dom group by 1, 2), u as (select distinct object, field, v from dom),
 ov as (select a.object as ao, a.field as af, b.object as bo, b.field as bf, count(*) as ov from u a join u b on a.v = b.v group by 1, 2, 3, 4),
 pr as (select s.object as from_object, s.field as source_field, t.object as to_object, t.field as target_field, s.nn as sn, s.d as sd, t.nn as tn, t.d as td, coalesce(ov, 0) as overlap from st s join fields x on x.object = s.object and x.field = s.field join st t on t.object <> s.object join fields y on y.object = t.object and y.field = t.field and (y.is_primary_key or y.position = 1)
  left join ov on ao = s.object and af = s.field and bo = t.object and bf = t.field where not exists (select 1 from rels where rels.object = s.object and from_fields[1] = s.field and to_object = t.object and to_fields[1] = t.field)),
@@ -434,9 +434,9 @@ select 'relationship_candidate:' || substr(sha256('field:' || from_object || '/'
 round(cast(cast(least(0.98::double, 0.2::double + 0.35::double * source_coverage + 0.2::double * target_uniqueness + 0.15::double * target_coverage + least(0.1::double, overlap / 100)) as varchar) as decimal(38, 20)), 4)::double as confidence, 'draft' as state from r where r = 1"""
     family = "case " + " ".join(f"when data_type = '{k}' then '{v}'" for k, v in X.SPARK_FAMILIES.items()) + " else 'unknown' end"
     norm = lambda c: f"replace(regexp_replace(lower({c}), '(^|_)(id|key)$', ''), '_', '')"
-    out["candidate_pairs_catalog"] = f"""with {catalog}, f as (select *, {family} as family from fields), s as (select *, row_number() over (order by position, field) as so from f where object = 'orders'),
+    out["candidate_pairs_catalog"] = f"""with {catalog}, f as (select *, {family} as family from fields), s as (select *, row_number() over (order by position, field) as so from f where object = 'sup_1'),
 p as (select s.object as from_object, s.field as from_field, t.object as to_object, t.field as to_field, so as source_order, row_number() over (partition by so order by not t.is_primary_key, {norm('s.field')} <> {norm('t.field')}, s.data_type <> t.data_type, t.object, t.field) as target_rank
- from s join f t on s.family = t.family and t.object <> 'orders' and (t.is_primary_key or t.position = 1) where so <= 16 and s.family not in ('bool', 'binary', 'unknown') and not exists (select 1 from rels r where r.object = s.object and r.from_fields[1] = s.field and r.to_object = t.object and r.to_fields[1] = t.field))
+ from s join f t on s.family = t.family and t.object <> 'sup_1' and (t.is_primary_key or t.position = 1) where so <= 16 and s.family not in ('bool', 'binary', 'unknown') and not exists (select 1 from rels r where r.object = s.object and r.from_fields[1] = s.field and r.to_object = t.object and r.to_fields[1] = t.field))
 select from_object, from_field, to_object, to_field, source_order::int as source_order, target_rank::int as target_rank from p order by target_rank, source_order limit 20"""
     one_run = lambda t, c: f"""with v as (select {c} as v, regexp_extract({c}, '[0-9]+') as d from {t} where {c} is not null), p as (select replace(v, d, '{{digits_1:' || len(d) || '}}') as pattern, count(*) as match_count from v where d <> '' and regexp_matches(v, '[A-Za-z]') group by 1 order by 2 desc, 1 limit 1)
 select '{c}' as field, pattern, n as sample_count, match_count, match_count / n as coverage, 1::bigint as components from p, (select count(*) as n from v) where match_count >= 3 and match_count / n >= 0.8"""
@@ -462,13 +462,13 @@ f as (select distinct object, field as name, term from (select object, field, un
 b as (select object, term, max(w) as w from (select object, term, w from o join q using (term) union all select object, term, 9 from f) group by 1, 2),
 t as (select object, sum(w) as s, count(*) as m from b group by 1), n as (select object, list_has_all({toks('object')}, ['customer', 'key', 'nation', 'order']) as named from objects),
 h as (select object, name, sum(9) as w from f group by 1, 2), r as (select *, row_number() over (partition by object order by w desc, lower(name)) as r from h)
-select t.object, (s + 2 * m + case when m = 4 then 10 else 0 end + case when named then 12 else 0 end)::bigint as score, m as matched, coalesce((select string_agg(name, ',' order by r) from r where r.object = t.object and r <= 8), '') as fields from t join n using (object)"""
+select t.object, (s + 2 * m + case when m = 4 then 10 else 0 end + case when named then 12 else 0 end)::bigint as score, m as matched, coalesce((select string_agg(name, ',' order by r) from r where r.object = t.object and r <= 8), '') as fields from t join n using (object) order by score desc, lower(object) limit 20"""
     out["graph_nodes"] = f"with {catalog}, {_NODES_SQL} select * from nodes"
     out["graph_edges"] = f"with {catalog}, {_NODES_SQL}, {_EDGES_SQL} select * from edges"
-    out["graph_violations"] = f"""with {catalog}, {_NODES_SQL}, {_EDGES_SQL}, n2 as (select * from (select * from nodes union all select * from nodes where label in ('part', 'doc_id')) where label <> 'main.nation')
+    out["graph_violations"] = f"""with {catalog}, {_NODES_SQL}, {_EDGES_SQL}, n2 as (select * from (select * from nodes union all select * from nodes where label = 'name') where label <> 'main.sup_2')
 select 'node_id_unique' as rule, id as key from n2 group by 2 having count(*) > 1 union all select distinct 'edge_endpoint_known', id from edges where source_id not in (select id from n2) or target_id not in (select id from n2)"""
-    out["catalog_violations"] = f"""with {catalog}, o as (select namespace, object, case when object = 'nation' then 'cube' else kind end as kind, primary_key from (select * from objects union all select * from objects where object = 'part') where object <> 'region'),
-f as (select namespace, object, field, case when field = 'p_size' then 1 else position end as position, is_primary_key and field <> 'o_orderkey' as pk from fields), k as (select namespace, object, unnest(string_split(primary_key, ',')) as field from o where primary_key <> '')
+    out["catalog_violations"] = f"""with {catalog}, o as (select namespace, object, case when object like '%15' then 'cube' else kind end as kind, primary_key from (select * from objects union all select * from objects where object like '%4') where object not like '%6'),
+f as (select namespace, object, field, case when field = 'name' and object like '%8' then 1 else position end as position, is_primary_key and object not like '%9' as pk from fields), k as (select namespace, object, unnest(string_split(primary_key, ',')) as field from o where primary_key <> '')
 select 'object_unique' as rule, namespace || '.' || object as key from o group by 2 having count(*) > 1
 union all select 'field_unique', namespace || '.' || object || '.' || field from f group by 2 having count(*) > 1
 union all select 'position_unique', namespace || '.' || object || '.' || position from f group by 2 having count(*) > 1
@@ -485,8 +485,8 @@ union all select 'reference_target_known', namespace || '.' || object || '.' ||
     stale = ", ".join(f"'{k}'" for k in drift.STALE)
     refreshed = f"""rf as (select a.reference, case when coalesce(reasons, '') like '%field_removed%' or coalesce(reasons, '') like '%object_removed%' then 'removed' when reasons is not null and state = 'validated' then 'review_required' else state end as state, coalesce(reasons, '') as reasons
  from ann a left join (select reference, string_agg(distinct kind, ',' order by kind) as reasons from ch where kind in ({stale}) group by 1) using (reference))"""
-    out["refresh_annotations"] = f"with {retail}, {fx.ANNOTATIONS.sql('ann')}, {changes}, {refreshed} select * from rf"
-    out["refresh_counts"] = f"with {retail}, {fx.ANNOTATIONS.sql('ann')}, {changes}, {refreshed} select state, count(*) as n from rf group by 1"
+    out["refresh_annotations"] = f"with {retail}, {mk.ANNOTATIONS.sql('ann')}, {changes}, {refreshed} select * from rf"
+    out["refresh_counts"] = f"with {retail}, {mk.ANNOTATIONS.sql('ann')}, {changes}, {refreshed} select state, count(*) as n from rf group by 1"
     out["step_changes"] = f"""with {static}, a as (select step, case when step = 's1' then 'd9' else definition end as definition, case when step = 's3' then ['s2', 's5'] else depends_on end as depends_on from s where step <> 's4')
 select step as reference, 'step_removed' as kind, 'breaking' as severity from s where step not in (select step from a) union all select step, 'step_added', 'info' from a where step not in (select step from s)
 union all select s.step, 'step_definition_changed', 'review_required' from s join a using (step) where s.definition <> a.definition
@@ -496,15 +496,15 @@ union all select s.step || '<-' || x, 'dependency_added', 'info' from (select s.
 select definition as reference, 'definition_removed' as kind, 'breaking' as severity from b where definition not in (select definition from a) union all select definition, 'definition_added', 'info' from a where definition not in (select definition from b)
 union all select definition, 'definition_kind_changed', 'review_required' from a join b using (definition) where a.kind <> b.kind union all select definition, 'definition_content_changed', 'review_required' from a join b using (definition) where a.content <> b.content
 union all select definition, 'definition_name_changed', 'info' from a join b using (definition) where a.name <> b.name"""
-    out["packet_diff"] = f"""with {fx.PACKETS.sql('p')} select coalesce(l.section, r.section) as section, coalesce(l.id, r.id) as id, case when l.id is null then 'added' when r.id is null then 'removed' else 'changed' end as change
+    out["packet_diff"] = f"""with {mk.PACKETS.sql('p')} select coalesce(l.section, r.section) as section, coalesce(l.id, r.id) as id, case when l.id is null then 'added' when r.id is null then 'removed' else 'changed' end as change
 from (select * from p where side = 'left') l full join (select * from p where side = 'right') r on l.section = r.section and l.id = r.id where l.payload is distinct from r.payload"""
-    out["packet_impact"] = f"with {fx.PACKETS.sql('p')} select distinct id, id in (select id from p where side = 'right' and id in ('o1', 'j2')) as affected from p where side = 'left'"
+    out["packet_impact"] = f"with {mk.PACKETS.sql('p')} select distinct id, id in (select id from p where side = 'right' and id in ('o1', 'j2')) as affected from p where side = 'left'"
     out["upstream_trace"] = f"with recursive {e}, {_TRACE_SQL.format(most=12)} select distinct s.depth + 1 as depth, e.source, e.target, e.relation, e.state from seen s join e on e.target = s.node"
     out["upstream_origins"] = f"with recursive {e}, {_TRACE_SQL.format(most=12)} select node from seen where node not in (select target from e)"
     out["upstream_truncated"] = f"with recursive {e}, {_TRACE_SQL.format(most=2)} select (select count(*) from seen s join e on e.target = s.node where s.depth < 2) as hops, exists (select 1 from seen s join e on e.target = s.node where s.depth = 2) as truncated"
     out["focus_members"] = f"""with recursive {e}, {_TRACE_SQL.format(most=12)}, h as (select s.depth + 1 as depth, e.source, e.target from seen s join e on e.target = s.node), u as (select source as node, depth, 'upstream' as r from h union all select target, depth - 1, 'consumer' from h union all select 'rep.best', 0, 'start')
 select node, min(depth)::int as depth, string_agg(distinct r, ',' order by r) as reasons from u group by 1"""
-    out["one_hop"] = f"with {catalog} select distinct object from (select 'nation' as object union all select to_object from rels where object = 'nation' union all select object from rels where to_object = 'nation')"
+    out["one_hop"] = f"with {catalog} select distinct object from (select 'sup_2' as object union all select to_object from rels where object = 'sup_2' union all select object from rels where to_object = 'sup_2')"
     out["table_lineage"] = f"""with {static} select distinct w.source, w.target, d.name as via, w.state, w.unit, w.role from w join d using (definition) where w.state <> 'rejected'
 union select c.target, m.target, d.name, case when 'review_required' in (c.state, m.state) then 'review_required' when 'draft' in (c.state, m.state) then 'draft' else 'validated' end, m.materialization, 'unknown' from m join c using (definition) join d using (definition) where m.state <> 'rejected' and c.state <> 'rejected' and c.operation = 'read'"""
     norm_ref = lambda c: f"lower(trim(regexp_replace(translate({c}, '[]\"`', ''), '\\s*\\.\\s*', '.', 'g')))"
@@ -515,26 +515,26 @@ union select definition, {node('m.target')}, 'materializes_as', state from m whe
 select step, row_number() over (order by layer, position, step)::int as place, layer::int as layer, name, coalesce((select string_agg(target, ',' order by claim) from c where c.definition = s.definition and operation = 'call' and state <> 'rejected'), '') as calls from s join m2 using (step) join d using (definition)"""
     cols = ", ".join(f"coalesce((select count(*) from {src} x where x.definition = d.definition and x.state = '{s}'), 0) as {k}_{s}" for k, src in (("claims", "c"), ("materializations", "m"), ("units", "(select distinct unit, definition, state from w)")) for s in lineage.STATES)
     out["lineage_status"] = f"with {static} select definition, name, analysis as analysis_state, {cols} from d"
-    out["runtime_closure"] = f"""with recursive {fx.RUNTIME.sql('v')}, r as (select 'p1' as call_id union select u from (select call_id, unnest(consumes) as u from v) x join r using (call_id))
+    out["runtime_closure"] = f"""with recursive {mk.RUNTIME.sql('v')}, r as (select 'p1' as call_id union select u from (select call_id, unnest(consumes) as u from v) x join r using (call_id))
 select 'call' as kind, call_id as name from r union all select distinct 'origin', i from (select call_id, kind, unnest(inputs) as i from v) x join r using (call_id) where x.kind in ('sql', 'mongo')"""
-    out["runtime_violations"] = f"""with {fx.BROKEN.sql('v')}, u as (select call_id, sequence, unnest(consumes) as used from v), g as (select call_id as used, min(sequence) as pos, max(case when status = 'succeeded' then 1 else 0 end) as ok from v group by 1)
-select 'sequence_contiguous' as rule, call_id || ':' || sequence as key from v where sequence not between 1 and (select count(*) from v) or sequence in (select sequence from v group by 1 having count(*) > 1) union all select 'call_unique', call_id from v group by 2 having count(*) > 1
+    out["runtime_violations"] = f"""with {mk.BROKEN.sql('v')}, u as (select call_id, sequence, unnest(consumes) as used from v), g as (select call_id as used, min(sequence) as pos, max(case when status = 'succeeded' then 1 else 0 end) as ok from v group by 1)
+select distinct 'sequence_contiguous' as rule, call_id || ':' || sequence as key from v where sequence not between 1 and (select count(*) from v) or sequence in (select sequence from v group by 1 having count(*) > 1) union all select 'call_unique', call_id from v group by 2 having count(*) > 1
 union all select case when pos is null then 'consumes_unknown' when pos >= sequence then 'consumes_later' else 'consumes_failed' end, call_id || '>' || used from u left join g using (used) where pos is null or pos >= sequence or ok = 0"""
-    scope = ", ".join([fx.SCOPE_OBJECTS.sql("o"), fx.ZONES.sql("z"), fx.CHANGED.sql("ch")])
+    scope = ", ".join([mk.SCOPE_OBJECTS.sql("o"), mk.ZONES.sql("z"), mk.CHANGED.sql("ch")])
     out["workspace_scope"] = f"""with {scope} select system, graph, area, schema_name, object, (select string_agg(distinct zone, ',' order by zone) from z where z.graph = o.graph and z.object = o.object) as zones from o
-where schema_name in ('dbo', 'crm') and exists (select 1 from z where z.graph = o.graph and z.object = o.object)"""
+where schema_name in ('dbo', 'crm') and system in ('erp', 'crm') and exists (select 1 from z where z.graph = o.graph and z.object = o.object)"""
     out["workspace_impact"] = f"""with {scope} select 'area' as kind, area as name, count(*) as changes from ch join (select distinct graph, schema_name, area from o where area is not null) using (graph, schema_name) group by 2
 union all select 'zone', zone, count(*) from ch join z using (graph, object) group by 2"""
     out["knowledge_budget"] = """with k as (select format('k{:06d}', doc_id) as id, doc_id % 5 as rank, doc_id % 97 = 3 as explicit, length(text) as n from documents where length(text) > 0), b as (select *, coalesce(sum(n) over (order by explicit desc, rank desc, id rows between unbounded preceding and 1 preceding), 0) as before from k)
 select id, least(n, 24000 - before)::bigint as characters, 24000 - before < n as truncated from b where before < 24000"""
     out["context_fields_topn"] = f"""with {catalog}, h as (select *, case when field like '%name%' or field like '%price%' then length(field) else 0 end as score from fields)
 select object, field, place::int as place from (select *, row_number() over (partition by object order by score > 0 desc, score desc, is_primary_key desc, position, field) as place from h) where place <= 3"""
-    sem = ", ".join([catalog, fx.DATASETS.sql("ds"), fx.MODEL_FIELDS.sql("mf")])
+    sem = ", ".join([catalog, mk.DATASETS.sql("ds"), mk.MODEL_FIELDS.sql("mf")])
     out["semantic_bindings"] = f"""with {sem}, a as (select namespace || '.' || object as target, object, unnest(['hive.' || namespace || '.' || object, namespace || '.' || object, object]) as alias, unnest([1, 2, 3]) as tier from objects),
 b as (select dataset, tier, max(target) as target, max(object) as object, count(*) as n from ds join a on lower(source) = lower(alias) group by 1, 2), f as (select *, row_number() over (partition by dataset order by tier) as r from b)
 select dataset, '' as field, target, tier from f where r = 1 and n = 1
 union all select mf.dataset, mf.field, fields.field, 0 from mf join f on f.dataset = mf.dataset and r = 1 and n = 1 join fields on fields.object = f.object and lower(fields.field) = lower(replace(expression, '"', ''))"""
-    er = fx.CANDIDATES.sql("c")
+    er = mk.CANDIDATES.sql("c")
     out["er_find_modes"] = f"""with {er}, l as (select * from c where revision = 'r2' and status <> 'rejected'), s as (select * from l where status = 'reviewed'), r as (select * from l where status = 'candidate')
 select 'confirmed' as mode, candidate, 'confirmed' as usage from s union all select 'candidates', candidate, 'exploratory_only' from r union all select 'confirmed_then_candidates', candidate, 'confirmed' from s
 union all select 'confirmed_then_candidates', candidate, 'exploratory_only' from r where not exists (select 1 from s where s.left_field = r.left_field and s.right_field = r.right_field)"""

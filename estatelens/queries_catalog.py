@@ -38,7 +38,7 @@ _F2 = "select namespace, 'sup_' || substr(parent_id, 8) as object, label as fiel
 _R1 = "select namespace, name as object, 'fk_' || name as name, array('f_0') as from_fields, namespace as to_namespace, name as to_object, array('f_1') as to_fields from {objects} where id like '%1' or id like '%2'"
 _R2 = "select namespace, name as object, 'fk_' || name as name, array('f_' || substr(id, 8)) as from_fields, namespace as to_namespace, name as to_object, array(case when id like '%3' then 'f_' || (cast(substr(id, 8) as int) + 50) else 'f_1' end) as to_fields from {objects} where id like '%2' or id like '%3'"
 _A = "select namespace || '.' || object || '.' || field as reference, case when position % 3 = 0 then 'draft' else 'validated' end as state from {f1} where position % 4 <> 1 union all select namespace || '.' || object, 'validated' from {o1}"
-_C = "select 'r' || object || field as id, namespace || '.' || object as from_object, field as from_field, namespace || '.' || object as to_object, 'f_' || (cast(substr(field, 3) as int) + 50) as to_field, case when position % 2 = 0 then 'validated' else 'draft' end as state from {f1}"
+_C = "select 'r' || object || field as id, namespace || '.' || object as from_object, field as from_field, namespace || '.' || object as to_object, coalesce(lead(field) over (partition by namespace, object order by cast(substr(field, 3) as int)), field || 'x') as to_field, case when position % 2 = 0 then 'validated' else 'draft' end as state from {f1}"
 
 
 def _versions(spark, sf_dir):

@@ -362,6 +362,25 @@ def test_engine_workspaces_and_semantics(spark, tmp_path):
     e.graphs.build("g", fx.OBJECTS.df(spark), fx.FIELDS.df(spark), fx.RELATIONSHIPS.df(spark))
     found = e.searches.workspace(spark.createDataFrame([("g", "orders")], "graph string, object_id string"), "orders")
     assert [r.label for r in found.collect()] == ["g:orders"]
+    # a hit in scope behind 150 better ones out of it, in every mode
+    many = fx.OBJECTS.df(spark).limit(0).unionByName(spark.createDataFrame([("main", f"sales_{i:03}", "table", "", "sales orders net") for i in range(150)] + [("main", "zz", "table", "", "net")], fx.OBJECTS.df(spark).schema))
+    e.graphs.build("big", many, fx.FIELDS.df(spark).limit(0), fx.RELATIONSHIPS.df(spark).limit(0))
+    wide = spark.createDataFrame([("big", "zz"), ("g", "orders")], "graph string, object_id string")
+    assert [r.label for r in e.searches.workspace(wide, "sales orders net").collect()] == ["g:orders", "big:zz"]
+    docs = many.select(F.lit("big").alias("graph"), F.concat(F.lit("object:"), "object").alias("id"), F.col("object").alias("object_id"), F.lit(None).cast("string").alias("field_id"), F.col("object").alias("label"), F.col("description").alias("text"))
+    for mode in ("bm25", "vector", "hybrid"):
+        found = search.workspace_search(search.hashed_embedding(docs), wide, "sales orders net", 20, mode).collect()
+        assert [(r.graph, r.object_id) for r in found] == [("big", "zz")] and found[0].sources == ("bm25+vector" if mode == "hybrid" else mode)
+    with pytest.raises(ValueError, match="mode"):
+        search.workspace_search(docs, wide, "net", mode="exact")
+    # contexts: validated candidates are joins, others are not, and what is left out is counted
+    made = [("c1", "orders", "part", ["o_orderkey"], ["p_partkey"], "validated", "profile"), ("c2", "orders", "region", ["o_orderkey"], ["r_regionkey"], "draft", "profile")]
+    candidates = spark.createDataFrame(made, "id string, source string, target string, from_fields array<string>, to_fields array<string>, state string, origin string")
+    plain, packet = e.contexts.graph("g", "orders"), e.contexts.graph("g", "orders", candidates=candidates)
+    fresh = {j["id"] for j in packet.joins} - {j["id"] for j in plain.joins}
+    assert "c1" in fresh and "c2" not in fresh and {j["kind"] for j in packet.joins} == {"foreign_key", "candidate"}
+    e.contexts.JOINS = 1
+    assert e.contexts.graph("g", "orders", candidates=candidates).omitted["joins"] > packet.omitted["joins"]
     (tmp_path / "m.json").write_text(json.dumps(_ossie()))
     counts = e.semantics.import_files("shop", "ossie", str(tmp_path / "m.json"), "g")
     assert counts["bindings"] == 2 and e.semantics.list("g") == ["shop"] and e.semantics.list("other") == []

@@ -133,7 +133,8 @@ def test_failed_calls_are_not_traced(spark):
 
 
 def test_reference_search(spark):
-    assert [r.id for r in core.lineage_find(spark, "").collect()] == ["d2", "d1"]
+    nodes = fx.DEFINITIONS.df(spark).select(F.col("definition").alias("id"), F.substring_index("name", ".", -1).alias("name"), "kind", F.col("name").alias("reference"))
+    assert [r.id for r in lineage.find_references(nodes, "[ETL] . build_sales").collect()] == ["d2", "d1"]
 
 
 def test_unknown_rules_and_modes_are_refused(spark):
@@ -146,7 +147,13 @@ def test_unknown_rules_and_modes_are_refused(spark):
 def test_profiles_of_mixed_columns(spark):
     df = spark.sql("select * from values (1, 'abc', timestamp'2024-01-02', 2.5d), (10, 'b', null, -1d), (9, null, timestamp'2024-01-01', 2.5d) as t(i, s, t, d)")
     got = {r.column_name: r for r in profile.profile_columns(df, ["i", "s", "t", "d"]).collect()}
-    assert [(got[c].min_value, got[c].max_value, got[c].distinct_count, got[c].min_length) for c in "istd"] == [("1.0", "10.0", 3, None), ("abc", "b", 2, 1), ("2024-01-01 00:00:00", "2024-01-02 00:00:00", 2, None), ("-1.0", "2.5", 2, None)]
+    assert [(got[c].min_value, got[c].max_value, got[c].distinct_count, got[c].min_length) for c in "istd"] == [("1", "10", 3, None), ("abc", "b", 2, 1), ("2024-01-01 00:00:00", "2024-01-02 00:00:00", 2, None), ("-1.0", "2.5", 2, None)]
+
+
+def test_whole_numbers_are_shown_as_they_are(spark):
+    df = spark.sql("select * from values (9007199254740993L, cast(7 as tinyint), 1e3d), (9007199254740992L, cast(10 as tinyint), 12345678.5d), (-1L, null, null) as t(a, b, c)")
+    got = {r.column_name: (r.min_value, r.max_value, r.distinct_count) for r in profile.profile_columns(df, ["a", "b", "c"]).collect()}
+    assert got == {"a": ("-1", "9007199254740993", 3), "b": ("7", "10", 2), "c": ("1000.0", "1.23456785E7", 2)}
 
 
 def test_all_pairs_equal_single_probes(spark, sf_dir):
