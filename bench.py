@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from estatelens import queries as core
 
-HEADLINE = ["probe_lineitem_orders", "profile_columns_orders", "profile_columns_part", "discover_relationships", "key_pattern_customer_name", "tokenize_documents", "bm25_documents", "vector_topk", "rrf_hybrid", "object_rollup", "lexical_search_catalog", "schema_changes", "upstream_trace", "table_lineage", "runtime_closure", "knowledge_budget", "network_edges", "trace_hops", "item_violations", "event_violations", "review_lineage", "refreshed_counts", "refreshed_lineage_counts", "retrieval_documents"]
+HEADLINE = ["probe_lineitem_orders", "profile_columns_orders", "profile_columns_part", "discover_relationships", "key_pattern_customer_name", "tokenize_documents", "bm25_documents", "vector_topk", "rrf_hybrid", "object_rollup", "lexical_search_catalog", "schema_changes", "upstream_trace", "table_lineage", "runtime_closure", "knowledge_budget", "network_edges", "trace_hops", "item_violations", "event_violations", "review_lineage", "refreshed_counts", "refreshed_lineage_counts", "retrieval_documents", "postings_search_many", "workspace_search_bm25", "write_markers", "write_units_proposed", "closure_calls"]
 
 
 def main() -> None:

@@ -511,6 +511,9 @@ union select c.target, m.target, d.name, case when 'review_required' in (c.state
     node = lambda c: f"coalesce((select d.definition from d where lower(d.name) = {norm_ref(c)} or d.definition = {norm_ref(c)}), 'external:' || {norm_ref(c)})"
     out["lineage_network"] = f"""with {static} select distinct {node('c.target')} as source, definition as target, 'reads_from' as relation, state from c where state <> 'rejected' and operation = 'read'
 union select definition, {node('m.target')}, 'materializes_as', state from m where state <> 'rejected' union select {node('w.source')}, {node('w.target')}, 'derived_from', state from w where state <> 'rejected'"""
+    out["lineage_find"] = f"""with {static}, nn as (select definition as id, split_part(name, '.', 2) as nm, name as ref, string_split_regex(lower(name || ' ' || split_part(name, '.', 2) || ' ' || kind), '[^a-z0-9]+') as ts from d),
+rk as (select id, case when 'etl.load_7' in (nm, ref) then 0 when ends_with(ref, '.etl.load_7') or ends_with(nm, '.etl.load_7') then 1 when contains(nm, 'etl.load_7') then 2 when contains(ref, 'etl.load_7') then 3 else 4 end::int as rank_class, len(list_filter(['etl', 'load', '7'], lambda t: list_contains(ts, t)))::int as matched, length(nm) as size, ref from nn)
+select id, rank_class, matched from rk where rank_class < 4 or matched > 0 order by rank_class, matched desc, size, ref, id limit 20"""
     out["process_order"] = f"""with recursive {static}, l as (select step, 0 as layer from s where len(depends_on) = 0 union select s.step, l.layer + 1 from s join l on list_contains(s.depends_on, l.step)), m2 as (select step, max(layer) as layer from l group by 1)
 select step, row_number() over (order by layer, position, step)::int as place, layer::int as layer, name, coalesce((select string_agg(target, ',' order by claim) from c where c.definition = s.definition and operation = 'call' and state <> 'rejected'), '') as calls from s join m2 using (step) join d using (definition)"""
     cols = ", ".join(f"coalesce((select count(*) from {src} x where x.definition = d.definition and x.state = '{s}'), 0) as {k}_{s}" for k, src in (("claims", "c"), ("materializations", "m"), ("units", "(select distinct unit, definition, state from w)")) for s in lineage.STATES)

@@ -206,8 +206,13 @@ def retrieval_documents(spark, sf_dir):
 ASKED = "money alias about sup steel"
 
 
+def _toks(x: str) -> str:
+    """The SQL of a text's tokens."""
+    return "list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '' and not list_contains(['a', 'an', 'and', 'are', 'as', 'at', 'bei', 'by', 'das', 'der', 'die', 'ein', 'eine', 'for', 'from', 'für', 'in', 'is', 'mit', 'of', 'on', 'or', 'the', 'to', 'und', 'von', 'with'], t))".replace("(text,", f"({x},")
+
+
 def _vector_sql() -> str:
-    toks = "list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '' and not list_contains(['a', 'an', 'and', 'are', 'as', 'at', 'bei', 'by', 'das', 'der', 'die', 'ein', 'eine', 'for', 'from', 'für', 'in', 'is', 'mit', 'of', 'on', 'or', 'the', 'to', 'und', 'von', 'with'], t))"
+    toks = _toks("text")
     return f"""tk as (select id, unnest({toks}) as t from dd union all select '?', unnest(['money', 'alias', 'about', 'sup', 'steel'])), pl as (select id, ('0x' || substr(md5(t), 1, 8))::bigint % {search.WIDTH} as p, count(*) as c from tk group by 1, 2),
 ln as (select id, sqrt(sum(c * c)) as l from pl group by 1), sc as (select a.id, round(sum(a.c / la.l * (b.c / lb.l)), 6) as score from pl a join ln la on la.id = a.id join pl b on b.id = '?' and b.p = a.p join ln lb on lb.id = '?' where a.id <> '?' group by 1)"""
 
@@ -230,8 +235,25 @@ def _searched(mode: str):
     return run
 
 
+_TERMS = ", ".join(f"'{t}'" for t in ASKED.split())
+_LISTS = f"""{_DOCS}, {_vector_sql()}, tb as (select id, label, {_toks("label || ' ' || text")} as ts from dd), qb as (select unnest([{_TERMS}]) as term), sb as (select count(*) as docs, avg(len(ts)) as mean from tb),
+pb as (select id, term, count(*) as tf from (select id, unnest(ts) as term from tb) group by 1, 2), fb as (select term, count(*) as df from pb group by 1),
+bs as (select id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len(ts) / greatest(mean, 1.0)))), 9) as score from qb join pb using (term) join fb using (term) join tb using (id), sb group by 1),
+l_bm25 as (select id, score, rank from (select id, score, row_number() over (order by score desc, lower(label), id) as rank from bs join tb using (id)) where rank <= 50),
+l_vector as (select id, score, rank from (select d.id, coalesce(score, 0) as score, row_number() over (order by coalesce(score, 0) desc, d.id) as rank from dd d left join sc using (id)) where rank <= 50),
+l_hybrid as (select id, round(sum(1 / (60 + rank)), 9) as score, list(distinct source) as sources from (select id, rank, 'bm25' as source from l_bm25 union all select id, rank, 'vector' from l_vector) group by 1 order by score desc, id limit 50)"""
+
+
+def _searched_sql(mode: str) -> str:
+    own = "sources" if mode == "hybrid" else f"['{mode}']"
+    return f"""with {_LISTS}, h as (select l.id, l.score, {own} as sources, object_id, field_id, list_filter({_toks('text')}, lambda t: list_contains([{_TERMS}], t)) as met from l_{mode} l join dd using (id)),
+r as (select *, row_number() over (partition by object_id order by score desc, field_id nulls first) as r from h)
+select object_id, greatest(1, round(max(score) * 1000000))::bigint as score, coalesce(string_agg(field_id, ',' order by r) filter (where r <= 8 and field_id is not null), '') as fields, array_to_string(list_sort(list_distinct(flatten(list(sources)))), '+') as sources,
+array_to_string(list_sort(list_distinct(flatten(list(met)))), ',') as matched from r group by object_id order by score desc, object_id limit 10"""
+
+
 for _mode in ("bm25", "vector", "hybrid"):
-    _query()(_searched(_mode))
+    _query(_searched_sql(_mode))(_searched(_mode))
 
 
 # workspaces
