@@ -23,6 +23,13 @@ def permuted(x, n, seed, back=False):
     return x
 
 
+def part(d):
+    """The part of its source that an id lies in."""
+    x = d % mixing.PRIME * mixing.A % mixing.PRIME
+    x = (x ^ x >> 13) * mixing.B % mixing.PRIME
+    return (x ^ x >> 11) % mixing.PARTS
+
+
 def mixed(docs):
     """(doc_id, text) of the mix of {doc_id: (text, source)}."""
     size = {d: len(WORD.findall(t)) for d, (t, _) in docs.items()}
@@ -50,7 +57,7 @@ def mixed(docs):
                 times[i] += 1
             left, q = left - n, q + 1
         first = 0
-        for d in sorted((d for d in docs if docs[d][1] == s), key=lambda d: (d % mixing.PARTS, d)):
+        for d in sorted((d for d in docs if docs[d][1] == s), key=lambda d: (part(d), d)):
             words = WORD.findall(docs[d][0])
             if not words:
                 out.append((d, docs[d][0]))
