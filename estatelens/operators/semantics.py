@@ -12,7 +12,7 @@ def bind(tables: dict[str, DataFrame], objects: DataFrame, fields: DataFrame, re
     """(id, kind, target) of an import's parts that name something of the catalog, and (level, code, source_reference) of the others.
 
     A dataset binds by its source, a field by an expression that is just a column of the bound table, a relationship by
-    a declared foreign key between the bound tables with the same fields.
+    the one declared foreign key between the bound tables with the same fields, spelt alike and in the same order.
     """
     d = tables["datasets"].select(F.col("id").alias("dataset"), "source", "model", "name", "source_reference")
     bound = scopes.dataset_bindings(d.select("dataset", "source"), objects, catalog).select("dataset", "object")
@@ -21,14 +21,19 @@ def bind(tables: dict[str, DataFrame], objects: DataFrame, fields: DataFrame, re
     ends = d.join(bound, "dataset").select("model", "name", "object")
     r = tables["relationships"]
     met = r.join(ends.select("model", F.col("name").alias("from_dataset"), F.col("object").alias("a")), ["model", "from_dataset"]).join(ends.select("model", F.col("name").alias("to_dataset"), F.col("object").alias("b")), ["model", "to_dataset"])
-    low = lambda c: F.transform(c, F.lower)
-    keys = relationships.select("name", F.concat_ws(".", "namespace", "object").alias("a"), F.concat_ws(".", "to_namespace", "to_object").alias("b"), low("from_fields").alias("x"), low("to_fields").alias("y"))
-    fk = met.select("id", "a", "b", low("from_fields").alias("x"), low("to_fields").alias("y")).join(keys, ["a", "b", "x", "y"]).groupBy("id").agg(F.count("*").alias("n"), F.max("name").alias("target")).where("n = 1")
+    keys = relationships.select("name", F.concat_ws(".", "namespace", "object").alias("a"), F.concat_ws(".", "to_namespace", "to_object").alias("b"), F.col("from_fields").alias("x"), F.col("to_fields").alias("y"))
+    named = met.select("id", "a", "b", F.col("from_fields").alias("x"), F.col("to_fields").alias("y")).join(keys, ["a", "b", "x", "y"]).groupBy("id").agg(F.count("*").alias("n"), F.max("name").alias("target"))
+    fk = named.where("n = 1")
     out = bound.select(F.col("dataset").alias("id"), F.lit("dataset").alias("kind"), F.col("object").alias("target"))
     out = out.union(f.select("field", F.lit("field"), F.col("column"))).union(fk.select("id", F.lit("relationship"), "target"))
     notes = None
     for kind in ("datasets", "fields", "relationships"):
-        left = tables[kind].join(out.select("id"), "id", "left_anti").select(F.lit("warning").alias("level"), F.lit(f"unbound_{kind[:-1]}").alias("code"), "source_reference")
+        code = F.lit(f"{kind[:-1]}_not_bound")
+        left = tables[kind].join(out.select("id"), "id", "left_anti")
+        if kind == "relationships":
+            left = left.join(named.where("n > 1").select("id", F.lit("relationship_binding_ambiguous").alias("several")), "id", "left")
+            code = F.coalesce("several", code)
+        left = left.select(F.lit("warning").alias("level"), code.alias("code"), "source_reference")
         notes = left if notes is None else notes.union(left)
     return out, tables["diagnostics"].union(notes)
 

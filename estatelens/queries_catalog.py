@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures as fx
 from . import generated as g
+from . import made
 from .operators import refresh, relationships, search, semantics, views, workspaces
 from .queries_estate import _ANN, _annotated
 from .sources import semantic
@@ -383,33 +383,39 @@ def knowledge_resolved(spark, sf_dir):
 
 # semantic imports
 
-_CUBES = {
-    "cubes/orders.json": json.dumps({"cubes": [{"name": "orders", "sql_table": "main.orders", "dimensions": [{"name": "key", "sql": "o_orderkey", "type": "number", "primary_key": True}, {"name": "buyer", "sql": "O_CUSTKEY"}, {"name": "double_price", "sql": "o_totalprice * 2"}], "measures": [{"name": "count", "type": "count"}, {"name": "paid", "type": "sum", "sql": "o_totalprice"}, {"name": "odd", "type": "median"}], "joins": [{"name": "clients", "sql": "{CUBE}.buyer = {clients.key}", "relationship": "many_to_one"}, {"name": "clients", "sql": "{CUBE}.a > {clients.b}"}, {"name": "ghosts", "sql": "{CUBE}.a = {ghosts.b}"}]}]}),
-    "cubes/others.json": json.dumps({"cubes": [{"name": "clients", "sql_table": "hive.main.customer", "dimensions": [{"name": "key", "sql": '"c_custkey"'}, {"name": "title", "sql": "c_name", "meta": 1}]}, {"name": "goods", "sql": "part", "dimensions": [{"name": "kind", "sql": "p_type"}, {"name": "none", "sql": "p_colour"}]}], "views": [{"name": "v"}]}),
-}
+_KEYED = "s_suppkey % 4 <> 2 and s_suppkey % 13 <> 4 and s_suppkey % 17 <> 5"
 
 
-def _cube(spark):
-    tables = semantic.read_import("shop", "cube", _CUBES).tables(spark)
-    keys = spark.createDataFrame([("main", "orders", "fk_orders_customer", ["BUYER"], "main", "customer", ["key"])], fx.RELATIONSHIPS.df(spark).schema)
-    return tables, semantics.bind(tables, fx.OBJECTS.df(spark), fx.FIELDS.df(spark), keys, "hive")
+def _cube(spark, sf_dir):
+    """A cube for each object, in a file of its own, joined to another one; its parts bound to the objects and their keys."""
+    files = {}
+    for (k,) in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").collect():  # files of a repository of models
+        dimensions = [{"name": "order_key", "sql": "order_key", "primary_key": True}, {"name": "title", "sql": "NAME"}, {"name": "double_price", "sql": "retail_price * 2"}, {"name": "ref_id", "sql": '"ref_id"', **({"meta": 1} if k % 5 == 0 else {})}]
+        joins = [{"name": f"c{(k + 1) // 2}", "sql": f"{{CUBE}}.ref_id = {{c{(k + 1) // 2}.order_key}}"}] if k > 1 else []
+        cube = {"name": f"c{k}", "sql_table": ["main.sup_", "hive.main.sup_", "SUP_"][k % 3] + str(k), "dimensions": dimensions, "measures": [{"name": "count", "type": "count"}], "joins": joins}
+        files[f"cubes/c{k}.json"] = json.dumps({"cubes": [cube]})
+    tables = semantic.read_import("shop", "cube", files).tables(spark)
+    return tables, semantics.bind(tables, *[t.df(spark, sf_dir) for t in (made.OBJECTS, made.FIELDS, made.RELATIONSHIPS)], "hive")
 
 
-@_query("""with f(d, n, t) as (values ('orders', 'key', 'o_orderkey'), ('orders', 'buyer', 'o_custkey'), ('clients', 'key', 'c_custkey'), ('clients', 'title', 'c_name'), ('goods', 'kind', 'p_type')), d(n, t) as (values ('orders', 'main.orders'), ('clients', 'main.customer'), ('goods', 'main.part'))
-select 'model:shop/dataset:' || n as id, 'dataset' as kind, t as target from d union all select 'model:shop/dataset:' || d || '/field:' || n, 'field', t from f union all select 'model:shop/relationship:orders_to_clients', 'relationship', 'fk_orders_customer'""")
+@_query(f"""with f(n, t) as (values ('order_key', 'order_key'), ('title', 'name'), ('ref_id', 'ref_id')) select 'model:shop/dataset:c' || s_suppkey as id, 'dataset' as kind, 'main.sup_' || s_suppkey as target from supplier
+union all select 'model:shop/dataset:c' || s_suppkey || '/field:' || n, 'field', t from supplier, f
+union all select 'model:shop/relationship:c' || s_suppkey || '_to_c' || (s_suppkey + 1) // 2, 'relationship', 'fk_' || s_suppkey from supplier where s_suppkey > 1 and {_KEYED}""")
 def semantic_cube_bindings(spark, sf_dir):
-    return _cube(spark)[1][0]
+    return _cube(spark, sf_dir)[1][0]
 
 
-@_query("""select * from (values ('warning', 'measure_expression_opaque', 'cubes/orders.json#/cubes/0/measures/2'), ('warning', 'preserved_relationship', 'cubes/orders.json#/cubes/0/joins/0/relationship'), ('warning', 'join_preserved', 'cubes/orders.json#/cubes/0/joins/1'), ('error', 'join_target_missing', 'cubes/orders.json#/cubes/0/joins/2'),
- ('warning', 'unknown_key', 'cubes/others.json#/cubes/0/dimensions/1/meta'), ('warning', 'preserved_views', 'cubes/others.json#/views'), ('warning', 'unbound_field', 'cubes/orders.json#/cubes/0/dimensions/2'), ('warning', 'unbound_field', 'cubes/others.json#/cubes/1/dimensions/1')) v(level, code, source_reference)""")
+@_query(f"""select 'warning' as level, 'field_not_bound' as code, 'cubes/c' || s_suppkey || '.json#/cubes/0/dimensions/2' as source_reference from supplier
+union all select 'warning', 'unknown_key', 'cubes/c' || s_suppkey || '.json#/cubes/0/dimensions/3/meta' from supplier where s_suppkey % 5 = 0
+union all select 'warning', 'relationship_not_bound', 'cubes/c' || s_suppkey || '.json#/cubes/0/joins/0' from supplier where s_suppkey > 1 and not ({_KEYED})""")
 def semantic_cube_diagnostics(spark, sf_dir):
-    return _cube(spark)[1][1]
+    return _cube(spark, sf_dir)[1][1]
 
 
-@_query("select * from (values ('dataset', 3, 3), ('field', 7, 5), ('metric', 3, 0), ('model', 1, 0), ('relationship', 1, 1)) v(kind, parts, bound)")
+@_query(f"""select 'dataset' as kind, count(*) as parts, count(*) as bound from supplier union all select 'field', 4 * count(*), 3 * count(*) from supplier union all select 'metric', count(*), 0 from supplier union all select 'model', 1, 0
+union all select 'relationship', count(*), count(*) filter (where {_KEYED}) from supplier where s_suppkey > 1""")
 def semantic_cube_summary(spark, sf_dir):
-    tables, (bound, _) = _cube(spark)
+    tables, (bound, _) = _cube(spark, sf_dir)
     return semantics.summary(semantics.targets(tables), bound)
 
 

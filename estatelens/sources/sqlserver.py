@@ -36,8 +36,11 @@ def quoted(name: str) -> str:
     return "[" + name.replace("]", "]]") + "]"
 
 
-def parse_target(url: str, database: str | None = None) -> dict[str, str]:
-    """JDBC options of mssql+pymssql://user:password@host[:port]/database; a given database comes first."""
+def parse_target(url: str, database: str | None = None, any_certificate: bool = False) -> dict[str, str]:
+    """JDBC options of mssql+pymssql://user:password@host[:port]/database; a given database comes first.
+
+    The server's certificate must be sound unless any_certificate is set.
+    """
     parts = urlsplit(url)
     if parts.scheme != "mssql+pymssql":
         raise ValueError("the URL must be mssql+pymssql://")
@@ -47,13 +50,13 @@ def parse_target(url: str, database: str | None = None) -> dict[str, str]:
     if not name:
         raise ValueError("a database is needed")
     return {
-        "url": f"jdbc:sqlserver://{parts.hostname}:{parts.port or PORT};databaseName={name};applicationIntent=ReadOnly;loginTimeout={LOGIN_SECONDS};encrypt=true;trustServerCertificate=true",
+        "url": f"jdbc:sqlserver://{parts.hostname}:{parts.port or PORT};databaseName={name};applicationIntent=ReadOnly;loginTimeout={LOGIN_SECONDS};encrypt=true;trustServerCertificate={str(any_certificate).lower()}",
         "user": unquote(parts.username), "password": unquote(parts.password), "queryTimeout": str(QUERY_SECONDS),
     }
 
 
-def jdbc(spark: SparkSession, url: str, database: str | None = None) -> Reader:
-    options = parse_target(url, database)
+def jdbc(spark: SparkSession, url: str, database: str | None = None, any_certificate: bool = False) -> Reader:
+    options = parse_target(url, database, any_certificate)
     return lambda query: spark.read.format("jdbc").options(**options).option("query", query).load()
 
 

@@ -116,7 +116,7 @@ def test_ossie(spark):
 
     bound, notes = semantics.bind(got.tables(spark), fx.OBJECTS.df(spark), fx.FIELDS.df(spark), keys, "hive")
     assert {(r.kind, r.target) for r in bound.collect()} == {("dataset", "main.orders"), ("dataset", "main.customer"), ("field", "o_orderkey"), ("field", "o_custkey"), ("field", "c_custkey"), ("relationship", "fk")}
-    assert notes.where("code like 'unbound%'").count() == 2
+    assert notes.where("code like '%_not_bound'").count() == 2
     with pytest.raises(ValueError):
         semantic.read_import("x", "ossie", {"a": json.dumps({"version": "1"})})
 
@@ -394,3 +394,20 @@ def test_engine_workspaces_and_semantics(spark, tmp_path):
 def test_sources_of_usable_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [float("nan"), 0.0]), (4, [1.0])], "vec_id int, embedding array<double>")
     assert [r.vec_id for r in retrieval.vector_topk(v, [1.0, 0.5]).collect()] == [1, 2]
+
+
+def test_relationships_bind_to_the_one_key_spelt_alike(spark):
+    from estatelens.operators import semantics
+
+    objects = spark.createDataFrame([("main", "a"), ("main", "b")], "namespace string, object string")
+    fields = spark.createDataFrame([("main", t, c) for t in "ab" for c in ("k", "K2")], "namespace string, object string, field string")
+    rels = spark.createDataFrame([("main", "a", "fk", ["k"], "main", "b", ["k"]), ("main", "b", "f1", ["K2"], "main", "a", ["k"]), ("main", "b", "f2", ["K2"], "main", "a", ["k"])], "namespace string, object string, name string, from_fields array<string>, to_namespace string, to_object string, to_fields array<string>")
+    tables = {
+        "datasets": spark.createDataFrame([("da", "a", "m", "A", "ra"), ("db", "b", "m", "B", "rb"), ("dc", "c", "m", "C", "rc")], "id string, source string, model string, name string, source_reference string"),
+        "fields": spark.createDataFrame([("fa", "da", "k", "rf")], "id string, dataset string, expression string, source_reference string"),
+        "relationships": spark.createDataFrame([("one", "m", "A", "B", ["k"], ["k"], "r1"), ("case", "m", "A", "B", ["K"], ["k"], "r2"), ("two", "m", "B", "A", ["K2"], ["k"], "r3"), ("lost", "m", "A", "C", ["k"], ["k"], "r4")], "id string, model string, from_dataset string, to_dataset string, from_fields array<string>, to_fields array<string>, source_reference string"),
+        "diagnostics": spark.createDataFrame([], "level string, code string, source_reference string"),
+    }
+    bound, notes = semantics.bind(tables, objects, fields, rels, "cat")
+    assert {(r.id, r.target) for r in bound.where("kind = 'relationship'").collect()} == {("one", "fk")}
+    assert {(r.code, r.source_reference) for r in notes.collect()} == {("dataset_not_bound", "rc"), ("relationship_not_bound", "r2"), ("relationship_binding_ambiguous", "r3"), ("relationship_not_bound", "r4")}
