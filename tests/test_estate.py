@@ -241,6 +241,15 @@ def test_states_of_annotations():
             review.selected_states(**bad)
 
 
+def test_tied_decisions_on_relationships(spark):
+    edges = spark.createDataFrame([(i, "relationship_candidate", "draft", None) for i in "abc"], "id string, type string, state string, reason string")
+    rows = [("a", 1, "reject", "a claim"), ("a", 1, "reject", "unknown"), ("a", 0, "validate", "A"), ("b", 2, "reject", "x"), ("b", 2, "validate", "a"), ("b", None, "validate", "a"), ("c", -1, "reject", "x"), ("c", 3, "validate", "z")]
+    want = {("a", "rejected", "a claim"), ("b", "rejected", "x"), ("c", "validated", "z")}
+    for order in (rows, rows[::-1]):
+        decisions = spark.createDataFrame(order, "id string, seq int, decision string, reason string").coalesce(1)
+        assert {(r.id, r.state, r.reason) for r in review.decide_relationships(edges, decisions).collect()} == want
+
+
 def test_knowledge_evidence(spark):
     docs = spark.createDataFrame([("k1", "r1")], "id string, revision string")
     cites = spark.createDataFrame([("a", "knowledge_document", "k1@r1"), ("b", "knowledge_document", "k1@old"), ("c", "comment", "k1@r1"), ("d", "comment", "see knowledge_document k1"), ("e", "comment", "line 4")], "id string, source string, reference string")
