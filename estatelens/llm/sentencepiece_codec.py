@@ -19,6 +19,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from .common import arrow_mapped, slices
 
 MARK = "▁"
 #: Bytes of text that are cut at once: a word takes some twenty times its bytes as a Python text.
-SLICE = 4 << 20
-#: Bounds of what is remembered: pairs of pieces by a worker; words and their characters by a task.
-MEMORY, WORDS, CHARACTERS = 1_000_000, 800_000, 16_000_000
+SLICE = 1 << 20
+#: Bounds of what is remembered, some 130 MB in all: pairs of pieces by a worker; words and their characters by a task.
+MEMORY, WORDS, CHARACTERS = 400_000, 250_000, 4_000_000
 
 
 class TrieEncoder:
@@ -49,6 +50,7 @@ class TrieEncoder:
         self.fits: dict[tuple[str, str], bool] = {}
         # pieces that merging reaches from their characters
         self.reached = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        self.same = {p: p for p in self.reached}
         # ends of such pieces; True for whole ones
         self.ends = {p[i:]: False for p in self.reached for i in range(len(p))} | dict.fromkeys(self.reached, True)
 
@@ -72,17 +74,23 @@ class TrieEncoder:
         if known is None:
             if len(self.fits) > MEMORY:
                 self.fits.clear()
+            # the vocabulary's own texts are kept, not cuttings of words
+            key = (self.same.get(left, left), self.same.get(right, right))
             known = self.fits[key] = self.merge(left + right) == [left, right]
         return known
 
     def encode(self, words: list[str], flat: array) -> list[int]:
-        """Append the ids of sorted distinct words to flat and give their number for each; shared prefixes are worked out once."""
+        """Append the ids of sorted distinct words to flat and give their number for each; shared prefixes are worked out once.
+
+        Blanks in words are marks.
+        """
         sizes = []
         find = self.ids.get
         # state[d]: the last piece of the encoding of the current path's first d characters
         state: list[str] = [""]
         path, end_of, fits, follows = "", self.ends.get, self.fits.get, self.follows
         for word in words:
+            word = word.replace(" ", MARK)
             shared = 0
             for x, y in zip(path, word, strict=False):
                 if x != y:
@@ -97,7 +105,8 @@ class TrieEncoder:
                         state.append(piece)
                         break
                     before = state[a]
-                    if fits((before, piece)) or follows(before, piece):
+                    fit = fits((before, piece))
+                    if fit or (fit is None and follows(before, piece)):
                         state.append(piece)
                         break
                     # the next longer piece that may be the last one; a character alone always may
@@ -124,14 +133,15 @@ class TrieEncoder:
         return sizes
 
     def cut(self, text: str) -> list[str]:
-        return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
+        """Words with blanks for marks, which take a byte a character where a mark would make it two."""
+        return _CUT.findall(" " + text.replace(MARK, " ")) if text else []
 
 
-_CUT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+_CUT = re.compile("\n| +[^ \n]*|[^ \n]+")
 
 
 class _Memory:
-    """Ids of words that a task has seen before; the older half of them is forgotten when there are too many."""
+    """Ids of words that a task has seen before; the half of them that is used least is forgotten when there are too many."""
 
     def __init__(self, path: str):
         self.coder = TrieEncoder(path)
@@ -143,6 +153,7 @@ class _Memory:
         self.known, self.characters = {}, 0
         # ids of all known words one after the other, and where each word's lie
         self.flat, self.start, self.size = array("i"), array("q"), array("q")
+        self.uses = np.zeros(0, np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         """The place in start and size of each word."""
@@ -156,12 +167,18 @@ class _Memory:
             self.size.append(n)
             self.characters += len(w)
             at += n
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        uses = np.bincount(codes, minlength=len(self.size))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return codes
 
     def forget(self) -> None:
-        kept = list(self.known)[len(self.known) // 2 + 1 :]
-        old, start = self.flat, self.start
-        places = [self.known[w] for w in kept]
+        # a place is also the word's rank in known
+        places = np.sort(np.argsort(self.uses, kind="stable")[len(self.known) // 2 + 1 :])
+        kept = list(compress(self.known, np.isin(np.arange(len(self.known)), places, assume_unique=True).tolist()))
+        self.uses = self.uses[places] // 2
+        old, start, places = self.flat, self.start, places.tolist()
         self.size = array("q", [self.size[i] for i in places])
         self.flat, self.start = array("i"), array("q")
         for i, n in zip(places, self.size, strict=True):

@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 import sentencepiece
@@ -42,6 +45,42 @@ def test_forgotten_words_are_worked_out_again(monkeypatch):
         assert len(memory.known) <= 16 and memory.characters == sum(map(len, memory.known))
 
 
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "WORDS", 50)
+    memory = sentencepiece_codec._Memory(queries.tokenizer(MODEL))
+    for i in range(20):
+        memory.of([" often", " again"] * 3 + [f" once{i}x{k}" for k in range(20)])
+        assert {" often", " again"} <= set(memory.known) and len(memory.uses) == len(memory.size) == len(memory.known)
+
+
+_PEAK = """
+import pyarrow as pa
+from estatelens.llm import queries, sentencepiece_codec
+
+def batches():
+    for b in range(4):
+        texts = [" ".join(f"wo{b}r{r}d{k}é" for k in range(400)) for r in range(500)]
+        yield pa.record_batch([pa.array(range(500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+
+def resident(key):
+    return next(int(x.split()[1]) >> 10 for x in open("/proc/self/status") if x.startswith(key))
+
+path = queries.tokenizer("piece_bpe_32k.model")
+sentencepiece_codec._MEMORY[path] = sentencepiece_codec._Memory(path)
+before = resident("VmRSS")
+rows = sum(x.num_rows for x in sentencepiece_codec._encoded(path)(batches()))
+print(rows, resident("VmHWM") - before)
+"""
+
+
+def test_a_worker_stays_small_over_many_distinct_words():
+    """800,000 distinct words; two workers and a heap of 1,800 MB share 3,000 MB in an executor."""
+    root = os.path.dirname(os.path.dirname(sentencepiece_codec.__file__.rpartition("/")[0]))
+    said = subprocess.run([sys.executable, "-c", _PEAK], capture_output=True, text=True, check=True, cwd=root, timeout=300)
+    rows, grown = map(int, said.stdout.split())
+    assert rows == 2000 and grown < 220
+
+
 def test_forgotten_pieces_are_merged_again(monkeypatch):
     path = queries.tokenizer(VOCABULARY)
     lib = Tokenizer.from_file(path)
