@@ -262,6 +262,27 @@ def test_scopes_of_knowledge(spark):
     assert [tuple(s) if s else None for s in got] == [("global", None, "*"), ("system", None, "ERP"), ("graph", None, "g"), ("schema", "g", "ns"), ("object", "g", "ns.t:x"), None, None, None, None]
 
 
+def test_knowledge_applies_once_without_a_shuffle_of_pairs(spark):
+    nodes = [("g", "o1", "ns.t1", "t1", "NS"), ("g", "o1", "other.t1", "t1", "other"), ("g", "o2", "o2", "o2", "ns"), ("H", "o1", "x", "t1", None), ("H", "o1", "x", "t1", None), (None, "o3", "y", "y", "ns")]
+    docs = [
+        ("a", "global", "*", None, None), ("a", "graph", "g", None, None), ("a", "schema", "ns", "g", None), ("b", "graph", "G", None, None), ("b", "object", "t1", "G", None), ("b", "object", "t1", "h", None), ("b", "system", "erp", None, "Home"),
+        ("c", "schema", "NS", "g", None), ("c", "schema", "other", "g", None), ("c", "object", "O1", "G", None), ("c", "object", "o1", "g", None), ("d", "object", "T1", "h", None), ("e", "system", "ERP", None, "away"), ("f", "schema", None, "g", None),
+        (None, "global", "*", None, None), (None, "graph", "g", None, None), (None, "schema", "ns", "g", None), ("b", "graph", "G", None, None),
+    ]
+    n = spark.createDataFrame(nodes, "graph string, id string, label string, name string, namespace string")
+    d = spark.createDataFrame(docs, "id string, kind string, reference string, graph string, workspace string")
+    out = workspaces.applies(d, n, spark.createDataFrame([("ERP", "h")], "system string, graph string"), "home")
+    places = {x[:2] for x in nodes}
+    want = {(i, *p) for i in ("a", None) for p in places} | {("b", "g", "o1"), ("b", "g", "o2"), ("b", "H", "o1"), ("c", "g", "o1"), ("c", "g", "o2"), ("d", "H", "o1")}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    one = [tuple(r) for r in out.where("graph = 'g' and node = 'o2'").collect()]
+    assert sorted(one, key=str) == sorted((x for x in want if x[1:] == ("g", "o2")), key=str)
+    # what is shuffled above the pairs of everything: nothing
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate") and plan.startswith("Union")
+
+
 def test_cues_of_key_segments(spark):
     rows = [("KST{digits_1:6}KTO{digits_2:6}", 2, "D_KTO", "KTO_ID", True), ("KST{digits_1:6}KTO{digits_2:6}", 1, "D_KTO", "KTO_ID", False), ("PRT{digits_1:5}", 1, "Product_Ref_Table", "ID", True), ("{digits_1:5}", 1, "X", "X", False), ("A{digits_1:5}", 1, "A", "A", False), ("KEY{digits_1:3}", 1, "D_KEY", "KEY", False)]
     df = spark.createDataFrame(rows, "p string, i int, o string, f string, want boolean")
