@@ -419,8 +419,8 @@ class Knowledge(_Group):
         return out
 
     def resolve(self, nodes: DataFrame, systems: DataFrame, workspace: str, graph_name: str, node: str, most: int = 24_000, **how) -> tuple[DataFrame, DataFrame]:
-        docs = self.documents()
-        return workspaces.resolve_knowledge(docs, workspaces.applies(docs, nodes, systems, workspace), graph_name, node, most, **how)
+        docs, here = self.documents(), nodes.where((F.col("graph") == graph_name) & (F.col("id") == node))
+        return workspaces.resolve_knowledge(docs, workspaces.applies(docs, here, systems, workspace), graph_name, node, most, **how)
 
 
 class Entities(_Group):

@@ -283,6 +283,42 @@ def test_knowledge_applies_once_without_a_shuffle_of_pairs(spark):
     assert not plan.startswith("Aggregate") and plan.startswith("Union")
 
 
+def test_knowledge_applies_in_blocks(spark, monkeypatch):
+    for k, v in (("DOCUMENTS", 5), ("NODES", 4), ("RUN", 2)):
+        monkeypatch.setattr(workspaces, k, v)
+    nodes = [(g, f"o{i}" if i else None, f"ns{i % 2}.t{i}", f"T{i}", f"ns{i % 2}" if i % 5 else None) for g in ("g", "H", None) for i in range(11)]
+    docs = [(f"d{i}", *[("global", "*", None, None), ("graph", "G", None, None), ("graph", "h", None, None), ("schema", "NS1", "g", None), ("object", f"t{i % 11}", "H", None), ("system", "erp", None, "home"), ("schema", "ns0", "h", None)][i % 7]) for i in range(30)]
+    docs += [(None, "global", "*", None, None), ("d3", "schema", "ns0", "G", None), ("d4", "object", "o2", "h", None)]
+
+    def speaks(d, n):
+        low = lambda x: x and x.lower()
+        kind, ref, graph = d[1], low(d[2]), low(d[3])
+        return kind == "global" or (n[0] is not None and ((kind == "system" and low(n[0]) == "h") or (kind == "graph" and ref == low(n[0])) or (graph == low(n[0]) and ((kind == "schema" and ref == n[4]) or (kind == "object" and ref in map(low, n[1:4]))))))
+
+    want = {(d[0], *n[:2]) for d in docs for n in nodes if speaks(d, n)}
+    n = spark.createDataFrame(nodes, "graph string, id string, label string, name string, namespace string")
+    d = spark.createDataFrame(docs, "id string, kind string, reference string, graph string, workspace string")
+    systems = spark.createDataFrame([("ERP", "h")], "system string, graph string")
+    got = [tuple(r) for r in workspaces.applies(d, n, systems, "home").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert workspaces.applies(d, n.where("id = 'none'"), systems, "home").count() == 0 and workspaces.applies(d.where("id = 'none'"), n, systems, "home").count() == 0
+
+
+def test_knowledge_applies_leaves_small_files(spark, tmp_path):
+    # more nodes than are sent to every task, and names too long for one dictionary of a file: 1.3 MB
+    nodes = spark.range(10_000).selectExpr("'g' graph", "md5('a' || id) || md5('b' || id) || md5('c' || id) || md5('d' || id) id", "'ns.t' || id label", "'t' || id name", "'ns' namespace")
+    docs = spark.range(60).selectExpr("'k' || id id", "'graph' kind", "'g' reference", "cast(null as string) graph", "cast(null as string) workspace")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    out = workspaces.applies(docs, nodes, spark.createDataFrame([], "system string, graph string"), "home")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out.write.parquet(path := str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.read.parquet(path).count() == 600_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 8_000_000
+
+
 def test_cues_of_key_segments(spark):
     rows = [("KST{digits_1:6}KTO{digits_2:6}", 2, "D_KTO", "KTO_ID", True), ("KST{digits_1:6}KTO{digits_2:6}", 1, "D_KTO", "KTO_ID", False), ("PRT{digits_1:5}", 1, "Product_Ref_Table", "ID", True), ("{digits_1:5}", 1, "X", "X", False), ("A{digits_1:5}", 1, "A", "A", False), ("KEY{digits_1:3}", 1, "D_KEY", "KEY", False)]
     df = spark.createDataFrame(rows, "p string, i int, o string, f string, want boolean")
